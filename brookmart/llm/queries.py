@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, shards, token_counts, token_files
+from . import byte_bpe, embed_dedup, html_text, impact_search, minhash_dedup, shards, token_counts, token_files
 from .shared import scratch
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -20,17 +20,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_collision_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, WORDS, end_id=2)
     return token_files.ids_crc32(token_files.with_start(spark, path, ["doc_id", "n_tokens", "ids"])).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), 85)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), RANKS, PATTERN), RANKS, PATTERN)
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORDS)
 
@@ -40,8 +56,12 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_collision_dedup": op1_collision_dedup,
     "op2_token_files": op2_token_files,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_html_text": op6_html_text,
+    "op7_impact_search": op7_impact_search,
     "op8_token_counts": op8_token_counts,
     "op10_rendezvous_shards": op10_rendezvous_shards,
 }

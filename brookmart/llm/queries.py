@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embed_dedup, html_text, impact_search, minhash_dedup, shards, token_counts, token_files
+from . import byte_bpe, embed_dedup, html_text, impact_search, minhash_dedup, shards, token_counts, token_files, toxicity
 from .shared import scratch
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +30,13 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.ids_crc32(token_files.with_start(spark, path, ["doc_id", "n_tokens", "ids"])).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    rows = toxicity.score(docs, model)
+    return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("clauses").alias("n_clauses"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), 85)
 
@@ -58,6 +65,7 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_collision_dedup": op1_collision_dedup,
     "op2_token_files": op2_token_files,
+    "op3_toxicity": op3_toxicity,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_html_text": op6_html_text,

@@ -10,13 +10,18 @@ from __future__ import annotations
 import json
 import os
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 
 #: Distinct chunks remembered by a task's process; beyond it the memory is emptied, which costs time only.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Longer chunks are encoded each time they come.
 LONGEST = 48
+#: Stands between chunks that the library encodes as one text; chunks that hold it are encoded on their own.
+MARK = b"\x01"
+#: Bytes of texts whose chunks are looked up together.
+GROUP = 1 << 20
 #: Bytes of a text taken at a time.
 PART = 1 << 18
 
@@ -57,6 +62,10 @@ class Codec:
             self.model.no_padding()
             with open(path, encoding="utf-8") as f:
                 self.by_chunk = drops_space(json.load(f))
+        if self.by_chunk:
+            mark = self.library([MARK.decode()])[0]
+            self.by_chunk = len(mark) == 1
+            self.mark = mark[0]
         self.forget()
 
     def forget(self) -> None:
@@ -70,22 +79,54 @@ class Codec:
         return [x.ids for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, chunks: list[bytes]) -> None:
-        """Remembers the ids of new chunks."""
+        """Remembers the ids of new chunks. Many are one text to the library, with a chunk of one known id between them."""
         lens, pools = [self.lens], [self.pool]
-        for i in range(0, len(chunks), 4096):
-            found = self.library([x.decode() for x in chunks[i : i + 4096]])
-            lens.append(np.fromiter(map(len, found), np.int64, len(found)))
-            pools.append(np.fromiter((y for x in found for y in x), np.int32, int(lens[-1].sum())))
+        odd = [x for x in chunks if MARK in x or b"<|" in x or len(x) > LONGEST]
+        even = list(set(chunks).difference(odd)) if odd else chunks
+        found = self.library([x.decode() for x in odd]) if odd else []
+        lens.append(np.fromiter(map(len, found), np.int64, len(found)))
+        pools.append(np.fromiter((y for x in found for y in x), np.int32, int(lens[-1].sum())))
+        between = b" " + MARK + b" "
+        texts = [between.join(even[i : i + 256]).decode() for i in range(0, len(even), 256)]
+        for i, ids in enumerate(self.library(texts) if texts else []):
+            ids = np.asarray([*ids, self.mark], np.int32)
+            at = np.flatnonzero(ids == self.mark)
+            assert len(at) == len(even[256 * i : 256 * i + 256])
+            lens.append(np.diff(at, prepend=-1) - 1)
+            pools.append(ids[ids != self.mark])
+        self._add([*odd, *even], lens, pools)
+
+    def _add(self, chunks: list[bytes], lens: list[np.ndarray], pools: list[np.ndarray]) -> None:
         base = len(self.lens)
         self.known.update(zip(chunks, range(base, base + len(chunks)), strict=True))
         self.lens, self.pool = np.concatenate(lens), np.concatenate(pools)
         self.starts = np.cumsum(self.lens) - self.lens
 
-    def chunks(self, text: bytes) -> list[bytes]:
-        """Pieces between safe boundaries. Lower case joins equal pieces where it cannot change the ids."""
-        if b"<|" not in text and text.isascii():
-            text = text.lower()
-        return text.replace(b"\n", b" ").split(b" ")
+    def lowered(self, text: bytes) -> bytes:
+        """Lower case, which joins equal chunks, where it cannot change the ids: without special strings, and if the text
+        is composed in either case (the library composes first), without a sigma (whose lower case depends on its place)."""
+        if b"<|" in text:
+            return text
+        if text.isascii():
+            return text.lower()
+        whole = text.decode()
+        low = whole.lower()
+        return low.encode() if "\u03a3" not in whole and is_normalized("NFC", whole) and is_normalized("NFC", low) else text
+
+    def chunks(self, parts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        """The chunks of all parts, and how many each part has. A full stop or comma between a letter a-z and a space is a
+        chunk of its own to the tokenizer, so a space is put before it."""
+        parts = [self.lowered(x) for x in parts]
+        body = np.frombuffer(b" ".join(parts) + b" ", np.uint8).copy()
+        body[body == 10] = 32
+        letter = (body >= 97) & (body <= 122)
+        stop = np.flatnonzero(((body[1:-1] == 44) | (body[1:-1] == 46)) & letter[:-2] & (body[2:] == 32)) + 1
+        body = np.insert(body, stop, 32)
+        words = body.tobytes().split(b" ")
+        words.pop()
+        edges = np.cumsum([len(x) + 1 for x in parts])
+        edges += np.searchsorted(stop, edges)
+        return words, np.diff(np.cumsum(body == 32)[edges - 1], prepend=0)
 
     def parts(self, text: bytes) -> list[bytes]:
         """A long text cut at spaces."""
@@ -114,7 +155,7 @@ class Codec:
             for j, part in enumerate(parts):
                 group.append((i, part, j == len(parts) - 1))
                 held += len(part)
-                if held >= 2 * PART:
+                if held >= GROUP:
                     self._some(group, end, ids, counts, pools)
                     group, held = [], 0
         self._some(group, end, ids, counts, pools)
@@ -123,20 +164,17 @@ class Codec:
     def _some(self, group, end, ids, counts, pools) -> None:
         if not group:
             return
-        words: list[bytes] = []
-        sizes = []
-        for _, part, _ in group:
-            new = self.chunks(part)
-            words += new
-            sizes.append(len(new))
-        distinct = set(words)
-        missing = distinct.difference(self.known)
+        words, sizes = self.chunks([part for _, part, _ in group])
+        distinct = list(set(words))
+        missing = [x for x in distinct if x not in self.known]
         if len(self.known) + len(missing) > REMEMBERED:
             self.forget()
-            missing = distinct.difference(self.known)
+            missing = [x for x in distinct if x]
         long = [x for x in missing if len(x) > LONGEST]
-        self.learn(list(missing))
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.learn(missing)
+        local = dict(zip(distinct, range(len(distinct)), strict=True))
+        place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        at = place[np.fromiter(map(local.__getitem__, words), np.int64, len(words))]
         lens = self.lens[at]
         edges = np.concatenate([[0], np.cumsum(sizes)])
         sums = np.concatenate([[0], np.cumsum(lens)])

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embed_dedup, html_text, impact_search, minhash_dedup, shards, token_counts, token_files, toxicity
+from . import byte_bpe, embed_dedup, html_text, impact_search, minhash_dedup, mixing, shards, token_counts, token_files, toxicity
 from .shared import scratch
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -58,6 +58,23 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORDS)
 
 
+#: The mix of op9: domains are the sources' numbers modulo 4.
+MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "language": {"en": 4, "de": 2, "fr": 2, "es": 2}}
+MIX_SHARE, MIX_EPOCHS = 0.6, 2
+
+
+def mix_domain() -> Column:
+    return F.concat(F.lit("d"), F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int") % 4)
+
+
+MIX_DOMAIN_SQL = "'d' || (TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 4)"
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(table(spark, sf_dir, "documents"), mix_domain(), MIX_SHARE, MIX_EPOCHS, MIX_WEIGHTS)
+    return rows.select("doc_id", "epoch", "mix_tokens")
+
+
 def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"), [1.0] * 16)
 
@@ -71,7 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html_text": op6_html_text,
     "op7_impact_search": op7_impact_search,
     "op8_token_counts": op8_token_counts,
+    "op9_mix_sources": op9_mix_sources,
     "op10_rendezvous_shards": op10_rendezvous_shards,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op9_mix_sources": mixing.sql(MIX_DOMAIN_SQL, MIX_SHARE, MIX_EPOCHS, MIX_WEIGHTS)}

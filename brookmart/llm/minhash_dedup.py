@@ -4,8 +4,10 @@ Documents with one shingle set are a class. Signatures of classes are banded; a
 candidate pair's signatures are compared batch by batch, and the pair is given up once the posterior probability that its
 similarity reaches the threshold falls below the chosen miss probability. Survivors are verified on their full sets.
 
-A bucket's classes are first compared with two hubs each, which is linear in its size. What the links then leave apart
-is compared in full: every class outside the first hub's component with every class of the bucket in another component.
+A bucket's classes are first compared with two hubs each, one of them the class with the most bucket mates, which is linear
+in its size. What the links then leave apart is compared in full: every class outside the hub's component with every
+class of the bucket in another component. Small buckets give their pairs as rows; the classes of large ones meet in blocks
+of signatures, whose tasks return only pairs that the posterior does not rule out, the likeliest of each class first.
 """
 
 from __future__ import annotations
@@ -22,10 +24,15 @@ from .shared import by_bytes, saved, text_views
 from .words import mix, shingle_sets
 
 BANDS, ROWS = 25, 5
-BATCH = 25
+#: Hash functions of a signature (16 bits of each are kept; the bands use all 32), and of a batch.
+HASHES, BATCH = 256, 32
+#: Buckets of more classes than this meet in blocks, of about so many classes.
+SMALL, BLOCK = 16, 256
+#: Candidates of a class that are verified before all others.
+LIKELIEST = 6
 _rng = np.random.default_rng(41)
-MULTIPLY = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+MULTIPLY = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 BAND = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -38,7 +45,7 @@ def signature(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def least_matches(threshold: float, miss: float, batch: int = BATCH, total: int = BANDS * ROWS) -> list[int]:
+def least_matches(threshold: float, miss: float, batch: int = BATCH, total: int = HASHES) -> list[int]:
     """After each batch, the matches below which a pair is given up: with a uniform prior, the posterior of the
     similarity after k matches in m is Beta(k+1, m-k+1), and its tail is a binomial sum: P(s > t) = P(Bin(m+1, t) <= k)."""
     out = []
@@ -63,9 +70,9 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(values), dtype=np.uint64)])
                 more = np.concatenate([[np.uint64(0)], np.cumsum(mix(values ^ np.uint64(0x5DEECE66D)), dtype=np.uint64)])
                 signs = [signature(values[a:b]) if b > a else None for a, b in zip(where[:-1], where[1:], strict=True)]
-                bands = [None if s is None else mix((s.reshape(BANDS, ROWS).astype(np.uint64) * BAND).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64) for s in signs]
+                bands = [None if s is None else mix((s[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64) * BAND).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64) for s in signs]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(n.astype(np.int64)), pa.array((sums[where[1:]] - sums[where[:-1]]).view(np.int64)), pa.array((more[where[1:]] - more[where[:-1]]).view(np.int64)), pa.array([None if s is None else s.tobytes() for s in signs], pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    [batch.column("id"), pa.array(n.astype(np.int64)), pa.array((sums[where[1:]] - sums[where[:-1]]).view(np.int64)), pa.array((more[where[1:]] - more[where[:-1]]).view(np.int64)), pa.array([None if s is None else s.astype(np.uint16).tobytes() for s in signs], pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                     ["id", "n_shingles", "d1", "d2", "signature", "bands"],
                 )
 
@@ -91,7 +98,7 @@ def _survivors(pairs: DataFrame, signs: DataFrame, threshold: float, miss: float
         for batch in batches:
             keep = np.arange(batch.num_rows)
             if len(keep):
-                a, b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint32).reshape(len(keep), -1) for x in ("sa", "sb"))
+                a, b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint16).reshape(len(keep), -1) for x in ("sa", "sb"))
                 na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
                 keep = keep[np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9]
                 matches = np.zeros(len(a), np.int64)
@@ -105,6 +112,55 @@ def _survivors(pairs: DataFrame, signs: DataFrame, threshold: float, miss: float
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
+def _met(left: DataFrame, right: DataFrame, threshold: float, miss: float, most: int | None) -> DataFrame:
+    """Pairs of blocks of (node, c, n, signature) with one bucket: a class of the left with those of the right in another
+    component that the signatures do not rule out, or the `most` likeliest of them."""
+    least = least_matches(threshold, miss)
+
+    def block(lists: pa.StructArray) -> tuple[np.ndarray, ...]:
+        sign = np.frombuffer(b"".join(lists.field("signature").to_pylist()), np.uint16).reshape(len(lists), -1)
+        return lists.field("node").to_numpy(), lists.field("c").to_numpy(), lists.field("n_shingles").to_numpy(), sign
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (x, cx, nx, sx), (y, cy, ny, sy) = block(batch.column("ls")[i].values), block(batch.column("rs")[i].values)
+                may = (cx[:, None] != cy[None, :]) & (np.minimum(nx[:, None], ny[None, :]) >= threshold * np.maximum(nx[:, None], ny[None, :]) - 1e-9)
+                p, q = np.nonzero(may)
+                matches = np.zeros(len(p), np.int64)
+                for j, k in enumerate(least):
+                    part = slice(j * BATCH, (j + 1) * BATCH)
+                    for at in range(0, len(p), 1 << 16):
+                        here = slice(at, at + (1 << 16))
+                        matches[here] += (sx[p[here], part] == sy[q[here], part]).sum(1)
+                    keep = matches >= k
+                    p, q, matches = p[keep], q[keep], matches[keep]
+                if most is not None and len(p):
+                    order = np.lexsort((y[q], -matches, p))
+                    p, q = p[order], q[order]
+                    first = np.concatenate([[0], np.flatnonzero(np.diff(p)) + 1])
+                    rank = np.arange(len(p)) - np.repeat(first, np.diff([*first, len(p)]))
+                    p, q = p[rank < most], q[rank < most]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[p], y[q])), pa.array(np.maximum(x[p], y[q]))], ["a", "b"])
+
+    return left.join(right, "bucket").select("ls", "rs").mapInArrow(run, "a long, b long").distinct()
+
+
+def _apart(buckets: DataFrame, part: DataFrame, signs: DataFrame, threshold: float, miss: float, most: int | None) -> DataFrame:
+    """Pairs of classes with one bucket in different components, one of them not in the hub's, that may be links."""
+    own = buckets.join(part, "node", "left").select("bucket", "node", "hub", "size", F.coalesce("component", "node").alias("c"))
+    open_ = own.groupBy("bucket").agg(F.min(F.when(F.col("node") == F.col("hub"), F.col("c"))).alias("hub_c"), F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2")
+    own = saved(own.join(open_.select("bucket", "hub_c"), "bucket"), "open")
+    few = own.filter(F.col("size") <= SMALL)
+    pairs = few.filter("c <> hub_c").select("bucket", F.col("node").alias("x"), F.col("c").alias("cx")).join(few.select("bucket", F.col("node").alias("y"), F.col("c").alias("cy")), "bucket").filter("cx <> cy")
+    small = _survivors(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), signs, threshold, miss)
+    many = own.filter(F.col("size") > SMALL).join(signs.withColumnRenamed("id", "node"), "node")
+    many = many.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)))
+    rows = F.collect_list(F.struct("node", "c", "n_shingles", "signature"))
+    large = _met(many.filter("c <> hub_c").groupBy("bucket", "block").agg(rows.alias("ls")).drop("block"), many.groupBy("bucket", "block").agg(rows.alias("rs")).drop("block"), threshold, miss, most)
+    return small.unionByName(large).distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= percent * union."""
 
@@ -125,7 +181,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str = "doc_id", text: str = "text", miss: float = 1e-6) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str = "doc_id", text: str = "text", miss: float = 1e-5) -> DataFrame:
     """key, n_shingles, component_id and kept of each row.
 
     Words are runs other than space and \\x09-\\x0D of the whole text with A-Z in lower case; a document's set holds its
@@ -144,8 +200,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     member = saved(joined.select("id", "n_shingles", "node", F.when(lead, F.col("signature")).alias("signature"), F.when(lead, F.col("bands")).alias("bands")), "members")
     known = member.filter(lead)
     spread = known.select(F.col("id").alias("node"), F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("hub2")).filter("hub <> hub2")
-    buckets = saved(spread.join(shared, "bucket"), "buckets")
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    mated = saved(spread.join(shared, "bucket"), "mates")
+    mates = mated.groupBy("node").agg(F.sum("size").alias("mates"))
+    hubs = mated.join(mates, "node").groupBy("bucket").agg(F.max_by("node", F.struct("mates", -F.col("node"))).alias("hub"), F.min("node").alias("hub2"))
+    buckets = saved(mated.join(hubs, "bucket"), "buckets")
     signs = known.select("id", "n_shingles", "signature")
     sets = saved(_sets(rows.join(buckets.select(F.col("node").alias("id")).distinct(), "id"), width).distinct(), "sets")
 
@@ -155,16 +214,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     first = saved(_verified(_survivors(starred, signs, threshold, miss), sets, percent), "links")
     part = components(first)
 
-    # What is still apart within a bucket: classes outside the hub's component with all of another component.
-    own = buckets.join(part, "node", "left").select("bucket", "node", "hub", "hub2", F.coalesce("component", "node").alias("c"))
-    open_ = own.groupBy("bucket").agg(F.min(F.when(F.col("node") == F.col("hub"), F.col("c"))).alias("hub_c"), F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2")
-    own = saved(own.join(open_.select("bucket", "hub_c"), "bucket"), "open")
-    left = own.filter("c <> hub_c").select("bucket", F.col("node").alias("x"), F.col("c").alias("cx"))
-    right = own.select("bucket", F.col("node").alias("y"), F.col("c").alias("cy"), "hub", "hub2")
-    apart = left.join(right, "bucket").filter("cx <> cy and y <> hub and y <> hub2 and x <> hub2")
-    apart = apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = _verified(_survivors(apart, signs, threshold, miss), sets, percent)
-    whole = components(first.unionByName(rest))
+    # What is still apart within a bucket: the likeliest candidates of each class first, then all that are left.
+    second = saved(_verified(_apart(buckets, part, signs, threshold, miss, LIKELIEST), sets, percent), "links")
+    links = first.unionByName(second)
+    part = components(links)
+    third = _verified(_apart(buckets, part, signs, threshold, miss, None), sets, percent)
+    whole = components(links.unionByName(third))
 
     out = member.join(whole, "node", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id")).alias("component_id"))
     return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

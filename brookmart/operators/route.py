@@ -21,7 +21,7 @@ def route(events: DataFrame, routes: DataFrame) -> DataFrame:
     sinkColumns (exact names, csv). Unmatched events are dropped."""
     live = events.filter(~F.col("type").eqNullSafe("delete"))
     r = routes.select(F.col("sourceTable").alias("tableName"), F.col("operateType").alias("type"), "sinkType", "sinkTable", F.split("sinkColumns", ",").alias("_cols"), F.coalesce("sinkPk", F.lit("id")).alias("sinkPk"), F.coalesce("sinkExtend", F.lit("")).alias("sinkExtend"))
-    small = not events.isStreaming and not routes.isStreaming and len(routes.limit(BROADCAST_ROWS + 1).tail(1)) and routes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = not routes.isStreaming and routes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     joined = live.join(F.broadcast(r) if small else r, ["tableName", "type"])
     return joined.withColumn("after", F.map_filter("after", lambda k, v: F.array_contains("_cols", k))).drop("_cols")
 

@@ -74,7 +74,7 @@ def test_is_new_and_unique_streams(spark, tmp_path):
 
 def test_jobs_from_log_to_stats(spark, tmp_path):
     rows = log(90)
-    drop(tmp_path / "topics" / "ods_base_log", [*rows, {"start": {"entry": "icon"}, "ts": 1}, {"common": {"mid": "end"}, "page": {"last_page_id": "x"}, "ts": END}], 1)
+    drop(tmp_path / "topics" / "ods_base_log", [*rows, {"start": {"entry": "icon"}, "ts": 1}, {"common": {"mid": "end"}, "page": {"last_page_id": "search", "item": "end"}, "ts": END}], 1)
     with (tmp_path / "topics" / "ods_base_log" / "part-0.txt").open("a") as f:
         f.write("{bad\n")
     jobs = Jobs(spark, str(tmp_path))

@@ -96,7 +96,7 @@ def vectors():
     for i in range(300, 420):
         base = np.asarray(out[rng.integers(0, 20)][1])
         out.append((i, list(map(float, base * rng.uniform(0.5, 2) + rng.standard_normal(16) * rng.choice([0.0, 0.1, 0.25, 0.4])))))
-    return out
+    return out + [(420 + i, out[7][1]) for i in range(5)]
 
 
 def test_embeddings_equal_brute_force(spark):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import by_bytes
+from .shared import by_bytes, small_batches
 
 #: A match that ends this close to a chunk's end may go on beyond it, or be decided by what stands there.
 MARGIN = 8
@@ -64,6 +64,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
     """
     if not MARGIN < overlap <= chunk // 2:
         raise ValueError("overlap must be over the margin and at most half a chunk")
+    small_batches(docs.sparkSession)
     kind = docs.select(key).schema[0].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     long = F.octet_length("text") > chunk

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import saved
+from .shared import saved, small_batches
 
 #: Half a window, and the width of a coarse cell, in units of the largest distance that links.
 WINDOW, CELL = 2.0, 3.5
@@ -58,6 +58,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, key: str = "vec
     the threshold is missed with a probability of at most `miss`, closer ones far less often. Other columns are not read.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     sound = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0) & F.col("id").isNotNull()
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_bytes
+from .shared import by_bytes, small_batches
 
 # Fixed values of HTML: elements by their kind.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -230,6 +230,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     Null and empty pages have an empty text; null or repeated keys stay, a row each; an empty table gives no rows; a page
     without markup is one block; other columns are not read. Nothing is cut, however long. br is white space.
     """
+    small_batches(pages.sparkSession)
     fields = pages.select(key, url).schema
     kinds = f"key {fields[0].dataType.simpleString()}, url {fields[1].dataType.simpleString()}"
 

@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import by_bytes, saved, text_views
+from .shared import by_bytes, saved, small_batches, text_views
 from .words import mix, shingle_sets
 
 BANDS, ROWS = 25, 5
+#: Bytes of texts that are hashed together.
+PART = 1 << 19
 #: Hash functions of a signature (16 bits of each are kept; the bands use all 32), and of a batch.
 HASHES, BATCH = 256, 32
 #: Buckets of more classes than this meet in blocks, of about so many classes.
@@ -63,7 +65,7 @@ def least_matches(threshold: float, miss: float, batch: int = BATCH, total: int
 def _signed(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for whole in batches:
-            for batch in by_bytes(whole, "text"):
+            for batch in by_bytes(whole, "text", PART):
                 body, at = text_views(batch.column("text"))
                 values, where = shingle_sets(body, at, width)
                 n = np.diff(where)
@@ -82,7 +84,7 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for whole in batches:
-            for batch in by_bytes(whole, "text"):
+            for batch in by_bytes(whole, "text", PART):
                 body, at = text_views(batch.column("text"))
                 values, where = shingle_sets(body, at, width)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([values[a:b].tobytes() for a, b in zip(where[:-1], where[1:], strict=True)], pa.binary())], ["id", "members"])
@@ -192,6 +194,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     A pair at the threshold is missed by the bands with a probability of about 4e-7 at 85 % and 5e-5 at 80 %, and given
     up by the posterior bound with at most about `miss`. Sets are compared as 64-bit hashes.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     signed = saved(_signed(rows, width), "signatures")
     classes = signed.filter("n_shingles > 0 and id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("node"))

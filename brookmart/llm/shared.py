@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     if not (found := spark.conf.get("spark.checkpoint.dir", None)):
@@ -19,6 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1,000 rows, unless the session has its own number: rows are whole texts here, and a Python
+    worker keeps the memory that its largest batch took."""
+    if spark.conf.get(ROWS_A_BATCH) == "10000":
+        spark.conf.set(ROWS_A_BATCH, "1000")
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/brookmart/{tag}-{uuid.uuid4().hex}"
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_bytes, text_views
+from .shared import by_bytes, small_batches, text_views
 from .wordcodec import codec
 
 
@@ -29,6 +29,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
                 n, _ = model.encode([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], ids=False)
                 yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.diff(at)), pa.array(n)], ["key", "n_bytes", "n_tokens"])
 
+    small_batches(docs.sparkSession)
     kind = docs.select(key).schema[0].dataType.simpleString()
     out = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(lengths, f"key {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

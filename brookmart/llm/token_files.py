@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import by_bytes, text_views
+from .shared import by_bytes, small_batches, text_views
 from .wordcodec import codec
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
@@ -27,6 +27,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     rows with equal keys stay, ordered by a hash of their text; an empty table makes an empty folder of files.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))

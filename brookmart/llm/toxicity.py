@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_bytes, saved, text_views
+from .shared import by_bytes, saved, small_batches, text_views
 from .transducers import Transducer, scope
 from .words import mix, prefix_sums, range_hash, shingles, spans
 
@@ -34,6 +34,8 @@ KINDS = ("insult", "aimed insult", "negated insult", "reported insult", "threat"
 PRIOR = (1.5, 2.0, -0.5, -0.5, 0.5, 3.0, -1.0, -1.0, 1.0)
 BIAS = -2.0
 
+#: Bytes of texts that are hashed together.
+PART = 1 << 19
 STEMS = (4, 5, 6, 7)  # characters
 SEPARATOR = np.ones(256, bool)
 SEPARATOR[128:] = False
@@ -139,6 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     have it are not toxic, and less than one of all words tried would do so well by chance. Null keys, texts and labels are left out; a key with several labels has the highest. Without
     toxic or clean rows the lexicon is empty and the weights stay the grammar's own.
     """
+    small_batches(docs.sparkSession)
     rows = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key)))
     rows = rows.groupBy(F.col(key).cast("long").alias("id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(most)  # `most` rows of two numbers
@@ -147,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def sketch(batches):
         for whole in batches:
-            for batch in by_bytes(whole, "text"):
+            for batch in by_bytes(whole, "text", PART):
                 low = pc.utf8_lower(batch.column("text"))
                 chars, at = text_views(low)
                 begin, end, first = spans(chars, at, SEPARATOR)
@@ -162,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def count(batches):
         found: Counter = Counter()
         for whole in batches:
-            for batch in by_bytes(whole, "text"):
+            for batch in by_bytes(whole, "text", PART):
                 for toxic, body_ in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     words = set(LETTERS.findall(body_))
                     seen = {w for w in words if len(w) <= 24} | {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k} | {""}
@@ -188,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def features(batches):
         for whole in batches:
-            for batch in by_bytes(whole, "text"):
+            for batch in by_bytes(whole, "text", PART):
                 x, _, _ = model.batch(batch.column("text"))
                 yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["toxic", "x"])
 
@@ -226,11 +229,12 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     Null and empty texts match nothing and get the score of that; null or repeated keys stay, a row each; an empty table
     gives no rows; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     kind = docs.select(key).schema[0].dataType.simpleString()
 
     def run(batches):
         for whole in batches:
-            for batch in by_bytes(whole, "text"):
+            for batch in by_bytes(whole, "text", PART):
                 _, clauses, scores = model.batch(batch.column("text"))
                 yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(scores), pa.array(clauses, pa.list_(pa.string()))], ["key", "score", "clauses"])
 
@@ -240,10 +244,11 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def reject(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs, all columns, without the rows that score 0.5 or more."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for whole in batches:
-            for batch in by_bytes(whole, text):
+            for batch in by_bytes(whole, text, PART):
                 _, _, scores = model.batch(batch.column(text))
                 yield batch.filter(pa.array(scores < 0.5))
 

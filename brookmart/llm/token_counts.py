@@ -23,7 +23,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     def lengths(batches):
         model = codec(tokenizer)
         for whole in batches:
-            for batch in by_bytes(whole, "text"):
+            for batch in by_bytes(whole, "text", 1 << 22):
                 body, at = text_views(batch.column("text"))
                 raw = body.tobytes()
                 n, _ = model.encode([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], ids=False)

@@ -35,7 +35,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def encode(batches):
         model, part, before = codec(tokenizer), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for batch in by_bytes(whole, "text", 1 << 21):
+            for batch in by_bytes(whole, "text", 1 << 22):
                 body, at = text_views(batch.column("text"))
                 raw = body.tobytes()
                 counts, ids = model.encode([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], end_id)

@@ -45,9 +45,8 @@ def shard_documents(docs: DataFrame, weights: Sequence[float], grown: Sequence[f
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
         rendezvous(F.col(key), weights).cast("int").alias("shard"),
         rendezvous(F.col(key), grown).cast("int").alias("grown_shard"),
-        F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("long").alias("part") % F.lit(subshards),
-    ).withColumnRenamed(f"(part % {subshards})", "part")
-    rows = rows.toDF("key", "size", "text_crc32", "shard", "grown_shard", "part")
+        (F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("long") % F.lit(subshards)).alias("part"),
+    )
     counts = rows.groupBy("shard", "part").agg(F.count("*").alias("rows"))  # shards x subshards rows
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("shard", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))

@@ -29,13 +29,13 @@ def components(links: DataFrame) -> DataFrame:
     is grouped by node with partial minima, so a node with very many links is no bottleneck; rounds are written to the
     shared folder. Rounds grow with the logarithm of the longest path.
     """
-    now = saved(links.select("a", "b").filter("a <> b").distinct(), "links")
-    mark = None
+    now = links.select("a", "b").filter("a <> b").distinct()
     while True:
         now = saved(_star(_star(now, True), False), "links")
-        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if seen == mark:
+        # Done when every node has one link, and none leads to a node that has one itself.
+        many = now.groupBy("a").count().filter("count > 1").select("a")
+        onward = now.select(F.col("b").alias("a")).distinct().join(now.select("a"), "a", "left_semi")
+        if many.unionByName(onward).isEmpty():
             break
-        mark = seen
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -217,12 +217,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     first = saved(_verified(_survivors(starred, signs, threshold, miss), sets, percent), "links")
     part = components(first)
 
-    # What is still apart within a bucket: the likeliest candidates of each class first, then all that are left.
-    second = saved(_verified(_apart(buckets, part, signs, threshold, miss, LIKELIEST), sets, percent), "links")
-    links = first.unionByName(second)
-    part = components(links)
-    third = _verified(_apart(buckets, part, signs, threshold, miss, None), sets, percent)
-    whole = components(links.unionByName(third))
-
-    out = member.join(whole, "node", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id")).alias("component_id"))
+    # What is still apart within a bucket: the likeliest candidates of each class first, then all that are left. Components
+    # stand for the links found before.
+    for most in (LIKELIEST, None):
+        more = saved(_verified(_apart(buckets, part, signs, threshold, miss, most), sets, percent), "links")
+        if not more.isEmpty():
+            part = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+    out = member.join(part, "node", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id")).alias("component_id"))
     return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -32,6 +32,8 @@ HASHES, BATCH = 256, 32
 SMALL, BLOCK = 16, 256
 #: Candidates of a class that are verified before all others.
 LIKELIEST = 6
+#: Up to so many ids (8 bytes each) are broadcast to filter texts, signatures or sets; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(41)
 MULTIPLY = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -92,6 +94,11 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, members binary")
 
 
+def _only(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of df whose id is in ids (id), a written table of distinct ids."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
 def _survivors(pairs: DataFrame, signs: DataFrame, threshold: float, miss: float) -> DataFrame:
     """Pairs that the signatures do not rule out."""
     least = least_matches(threshold, miss)
@@ -110,24 +117,29 @@ def _survivors(pairs: DataFrame, signs: DataFrame, threshold: float, miss: float
                     keep = keep[matches[keep] >= k]
             yield pa.RecordBatch.from_arrays([batch.column(x).take(pa.array(keep)) for x in ("a", "b")], ["a", "b"])
 
-    both = pairs.join(signs.toDF("a", "na", "sa"), "a").join(signs.toDF("b", "nb", "sb"), "b")
+    both = pairs.join(signs.drop("bands").toDF("a", "na", "sa"), "a").join(signs.drop("bands").toDF("b", "nb", "sb"), "b")
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
 def _met(left: DataFrame, right: DataFrame, threshold: float, miss: float, most: int | None) -> DataFrame:
-    """Pairs of blocks of (node, c, n, signature) with one bucket: a class of the left with those of the right in another
-    component that the signatures do not rule out, or the `most` likeliest of them."""
+    """Pairs of blocks of (node, c, n, signature, bands) with one bucket: a class of the left with those of the right in
+    another component that the signatures do not rule out, or the `most` likeliest of them. A pair that meets in several
+    buckets comes from the first of them only; of two left classes, the lesser one gives it where all pairs are wanted."""
     least = least_matches(threshold, miss)
 
     def block(lists: pa.StructArray) -> tuple[np.ndarray, ...]:
         sign = np.frombuffer(b"".join(lists.field("signature").to_pylist()), np.uint16).reshape(len(lists), -1)
-        return lists.field("node").to_numpy(), lists.field("c").to_numpy(), lists.field("n_shingles").to_numpy(), sign
+        bands = lists.field("bands").flatten().to_numpy().reshape(len(lists), -1)
+        return lists.field("node").to_numpy(), lists.field("c").to_numpy(), lists.field("n_shingles").to_numpy(), sign, bands
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                (x, cx, nx, sx), (y, cy, ny, sy) = block(batch.column("ls")[i].values), block(batch.column("rs")[i].values)
+                (x, cx, nx, sx, bx), (y, cy, ny, sy, by) = block(batch.column("ls")[i].values), block(batch.column("rs")[i].values)
+                bucket, hub = batch.column("bucket")[i].as_py(), batch.column("hub_c")[i].as_py()
                 may = (cx[:, None] != cy[None, :]) & (np.minimum(nx[:, None], ny[None, :]) >= threshold * np.maximum(nx[:, None], ny[None, :]) - 1e-9)
+                if most is None:
+                    may &= (cy == hub)[None, :] | (x[:, None] < y[None, :])
                 p, q = np.nonzero(may)
                 matches = np.zeros(len(p), np.int64)
                 for j, k in enumerate(least):
@@ -137,6 +149,12 @@ def _met(left: DataFrame, right: DataFrame, threshold: float, miss: float, most:
                         matches[here] += (sx[p[here], part] == sy[q[here], part]).sum(1)
                     keep = matches >= k
                     p, q, matches = p[keep], q[keep], matches[keep]
+                keep = np.zeros(len(p), bool)
+                for at in range(0, len(p), 1 << 16):
+                    here = slice(at, at + (1 << 16))
+                    met = bx[p[here]] == by[q[here]]
+                    keep[here] = met.any(1) & (bx[p[here], met.argmax(1)] == bucket)
+                p, q, matches = p[keep], q[keep], matches[keep]
                 if most is not None and len(p):
                     order = np.lexsort((y[q], -matches, p))
                     p, q = p[order], q[order]
@@ -145,7 +163,7 @@ def _met(left: DataFrame, right: DataFrame, threshold: float, miss: float, most:
                     p, q = p[rank < most], q[rank < most]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[p], y[q])), pa.array(np.maximum(x[p], y[q]))], ["a", "b"])
 
-    return left.join(right, "bucket").select("ls", "rs").mapInArrow(run, "a long, b long").distinct()
+    return left.join(right, "bucket").select("bucket", "hub_c", "ls", "rs").mapInArrow(run, "a long, b long").distinct()
 
 
 def _apart(buckets: DataFrame, part: DataFrame, signs: DataFrame, threshold: float, miss: float, most: int | None) -> DataFrame:
@@ -158,13 +176,15 @@ def _apart(buckets: DataFrame, part: DataFrame, signs: DataFrame, threshold: flo
     small = _survivors(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), signs, threshold, miss)
     many = own.filter(F.col("size") > SMALL).join(signs.withColumnRenamed("id", "node"), "node")
     many = many.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)))
-    rows = F.collect_list(F.struct("node", "c", "n_shingles", "signature"))
-    large = _met(many.filter("c <> hub_c").groupBy("bucket", "block").agg(rows.alias("ls")).drop("block"), many.groupBy("bucket", "block").agg(rows.alias("rs")).drop("block"), threshold, miss, most)
+    rows = F.collect_list(F.struct("node", "c", "n_shingles", "signature", "bands"))
+    large = _met(many.filter("c <> hub_c").groupBy("bucket", "block").agg(rows.alias("ls"), F.first("hub_c").alias("hub_c")).drop("block"), many.groupBy("bucket", "block").agg(rows.alias("rs")).drop("block"), threshold, miss, most)
     return small.unionByName(large).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= percent * union."""
+    """Pairs whose full sets have 100 * intersection >= percent * union. Only the sets of the pairs' ends are shuffled."""
+    pairs = saved(pairs, "candidates")
+    sets = _only(sets, saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends"))
 
     def run(batches):
         for batch in batches:
@@ -197,19 +217,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     signed = saved(_signed(rows, width), "signatures")
-    classes = signed.filter("n_shingles > 0 and id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("node"))
-    joined = signed.join(classes, ["d1", "d2", "n_shingles"], "left")
-    lead = F.col("id") == F.col("node")  # signatures of a class's first document only
-    member = saved(joined.select("id", "n_shingles", "node", F.when(lead, F.col("signature")).alias("signature"), F.when(lead, F.col("bands")).alias("bands")), "members")
-    known = member.filter(lead)
-    spread = known.select(F.col("id").alias("node"), F.explode("bands").alias("bucket"))
+    digest = ["d1", "d2", "n_shingles"]
+    # Copies have the same bands, so a class needs no signature before it is known to share a bucket.
+    classes = saved(signed.filter("n_shingles > 0 and id is not null").groupBy(*digest).agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "classes")
+    spread = classes.select("node", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     mated = saved(spread.join(shared, "bucket"), "mates")
     mates = mated.groupBy("node").agg(F.sum("size").alias("mates"))
     hubs = mated.join(mates, "node").groupBy("bucket").agg(F.max_by("node", F.struct("mates", -F.col("node"))).alias("hub"), F.min("node").alias("hub2"))
     buckets = saved(mated.join(hubs, "bucket"), "buckets")
-    signs = known.select("id", "n_shingles", "signature")
-    sets = saved(_sets(rows.join(buckets.select(F.col("node").alias("id")).distinct(), "id"), width).distinct(), "sets")
+    met = saved(buckets.select(F.col("node").alias("id")).distinct(), "met")
+    own = classes.select(F.col("node").alias("id"), *digest)  # not another text of a repeated key
+    signs = saved(_only(signed, met).dropDuplicates(["id", *digest]).join(own, ["id", *digest], "left_semi").select("id", "n_shingles", "signature", "bands"), "signs")
+    sets = saved(_sets(_only(rows, met).dropDuplicates(["id", "text"]), width), "sets")
 
     ends = buckets.select("node", F.explode(F.array("hub", "hub2")).alias("other")).filter("node <> other")
     starred = ends.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
@@ -224,5 +244,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
         if not more.isEmpty():
             part = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
+    member = signed.select("id", *digest).join(classes.drop("bands"), digest, "left")
     out = member.join(part, "node", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id")).alias("component_id"))
     return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -16,7 +16,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -99,6 +99,11 @@ def _only(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
+def _near(m: str, n: str, threshold: float) -> Column:
+    """Sets of these sizes can reach the threshold: their intersection is at most the smaller, their union at least the larger."""
+    return F.least(m, n) >= threshold * F.greatest(m, n) - 1e-9
+
+
 def _survivors(pairs: DataFrame, signs: DataFrame, threshold: float, miss: float) -> DataFrame:
     """Pairs that the signatures do not rule out."""
     least = least_matches(threshold, miss)
@@ -168,11 +173,11 @@ def _met(left: DataFrame, right: DataFrame, threshold: float, miss: float, most:
 
 def _apart(buckets: DataFrame, part: DataFrame, signs: DataFrame, threshold: float, miss: float, most: int | None) -> DataFrame:
     """Pairs of classes with one bucket in different components, one of them not in the hub's, that may be links."""
-    own = buckets.join(part, "node", "left").select("bucket", "node", "hub", "size", F.coalesce("component", "node").alias("c"))
+    own = buckets.join(part, "node", "left").select("bucket", "node", "n", F.col("hub.node").alias("hub"), "size", F.coalesce("component", "node").alias("c"))
     open_ = own.groupBy("bucket").agg(F.min(F.when(F.col("node") == F.col("hub"), F.col("c"))).alias("hub_c"), F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2")
     own = saved(own.join(open_.select("bucket", "hub_c"), "bucket"), "open")
     few = own.filter(F.col("size") <= SMALL)
-    pairs = few.filter("c <> hub_c").select("bucket", F.col("node").alias("x"), F.col("c").alias("cx")).join(few.select("bucket", F.col("node").alias("y"), F.col("c").alias("cy")), "bucket").filter("cx <> cy")
+    pairs = few.filter("c <> hub_c").select("bucket", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx")).join(few.select("bucket", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny")), "bucket").filter(F.col("cx") != F.col("cy")).filter(_near("nx", "ny", threshold))
     small = _survivors(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), signs, threshold, miss)
     many = own.filter(F.col("size") > SMALL).join(signs.withColumnRenamed("id", "node"), "node")
     many = many.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)))
@@ -220,20 +225,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     digest = ["d1", "d2", "n_shingles"]
     # Copies have the same bands, so a class needs no signature before it is known to share a bucket.
     classes = saved(signed.filter("n_shingles > 0 and id is not null").groupBy(*digest).agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "classes")
-    spread = classes.select("node", F.explode("bands").alias("bucket"))
+    spread = classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     mated = saved(spread.join(shared, "bucket"), "mates")
     mates = mated.groupBy("node").agg(F.sum("size").alias("mates"))
-    hubs = mated.join(mates, "node").groupBy("bucket").agg(F.max_by("node", F.struct("mates", -F.col("node"))).alias("hub"), F.min("node").alias("hub2"))
+    hubs = mated.join(mates, "node").groupBy("bucket").agg(F.max_by(F.struct("node", "n"), F.struct("mates", -F.col("node"))).alias("hub"), F.min(F.struct("node", "n")).alias("hub2"))
     buckets = saved(mated.join(hubs, "bucket"), "buckets")
     met = saved(buckets.select(F.col("node").alias("id")).distinct(), "met")
     own = classes.select(F.col("node").alias("id"), *digest)  # not another text of a repeated key
     signs = saved(_only(signed, met).dropDuplicates(["id", *digest]).join(own, ["id", *digest], "left_semi").select("id", "n_shingles", "signature", "bands"), "signs")
     sets = saved(_sets(_only(rows, met).dropDuplicates(["id", "text"]), width), "sets")
 
-    ends = buckets.select("node", F.explode(F.array("hub", "hub2")).alias("other")).filter("node <> other")
-    starred = ends.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     threshold = percent / 100
+    ends = buckets.select("node", "n", F.explode(F.array("hub", "hub2")).alias("other")).filter(F.col("node") != F.col("other.node"))
+    starred = ends.filter(_near("n", "other.n", threshold)).select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b")).distinct()
     first = saved(_verified(_survivors(starred, signs, threshold, miss), sets, percent), "links")
     part = components(first)
 

@@ -26,7 +26,7 @@ from .words import mix, shingle_sets
 BANDS, ROWS = 25, 5
 #: Bytes of texts that are hashed together.
 PART = 1 << 19
-#: Hash functions of a signature (16 bits of each are kept; the bands use all 32), and of a batch.
+#: Hash functions of a signature (16 bits of each are kept; the bands use all 32 of the first 125), and of a batch.
 HASHES, BATCH = 256, 32
 #: Buckets of more classes than this meet in blocks, of about so many classes.
 SMALL, BLOCK = 16, 256
@@ -40,12 +40,12 @@ ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 BAND = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signature(values: np.ndarray) -> np.ndarray:
-    """The least of every hash function over a set, 32 bits each."""
-    out = np.full(len(MULTIPLY), np.uint32(0xFFFFFFFF))
+def signature(values: np.ndarray, n: int = HASHES) -> np.ndarray:
+    """The least of each of the first n hash functions over a set, 32 bits each."""
+    out = np.full(n, np.uint32(0xFFFFFFFF))
     for i in range(0, len(values), 2048):
         part = values[i : i + 2048]
-        out = np.minimum(out, ((part[None, :] * MULTIPLY[:, None] + ADD[:, None]) >> np.uint64(32)).min(1).astype(np.uint32))
+        out = np.minimum(out, ((part[None, :] * MULTIPLY[:n, None] + ADD[:n, None]) >> np.uint64(32)).min(1).astype(np.uint32))
     return out
 
 
@@ -64,34 +64,41 @@ def least_matches(threshold: float, miss: float, batch: int = BATCH, total: int
     return out
 
 
-def _signed(docs: DataFrame, width: int) -> DataFrame:
+def _digests(values: np.ndarray, where: np.ndarray) -> list[pa.Array]:
+    """Size and two sums of hashes of each set."""
+    out = [np.diff(where).astype(np.int64)]
+    for hashed in (mix(values), mix(values ^ np.uint64(0x5DEECE66D))):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(hashed, dtype=np.uint64)])
+        out.append((sums[where[1:]] - sums[where[:-1]]).view(np.int64))
+    return [pa.array(x) for x in out]
+
+
+def _banded(docs: DataFrame, width: int) -> DataFrame:
+    """Digests and bands of every text; only the hash functions of the bands are computed."""
+
     def run(batches):
         for whole in batches:
             for batch in by_bytes(whole, "text", PART):
-                body, at = text_views(batch.column("text"))
-                values, where = shingle_sets(body, at, width)
-                n = np.diff(where)
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(values), dtype=np.uint64)])
-                more = np.concatenate([[np.uint64(0)], np.cumsum(mix(values ^ np.uint64(0x5DEECE66D)), dtype=np.uint64)])
-                signs = [signature(values[a:b]) if b > a else None for a, b in zip(where[:-1], where[1:], strict=True)]
-                bands = [None if s is None else mix((s[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64) * BAND).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64) for s in signs]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(n.astype(np.int64)), pa.array((sums[where[1:]] - sums[where[:-1]]).view(np.int64)), pa.array((more[where[1:]] - more[where[:-1]]).view(np.int64)), pa.array([None if s is None else s.astype(np.uint16).tobytes() for s in signs], pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    ["id", "n_shingles", "d1", "d2", "signature", "bands"],
-                )
+                values, where = shingle_sets(*text_views(batch.column("text")), width)
+                signs = [signature(values[a:b], BANDS * ROWS) if b > a else None for a, b in zip(where[:-1], where[1:], strict=True)]
+                bands = [None if s is None else mix((s.reshape(BANDS, ROWS).astype(np.uint64) * BAND).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64) for s in signs]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *_digests(values, where), pa.array(bands, pa.list_(pa.int64()))], ["id", "n_shingles", "d1", "d2", "bands"])
 
-    return docs.mapInArrow(run, "id long, n_shingles long, d1 long, d2 long, signature binary, bands array<long>")
+    return docs.mapInArrow(run, "id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """Digests, whole signatures and full sets."""
+
     def run(batches):
         for whole in batches:
             for batch in by_bytes(whole, "text", PART):
-                body, at = text_views(batch.column("text"))
-                values, where = shingle_sets(body, at, width)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([values[a:b].tobytes() for a, b in zip(where[:-1], where[1:], strict=True)], pa.binary())], ["id", "members"])
+                values, where = shingle_sets(*text_views(batch.column("text")), width)
+                each = [values[a:b] for a, b in zip(where[:-1], where[1:], strict=True)]
+                signs = [signature(x).astype(np.uint16).tobytes() if len(x) else None for x in each]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *_digests(values, where), pa.array(signs, pa.binary()), pa.array([x.tobytes() for x in each], pa.binary())], ["id", "n_shingles", "d1", "d2", "signature", "members"])
 
-    return docs.mapInArrow(run, "id long, members binary")
+    return docs.mapInArrow(run, "id long, n_shingles long, d1 long, d2 long, signature binary, members binary")
 
 
 def _only(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -221,10 +228,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    signed = saved(_signed(rows, width), "signatures")
+    banded = saved(_banded(rows, width), "bands")
     digest = ["d1", "d2", "n_shingles"]
-    # Copies have the same bands, so a class needs no signature before it is known to share a bucket.
-    classes = saved(signed.filter("n_shingles > 0 and id is not null").groupBy(*digest).agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "classes")
+    # Copies have the same bands; whole signatures are made for classes that share a bucket only.
+    classes = saved(banded.filter("n_shingles > 0 and id is not null").groupBy(*digest).agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "classes")
     spread = classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     mated = saved(spread.join(shared, "bucket"), "mates")
@@ -232,9 +239,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     hubs = mated.join(mates, "node").groupBy("bucket").agg(F.max_by(F.struct("node", "n"), F.struct("mates", -F.col("node"))).alias("hub"), F.min(F.struct("node", "n")).alias("hub2"))
     buckets = saved(mated.join(hubs, "bucket"), "buckets")
     met = saved(buckets.select(F.col("node").alias("id")).distinct(), "met")
-    own = classes.select(F.col("node").alias("id"), *digest)  # not another text of a repeated key
-    signs = saved(_only(signed, met).dropDuplicates(["id", *digest]).join(own, ["id", *digest], "left_semi").select("id", "n_shingles", "signature", "bands"), "signs")
-    sets = saved(_sets(_only(rows, met).dropDuplicates(["id", "text"]), width), "sets")
+    full = saved(_sets(_only(rows, met).dropDuplicates(["id", "text"]), width), "sets")
+    sets = full.select("id", "members")
+    own = classes.withColumnRenamed("node", "id")  # not another text of a repeated key
+    signs = saved(full.drop("members").dropDuplicates(["id", *digest]).join(own, ["id", *digest]).select("id", "n_shingles", "signature", "bands"), "signs")
 
     threshold = percent / 100
     ends = buckets.select("node", "n", F.explode(F.array("hub", "hub2")).alias("other")).filter(F.col("node") != F.col("other.node"))
@@ -249,6 +257,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
         if not more.isEmpty():
             part = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
-    member = signed.select("id", *digest).join(classes.drop("bands"), digest, "left")
+    member = banded.select("id", *digest).join(classes.drop("bands"), digest, "left")
     out = member.join(part, "node", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id")).alias("component_id"))
     return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

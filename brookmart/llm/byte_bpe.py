@@ -102,12 +102,12 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
                 last = parts[-1]
                 body += last["body"] if last["until"] is None else last["body"][: chunk + last["until"]]
                 out.append(ids_of(body[parts[0]["cut"] :], ranks, pattern))
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("key", "row", "g")), pa.array(out, pa.binary())], ["key", "row", "g", "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("key", "row", "g", "copies")), pa.array(out, pa.binary())], ["key", "row", "g", "copies", "ids"])
 
     def joined(batches):
         for batch in batches:
             out = [b"".join(x["ids"] for x in parts) for parts in batch.column("parts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.binary())], ["key", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("copies"), pa.array(out, pa.binary())], ["key", "copies", "ids"])
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = rows.filter(long).withColumn("row", F.xxhash64("key", "text")).mapInArrow(cut, f"key {kind}, row long, k int, n int, body string")
@@ -117,8 +117,10 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
     at = F.when(F.col("k") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("head", F.lag("tail").over(order))))
     met = seen.withColumn("cut", at).withColumn("until", F.lead("cut").over(order)).withColumn("g", F.sum(F.when(F.col("cut").isNotNull(), 1).otherwise(0)).over(order))
     group = met.groupBy("key", "row", "g").agg(F.array_sort(F.collect_list(F.struct("k", "body", "cut", "until"))).alias("parts"), F.first("copies").alias("copies"))
-    done = group.select("key", "row", "g", "parts").mapInArrow(pieces, f"key {kind}, row long, g long, ids binary")
-    whole_long = done.groupBy("key", "row").agg(F.array_sort(F.collect_list(F.struct("g", "ids"))).alias("parts")).select("key", "parts").mapInArrow(joined, f"key {kind}, ids binary")
+    done = group.select("key", "row", "g", "copies", "parts").mapInArrow(pieces, f"key {kind}, row long, g long, copies long, ids binary")
+    texts = done.groupBy("key", "row").agg(F.array_sort(F.collect_list(F.struct("g", "ids"))).alias("parts"), F.first("copies").alias("copies"))
+    found = texts.select("key", "copies", "parts").mapInArrow(joined, f"key {kind}, copies long, ids binary")
+    whole_long = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("key", "ids")  # a row each
     short = rows.filter(~long).mapInArrow(whole, f"key {kind}, ids binary")
     out = short.unionByName(whole_long)
     return out.select(F.col("key").alias(key), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")

@@ -90,6 +90,18 @@ def test_byte_bpe_equals_tiktoken_and_round_trips(docs, chunk, overlap):
         assert r.n_tokens == len(ids) and bytes(r.decoded) == text.encode()
 
 
+@pytest.mark.parametrize("chunk", [32_768, 256])
+def test_byte_bpe_keeps_equal_long_rows(spark, chunk):
+    long, other = "word and more, " * 3000, "other words\n" * 4000
+    rows = [(1, long), (1, long), (None, long), (None, long), (None, long), (None, other), (2, long), (1, "short"), (1, "short"), (1, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = byte_bpe.encode(df, RANKS, P.PATTERN, chunk=chunk, overlap=64).collect()
+    e = byte_bpe.encoding(RANKS, P.PATTERN)
+    want = [(str(i), struct.pack(f"<{len(ids)}I", *ids)) for i, t in rows for ids in [e.encode_ordinary(t)]]
+    assert sorted((str(r.doc_id), bytes(r.ids)) for r in got) == sorted(want)
+    assert all(r.n_tokens * 4 == len(r.ids) for r in got)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert token_counts.count_tokens(none, WORDS).count() == 0

@@ -19,6 +19,8 @@ from pyspark.sql.window import Window
 LEVELS = 64
 #: Levels between two looks at the bounds.
 LOOK = 8
+#: Equal query rows that share a search; more are several searches, so their results are no single task's work.
+EQUAL = 4096
 
 
 class Index:
@@ -49,7 +51,10 @@ class Index:
         acc = np.zeros((m, n))
         at, open_ = 0, np.arange(n)
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        few = max(4 * k, m // 64)
+        names, times = np.unique(self.ids, return_counts=True)
+        place = np.minimum(np.searchsorted(names, own), max(len(names) - 1, 0))
+        mine = np.where(names[place] == own, times[place], 0) if m else np.zeros(n, np.int64)  # a query's own rows in the block
+        few = np.maximum(4 * (k + mine), m // 64)
         while len(open_):
             level = self.segments[at][0] if at < len(self.segments) else 0
             while at < len(self.segments) and self.segments[at][0] == level:
@@ -61,9 +66,12 @@ class Index:
                 continue
             # A component read is off by half a step at most; one unread is below this level's impacts and its dimension's largest.
             bound = size[open_] @ np.minimum(self.rest, float(level * self.step)) if level else size[open_].sum(1) * (self.step / 2)
-            kth = np.partition(acc, -min(k + 1, m), axis=0)[-min(k + 1, m)]  # one more: the query's own row may be there
+            kth = np.empty(len(open_))
+            for r in np.unique(mine[open_]):  # so many more: the query's own rows may be among the best
+                same = mine[open_] == r
+                kth[same] = np.partition(acc[:, same], -min(k + r, m), axis=0)[-min(k + r, m)]
             member = acc >= kth - 2 * bound
-            proven = np.flatnonzero((member.sum(0) <= few) | done)
+            proven = np.flatnonzero((member.sum(0) <= few[open_]) | done)
             for j in proven:
                 found.append((np.full(int(member[:, j].sum()), open_[j]), np.flatnonzero(member[:, j])))
             left = np.setdiff1d(np.arange(len(open_)), proven)
@@ -90,36 +98,46 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id"
 
     Rows whose vector is null, empty or holds null or non-finite components, or whose key is null, take no part, as
     queries and as candidates; vectors of other lengths than the query's are no candidates. A query's candidates leave
-    out all rows with its own key; rows that share another key are candidates each. Other columns are not read.
-    Components must be below 2^20 after scaling, so that sums are exact.
+    out all rows with its own key; rows that share another key are candidates each. Query rows that share a key have k
+    rows each, with ranks of their own. Other columns are not read. Components must be below 2^20 after scaling, so that
+    sums are exact.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
     sound = F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.filter(sound).select("id", F.size("v").alias("dims"), F.transform("v", lambda x: F.floor(x * scale)).alias("v"), F.coalesce("q", F.lit(False)).alias("q"))
-    # Blocks by a hash of the key: their number follows the rows, so a block stays near its size.
+    # Blocks by a hash of the key and vector, equal rows once with their count: their number follows the rows, so a block stays
+    # near its size, however many rows share a key.
     n, per_query = rows.agg(F.count("*"), F.sum(F.col("q").cast("int"))).first()
     blocks, groups = max(1, -(-n // block)), max(1, -(-(per_query or 0) // 512))
 
-    def packed(df: DataFrame, number: int, name: str) -> DataFrame:
-        return df.groupBy("dims", F.pmod(F.xxhash64("id"), F.lit(number)).alias(name)).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    def packed(df: DataFrame, number: int, name: str, *more: str) -> DataFrame:
+        at = F.pmod(F.xxhash64("id", "v", *more), F.lit(number)).alias(name)
+        return df.groupBy("dims", at).agg(F.collect_list(F.struct("id", "v", "copies", *more)).alias("rows"))
 
-    candidates = packed(rows, blocks, "block").withColumnRenamed("rows", "cs").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("group", F.col("group").cast("long"))
-    queries = packed(rows.filter("q"), groups, "group").withColumnRenamed("rows", "qs")
+    def distinct(df: DataFrame) -> DataFrame:
+        return df.groupBy("id", "dims", "v").agg(F.count("*").alias("copies"))
+
+    candidates = packed(distinct(rows), blocks, "block").withColumnRenamed("rows", "cs").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("group", F.col("group").cast("long"))
+    asked = distinct(rows.filter("q")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / EQUAL))))
+    asked = asked.withColumn("copies", F.least(F.lit(EQUAL).cast("long"), F.col("copies") - F.col("part") * EQUAL)).withColumn("mark", F.xxhash64("v"))
+    queries = packed(asked, groups, "group", "part", "mark").withColumnRenamed("rows", "qs")
 
     def meet(batches):
-        last, index = None, None
+        last, index, times = None, None, None
         for batch in batches:
             for i in range(batch.num_rows):
                 cs, qs = batch.column("cs")[i].values, batch.column("qs")[i].values
                 mark = (batch.column("dims")[i].as_py(), batch.column("block")[i].as_py())
                 if mark != last:
-                    last, index = mark, Index(cs.field("id").to_numpy(), _matrix(cs.field("v")))
-                ids = qs.field("id").to_numpy()
-                who, row, score = index.search(_matrix(qs.field("v")), ids, k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(index.ids[row]), pa.array(score)], ["query_id", "vec_id", "score"])
+                    last, index, times = mark, Index(cs.field("id").to_numpy(), _matrix(cs.field("v"))), cs.field("copies").to_numpy()
+                who, row, score = index.search(_matrix(qs.field("v")), qs.field("id").to_numpy(), k)
+                asked_ = [pa.array(qs.field(x).to_numpy()[who]) for x in ("id", "mark", "part", "copies")]
+                yield pa.RecordBatch.from_arrays([*asked_, pa.array(index.ids[row]), pa.array(score), pa.array(times[row])], ["query_id", "mark", "part", "asked", "vec_id", "score", "copies"])
 
     met = candidates.join(queries, ["dims", "group"]).select("dims", "block", "group", "cs", "qs")
-    best = met.mapInArrow(meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best = met.mapInArrow(meet, "query_id long, mark long, part long, asked long, vec_id long, score long, copies long")
+    order = Window.partitionBy("query_id", "mark", "part").orderBy(F.desc("score"), "vec_id").rowsBetween(Window.unboundedPreceding, -1)
+    first = best.withColumn("before", F.coalesce(F.sum("copies").over(order), F.lit(0))).filter(F.col("before") < k)
+    ranked = first.withColumn("rank", F.explode(F.sequence(F.col("before") + 1, F.least(F.col("before") + F.col("copies"), F.lit(k)))))
+    each = ranked.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("asked"))))
+    return each.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -140,3 +140,30 @@ def test_search_equals_brute_force(spark):
             assert sorted(got[q]) == [(n + 1, int(i), int(score[i])) for n, i in enumerate(order)]
     few = impact_search.top_k(df.filter("vec_id < 3"), F.col("vec_id") == 0, 10)
     assert few.count() == 2 and impact_search.top_k(df.limit(0), F.lit(True), 3).count() == 0
+
+
+def test_search_with_repeated_keys_equals_brute_force(spark):
+    rows = [(i % 150, v) for i, v in enumerate(x for _, x in vectors()[:200])]
+    rows += [rows[10]] * 3 + [rows[20]] * 2 + [(20, v) for _, v in rows[30:60]] + [rows[5]] * 4 + [(7, rows[8][1])] * 12
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ids, x = np.asarray([i for i, _ in rows]), np.floor(np.asarray([v for _, v in rows]) * 1024).astype(np.int64)
+    want = []
+    for q in np.flatnonzero(ids % 10 == 0):
+        score = x @ x[q]
+        order = [i for i in np.lexsort((ids, -score)) if ids[i] != ids[q]][:10]
+        want += [(int(ids[q]), n + 1, int(ids[i]), int(score[i])) for n, i in enumerate(order)]
+    for block in (2048, 32):
+        assert sorted(map(tuple, impact_search.top_k(df, F.col("vec_id") % 10 == 0, 10, block=block).collect())) == sorted(want)
+
+
+def test_search_proof_allows_for_all_own_rows():
+    rnd = np.random.default_rng(5)
+    for _ in range(20):
+        x = rnd.integers(-60, 60, (600, 8))
+        q = rnd.integers(-60, 60, (1, 8))
+        ids = np.arange(600)
+        x[:40], ids[:40] = q, 0  # forty own rows, the best of the block for all but the longest
+        _, row, score = impact_search.Index(ids, x).search(q, np.asarray([0]), 10)
+        s = x @ q[0]
+        order = [i for i in np.lexsort((ids, -s)) if ids[i] != 0][:10]
+        assert list(row) == order and list(score) == list(s[order])

@@ -32,31 +32,37 @@ BOILERPLATE = set("ad ads adv advert adverts advertisement advertising banner ba
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMED = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: One attribute: its name, and its value if it has one.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s\"'>/=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?|\"[^\"]*\"|'[^']*'")
 WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "drop", "chars", "links", "score")
+    __slots__ = ("tag", "parent", "parts", "drop", "named", "chars", "links", "score")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool):
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: Node | None, drop: bool, named: bool = False):
+        self.tag, self.parent, self.drop, self.named = tag, parent, drop, named  # named: boilerplate by class or id only
         self.parts: list = []  # texts and nodes in page order
         self.chars = self.links = self.score = 0.0
 
 
-def boilerplate(tag: str, attrs: str) -> bool:
+def boilerplate(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element is boilerplate by its tag, role or being hidden, and whether its class or id says so."""
     if tag in DROPPED:
-        return True
+        return True, False
     if not attrs.strip():
-        return False
-    for name, value in NAMED.findall(attrs):
+        return False, False
+    named, seen = False, set()
+    for name, value in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
+        if not name or name in seen:  # the first of a name counts
+            continue
+        seen.add(name)
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES) or (name == "style" and "display:none" in value.replace(" ", "")):
-            return True
+            return True, False
         if name in ("class", "id") and tag not in ("body", "html", "article", "main") and not BOILERPLATE.isdisjoint(WORD.findall(value)):
-            return True
-    return False
+            named = True
+    return False, named
 
 
 def tree(page: str) -> Node:
@@ -110,7 +116,7 @@ def tree(page: str) -> Node:
                 up = up.parent
             while up.tag in CLOSES[name] and up is not root:
                 here = up = up.parent
-        new = Node(name, here, boilerplate(name, m[3]))
+        new = Node(name, here, *boilerplate(name, m[3]))
         here.parts.append(new)
         if name in RAW or name in RCDATA:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
@@ -120,6 +126,40 @@ def tree(page: str) -> Node:
     return root
 
 
+def drop_named(root: Node) -> bool:
+    """Drops elements that a class or id marks, unless they hold an article or main (those within an article, as comments
+    are, don't count), or more than half of the page's unlinked text. Whether any was dropped."""
+    stack: list[tuple[Node, bool, bool, bool]] = [(root, False, False, False)]
+    plain: dict[Node, int] = {}
+    holds: set[Node] = set()
+    marked: list[Node] = []
+    while stack:
+        here, in_link, inner, seen = stack.pop()
+        if here.drop:
+            continue
+        if not seen:
+            in_link = in_link or here.tag == "a"
+            stack.append((here, in_link, inner, True))
+            stack.extend((x, in_link, inner or here.tag == "article", False) for x in here.parts if not isinstance(x, str))
+            continue
+        size = 0
+        for x in here.parts:
+            if isinstance(x, str):
+                size += 0 if in_link else len(x.strip())
+            elif not x.drop:
+                size += plain[x]
+                if not inner and (x in holds or x.tag in ("article", "main")):
+                    holds.add(here)
+        plain[here] = size
+        if here.named:
+            marked.append(here)
+    found = False
+    for x in marked:
+        if x not in holds and 2 * plain[x] <= plain[root]:
+            x.drop = found = True
+    return found
+
+
 def weigh(node: Node, linked: bool, found: list[Node]) -> None:
     """Characters and linked characters of every node, points of every container; without recursion."""
     stack: list[tuple[Node, bool, bool]] = [(node, linked, False)]
@@ -221,7 +261,10 @@ def main_text(page: str | None) -> str:
     page = page.replace("\x00", "�")
     if "<" not in page:
         return " ".join(html.unescape(page).split())
-    return "\n".join(blocks(best(tree(page))))
+    root = tree(page)
+    dropped = drop_named(root)
+    text = "\n".join(blocks(best(root)))
+    return text if text or not dropped else "\n".join(blocks(best(tree(page))))  # again without the rules of class and id
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

@@ -37,6 +37,22 @@ def test_html_cases(spark):
     assert got[None].text == "a" and html_text.extract(rows.limit(0)).count() == 0
 
 
+LOOSE = [
+    ("<article><p>x <a href=\"/hidden/falls\">link</a> y</p><p title='the hidden valley'>z</p><p data-x=\"a class=ad b\">w</p></article>", "x link y\nz\nw"),
+    ("<article><p hidden>a</p><p class='ad'>b</p><p title=x hidden=''>c</p><p>d, e and f and more</p></article>", "d, e and f and more"),
+    *((f"<body><nav>n</nav><div {x}><article><p>Long text, here.</p></article></div>", "Long text, here.") for x in ('class="content with-sidebar"', 'id="main-header-wrap"', "class='entry-content share-enabled'")),
+    ("<body><div class='with-sidebar'><div class=text><p>One long text, of many words, here.</p><p>Two, three.</p></div><div class=sidebar><p>side</p></div></div>", "One long text, of many words, here.\nTwo, three."),
+    ("<body><p class=more>First half.</p><p class=more>Other half.</p></body>", "First half.\nOther half."),
+    ("<article><p>Text, of an article.</p><div class=comments><article><p>me too</p></article></div></article>", "Text, of an article."),
+    ("<body><div class=comments><p>c, d</p></div><div><p>One, two and three and four.</p></div>", "One, two and three and four."),
+]
+
+
+def test_html_drops_no_article_on_loose_matches():
+    for page, want in LOOSE:
+        assert html_text.main_text(page) == want, page
+
+
 def test_html_of_the_test_pages(spark):
     import html
     import re

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.columns import is_entry
 from ..operators import logs, parse, route
 from ..plans import stats, wide
-from ..schemas import CHANGE_EVENT, ORDER_DETAIL, ORDER_INFO, PAGE_LOG, PROVINCE_STATS, VISITOR_STATS
+from ..schemas import CHANGE_EVENT, ORDER_DETAIL, ORDER_INFO, PAGE_LOG, PAYMENT_INFO, PROVINCE_STATS, VISITOR_STATS
 from ..sources import topics
 from . import state
 
@@ -17,7 +18,8 @@ from . import state
 ODS_LOG, ODS_DB = "ods_base_log", "ods_base_db"
 PAGE, START, DISPLAY, DIRTY = "dwd_page_log", "dwd_start_log", "dwd_display_log", "dirty_log"
 DAY_MS = 24 * 3600 * 1000
-UNIQUE, BOUNCE, WIDE = "dwm_unique_visit", "dwm_user_jump_detail", "dwm_order_wide"
+UNIQUE, BOUNCE, WIDE, PAYMENT_WIDE = "dwm_unique_visit", "dwm_user_jump_detail", "dwm_order_wide", "dwm_payment_wide"
+FAVOR, CART, REFUND, COMMENT = "dwd_favor_info", "dwd_cart_info", "dwd_order_refund_info", "dwd_comment_info"
 
 
 class Jobs:
@@ -31,6 +33,19 @@ class Jobs:
         raw = topics.read_topic(self.spark, topic, f"{self.root}/topics", stream=True, **options)
         return parse.parse_strict(raw, schema)
 
+    def facts(self, topic: str, schema: str) -> DataFrame:
+        """A fact topic: files in the topic's own folder and those that split_db routes to it. Values may be strings, as
+        change events have them; one that does not fit its type fails the job."""
+        files = f"{self.root}/{{topics/{topic},facts/batch-*/topic={topic}}}"
+        raw = self.spark.readStream.format("text").option("recursiveFileLookup", True).load(files)
+        fields = T.StructType.fromDDL(schema).fields
+        return parse.parse_strict(raw, ", ".join(f"`{f.name}` string" for f in fields)).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields))
+
+    def batches(self, topic: str, schema: str) -> DataFrame:
+        """A topic that a job writes in folders of its batches; there may be none yet."""
+        raw = self.spark.readStream.format("text").option("recursiveFileLookup", True).load(f"{self.root}/topics/{topic}/batch-*")
+        return parse.parse_strict(raw, schema)
+
     def _write(self, rows: DataFrame, topic: str, job: str) -> StreamingQuery:
         return topics.stream_to_topic(rows, topic, f"{self.root}/topics", f"{self.root}/checkpoints/{job}", self.every)
 
@@ -93,8 +108,8 @@ class Jobs:
         return self._each(events, each, "split_db")
 
     def order_wide(self, info: str = "dwd_order_info", detail: str = "dwd_order_detail", before: str = "5 seconds", after: str = "5 seconds", delay: str = "0 seconds") -> StreamingQuery:
-        i = wide.with_times(self.read(info, ORDER_INFO)).withWatermark("et", delay)
-        d = wide.with_times(self.read(detail, ORDER_DETAIL)).withWatermark("et", delay)
+        i = wide.with_times(self.facts(info, ORDER_INFO)).withWatermark("et", delay)
+        d = wide.with_times(self.facts(detail, ORDER_DETAIL)).withWatermark("et", delay)
         i = i.withColumnRenamed("et", "o_time")
         joined = wide.order_wide(i.withColumnRenamed("o_time", "et"), d, before, after)
         names = {"user": "dim_user_info", "province": "dim_base_province", "sku": "dim_sku_info", "spu": "dim_spu_info", "trademark": "dim_base_trademark", "category3": "dim_base_category3"}
@@ -105,6 +120,41 @@ class Jobs:
 
         return self._each(joined, each, "order_wide")
 
+    def payment_wide(self, payment: str = "dwd_payment_info", before: str = "15 minutes", after: str = "5 seconds", delay: str = "0 seconds") -> StreamingQuery:
+        p = wide.with_times(self.facts(payment, PAYMENT_INFO)).withWatermark("et", delay)
+        schema = (
+            "detail_id bigint, order_id bigint, sku_id bigint, order_price decimal(16,2), sku_num bigint, sku_name string, split_total_amount decimal(16,2), split_activity_amount decimal(16,2), "
+            "split_coupon_amount decimal(16,2), province_id bigint, order_status string, user_id bigint, total_amount decimal(16,2), activity_reduce_amount decimal(16,2), coupon_reduce_amount decimal(16,2), "
+            "original_total_amount decimal(16,2), feight_fee decimal(16,2), split_feight_fee decimal(16,2), expire_time string, create_time string, operate_time string, create_date string, create_hour string, "
+            "et timestamp, user_age int, user_gender string, province_name string, province_area_code string, province_iso_code string, province_3166_2_code string, category3_id bigint, spu_id bigint, "
+            "tm_id bigint, spu_name string, tm_name string, category3_name string"
+        )
+        orders = self.batches(WIDE, ", ".join(f"{x.split()[0]} string" for x in schema.split(", ")))
+        orders = orders.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema).fields)).withWatermark("et", delay)
+        joined = wide.payment_wide(p, orders, before, after)
+        return self._each(joined, lambda b, n: self._replace(topics.as_records(b), f"{self.root}/topics/{PAYMENT_WIDE}", n), "payment_wide")
+
+    def product_stats(self, size: str = "10 seconds", delay: str = "2 seconds") -> StreamingQuery:
+        """The seven sources, aggregated; names are looked up afterwards, as they are at each batch."""
+        acted = "sku_id bigint, create_time string"
+        rows = stats.product_sources(
+            logs.clicks_and_displays(self.batches(PAGE, PAGE_LOG)),
+            self.facts(FAVOR, acted),
+            self.facts(CART, acted),
+            self.batches(WIDE, f"{acted}, order_id bigint, sku_num bigint, total_amount decimal(16,2)"),
+            self.batches(PAYMENT_WIDE, "sku_id bigint, payment_create_time string, split_total_amount decimal(16,2), order_id bigint"),
+            self.facts(REFUND, f"{acted}, order_id bigint, refund_amount decimal(16,2)"),
+            self.facts(COMMENT, f"{acted}, appraise string"),
+        )
+        out = stats.product_stats(rows, size, delay)
+        columns = {"dim_sku_info": "id,sku_name,price,spu_id,tm_id,category3_id", "dim_spu_info": "id,spu_name", "dim_base_category3": "id,name", "dim_base_trademark": "id,tm_name"}
+
+        def each(batch: DataFrame, n: int) -> None:
+            found = [topics.empty_dim(self.spark, c) if (d := self.dims.read(t)) is None else d for t, c in columns.items()]
+            stats.product_dims(batch, *found).write.mode("overwrite").parquet(f"{self.root}/stats/product_stats/batch={n}")
+
+        return self._each(out, each, "product_stats")
+
     def visitor_stats(self, size: str = "10 seconds", delay: str = "11 seconds") -> StreamingQuery:
         unique, bounce = (self.read(t, PAGE_LOG) for t in (UNIQUE, BOUNCE))
         out = stats.visitor_stats(stats.visitor_rows(self.pages(), unique, bounce), size, delay)

@@ -116,3 +116,38 @@ def test_order_wide_and_change_jobs(spark, tmp_path):
     rows = spark.read.option("recursiveFileLookup", True).text(str(tmp_path / "topics" / "dwm_order_wide")).collect()
     assert len(rows) == 1 and json.loads(rows[0].value)["province_name"] == "North"
     jobs.province_stats().awaitTermination()
+
+
+def test_chain_from_changes_to_product_stats(spark, tmp_path):
+    def change(table, **after):
+        return {"database": "s", "tableName": table, "before": {}, "after": {k: str(v) for k, v in after.items()}, "type": "insert"}
+
+    at = "2024-01-01 00:00:1"
+    changes = [
+        change("sku_info", id=3, sku_name="Shoe", price="9.5", spu_id=1, tm_id=1, category3_id=1),
+        change("order_info", id=1, province_id=1, user_id=2, total_amount="5.00", create_time=f"{at}0"),
+        change("order_detail", id=7, order_id=1, sku_id=3, sku_num=2, split_total_amount="2.50", create_time=f"{at}4"),
+        change("payment_info", id=9, order_id=1, user_id=2, total_amount="5.00", payment_type="1101", create_time=f"{at}6"),
+        change("favor_info", id=1, sku_id=3, create_time=f"{at}1"),
+        change("cart_info", id=1, sku_id=3, create_time=f"{at}2"),
+        change("order_refund_info", id=1, order_id=1, sku_id=3, refund_amount="1.25", create_time=f"{at}8"),
+        change("comment_info", id=1, sku_id=3, appraise="1201", create_time=f"{at}9"),
+        change("favor_info", id=2, sku_id=4, create_time="2024-01-01 01:00:00"),
+    ]
+    drop(tmp_path / "topics" / "ods_base_db", changes, 1)
+    page = {"common": {"mid": "m"}, "page": {"page_id": "good_detail", "item_type": "sku_id", "item": "3"}, "displays": [{"item": "3", "item_type": "sku_id"}], "ts": 1704067213000}
+    drop(tmp_path / "topics" / "dwd_page_log" / "batch-0", [page], 1)
+    routes = [(c["tableName"], "insert", "hbase" if c["tableName"] == "sku_info" else "kafka", ("dim_" if c["tableName"] == "sku_info" else "dwd_") + c["tableName"], ",".join(c["after"]), "id", None, 1) for c in changes[:8]]
+    spark.createDataFrame(routes, "sourceTable string, operateType string, sinkType string, sinkTable string, sinkColumns string, sinkPk string, sinkExtend string, seq int").write.parquet(str(tmp_path / "config"))
+    jobs = Jobs(spark, str(tmp_path))
+    jobs.split_db(str(tmp_path / "config")).awaitTermination()
+    for job in (jobs.order_wide, jobs.payment_wide, jobs.product_stats):
+        job().awaitTermination()
+    paid = [json.loads(r.value) for r in spark.read.option("recursiveFileLookup", True).text(str(tmp_path / "topics" / "dwm_payment_wide")).collect()]
+    assert [(r["payment_id"], r["detail_id"], float(r["split_total_amount"]), r["sku_name"]) for r in paid] == [(9, 7, 2.5, "Shoe")]
+    rows = spark.read.parquet(str(tmp_path / "stats" / "product_stats")).filter("sku_id = 3").collect()
+    assert len(rows) == 1
+    r = rows[0]
+    assert (r.stt, r.sku_name, r.click_ct, r.display_ct, r.favor_ct, r.cart_ct) == ("2024-01-01 00:00:10", "Shoe", 1, 1, 1, 1)
+    assert (float(r.order_amount), r.order_sku_num, r.order_ct, float(r.payment_amount), r.paid_order_ct) == (5, 2, 1, 2.5, 1)
+    assert (float(r.refund_amount), r.refund_order_ct, r.comment_ct, r.good_comment_ct) == (1.25, 1, 1, 1)

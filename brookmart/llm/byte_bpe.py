@@ -91,7 +91,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
             head, tail = [], []
             for k, n, body in zip(batch.column("k").to_pylist(), batch.column("n").to_pylist(), batch.column("body").to_pylist(), strict=True):
                 head.append(boundaries(body, 0, min(overlap - MARGIN, len(body)), pattern) if k else [0])
-                tail.append([x - chunk for x in boundaries(body, chunk, min(chunk + overlap, len(body)) - MARGIN * (k < n - 1), pattern)] if k < n - 1 else [])
+                ends = boundaries(body, chunk, min(chunk + overlap, len(body)) - MARGIN * (k < n - 1), pattern) if k < n - 1 else []
+                tail.append([x - chunk for x in ends if not body[x - 1].isspace()])  # matches of white space depend on what follows
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(head, pa.list_(pa.int32())), pa.array(tail, pa.list_(pa.int32()))], [*batch.schema.names, "head", "tail"])
 
     def pieces(batches):

@@ -102,6 +102,18 @@ def test_byte_bpe_keeps_equal_long_rows(spark, chunk):
     assert all(r.n_tokens * 4 == len(r.ids) for r in got)
 
 
+def test_byte_bpe_cuts_no_white_space_from_what_follows(spark, tmp_path):
+    import base64
+
+    path = str(tmp_path / "lines.tiktoken")
+    with open(path, "w") as f:
+        f.writelines(f"{base64.b64encode(x).decode()} {i}\n" for i, x in enumerate([*(bytes([i]) for i in range(256)), b"\n\n"]))
+    texts = ["x" * i + "\n\nWord" * 60 for i in range(8)]  # a chunk begins at every offset of a paragraph
+    rows = byte_bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, P.PATTERN, chunk=64, overlap=24).collect()
+    e = byte_bpe.encoding(path, P.PATTERN)
+    assert {r.doc_id: list(struct.unpack(f"<{r.n_tokens}I", r.ids)) for r in rows} == dict(enumerate(map(e.encode_ordinary, texts)))
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert token_counts.count_tokens(none, WORDS).count() == 0

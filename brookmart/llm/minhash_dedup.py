@@ -7,7 +7,7 @@ similarity reaches the threshold falls below the chosen miss probability. Surviv
 A bucket's classes are first compared with two hubs each, one of them the class with the most bucket mates, which is linear
 in its size. What the links then leave apart is compared in full: every class outside the hub's component with every
 class of the bucket in another component. Small buckets give their pairs as rows; the classes of large ones meet in blocks
-of signatures, whose tasks return only pairs that the posterior does not rule out, the likeliest of each class first.
+of signatures and full sets, whose tasks verify the pairs and return links that span them, never the pairs themselves.
 """
 
 from __future__ import annotations
@@ -28,10 +28,8 @@ BANDS, ROWS = 25, 5
 PART = 1 << 19
 #: Hash functions of a signature (16 bits of each are kept; the bands use all 32 of the first 125), and of a batch.
 HASHES, BATCH = 256, 32
-#: Buckets of more classes than this meet in blocks, of about so many classes.
-SMALL, BLOCK = 16, 256
-#: Candidates of a class that are verified before all others.
-LIKELIEST = 6
+#: Buckets of more classes than this meet in blocks, of about so many bytes of signatures and sets.
+SMALL, BLOCK = 16, 1 << 21
 #: Up to so many ids (8 bytes each) are broadcast to filter texts, signatures or sets; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(41)
@@ -133,64 +131,85 @@ def _survivors(pairs: DataFrame, signs: DataFrame, threshold: float, miss: float
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _met(left: DataFrame, right: DataFrame, threshold: float, miss: float, most: int | None) -> DataFrame:
-    """Pairs of blocks of (node, c, n, signature, bands) with one bucket: a class of the left with those of the right in
-    another component that the signatures do not rule out, or the `most` likeliest of them. A pair that meets in several
-    buckets comes from the first of them only; of two left classes, the lesser one gives it where all pairs are wanted."""
-    least = least_matches(threshold, miss)
-
-    def block(lists: pa.StructArray) -> tuple[np.ndarray, ...]:
-        sign = np.frombuffer(b"".join(lists.field("signature").to_pylist()), np.uint16).reshape(len(lists), -1)
-        bands = lists.field("bands").flatten().to_numpy().reshape(len(lists), -1)
-        return lists.field("node").to_numpy(), lists.field("c").to_numpy(), lists.field("n_shingles").to_numpy(), sign, bands
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                (x, cx, nx, sx, bx), (y, cy, ny, sy, by) = block(batch.column("ls")[i].values), block(batch.column("rs")[i].values)
-                bucket, hub = batch.column("bucket")[i].as_py(), batch.column("hub_c")[i].as_py()
-                may = (cx[:, None] != cy[None, :]) & (np.minimum(nx[:, None], ny[None, :]) >= threshold * np.maximum(nx[:, None], ny[None, :]) - 1e-9)
-                if most is None:
-                    may &= (cy == hub)[None, :] | (x[:, None] < y[None, :])
-                p, q = np.nonzero(may)
-                matches = np.zeros(len(p), np.int64)
-                for j, k in enumerate(least):
-                    part = slice(j * BATCH, (j + 1) * BATCH)
-                    for at in range(0, len(p), 1 << 16):
-                        here = slice(at, at + (1 << 16))
-                        matches[here] += (sx[p[here], part] == sy[q[here], part]).sum(1)
-                    keep = matches >= k
-                    p, q, matches = p[keep], q[keep], matches[keep]
-                keep = np.zeros(len(p), bool)
-                for at in range(0, len(p), 1 << 16):
-                    here = slice(at, at + (1 << 16))
-                    met = bx[p[here]] == by[q[here]]
-                    keep[here] = met.any(1) & (bx[p[here], met.argmax(1)] == bucket)
-                p, q, matches = p[keep], q[keep], matches[keep]
-                if most is not None and len(p):
-                    order = np.lexsort((y[q], -matches, p))
-                    p, q = p[order], q[order]
-                    first = np.concatenate([[0], np.flatnonzero(np.diff(p)) + 1])
-                    rank = np.arange(len(p)) - np.repeat(first, np.diff([*first, len(p)]))
-                    p, q = p[rank < most], q[rank < most]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[p], y[q])), pa.array(np.maximum(x[p], y[q]))], ["a", "b"])
-
-    return left.join(right, "bucket").select("bucket", "hub_c", "ls", "rs").mapInArrow(run, "a long, b long").distinct()
-
-
-def _apart(buckets: DataFrame, part: DataFrame, signs: DataFrame, threshold: float, miss: float, most: int | None) -> DataFrame:
-    """Pairs of classes with one bucket in different components, one of them not in the hub's, that may be links."""
+def meet(ls: pa.Table, rs: pa.Table, percent: int, miss: float) -> tuple[list[int], list[int]]:
+    """Links that span what two blocks of classes join: pairs of a left and a right class of different components with a band
+    in common go through the posterior bounds and are then verified on their full sets, the likeliest first. A link unites
+    two components here, so their other pairs need no look, and a block gives fewer links than it has classes."""
+    threshold, least = percent / 100, least_matches(percent / 100, miss)
+
+    def block(t: pa.Table) -> tuple[np.ndarray, ...]:
+        sign = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint16).reshape(t.num_rows, -1)
+        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        values = np.frombuffer(b"".join(t.column("members").to_pylist()), np.uint64)
+        return t.column("node").to_numpy(), t.column("n").to_numpy(), sign, bands, values, np.concatenate([[0], np.cumsum(t.column("n").to_numpy())])
+
+    (x, nx, sx, bx, vx, ax), (y, ny, sy, by, vy, ay) = block(ls), block(rs)
+    _, part = np.unique(np.concatenate([ls.column("c").to_numpy(), rs.column("c").to_numpy()]), return_inverse=True)
+    px, py = part[: len(x)], part[len(x) :]  # components by number, the same one for what is united
+    found: tuple[list[int], list[int]] = ([], [])
+    for i in range(len(x)):
+        to = np.flatnonzero((py != px[i]) & (np.minimum(ny, nx[i]) >= threshold * np.maximum(ny, nx[i]) - 1e-9))
+        to = to[(by[to] == bx[i]).any(1)]
+        matches = np.zeros(len(to), np.int64)
+        for j, k in enumerate(least):
+            if not len(to):
+                break
+            cut = slice(j * BATCH, (j + 1) * BATCH)
+            matches += (sy[to, cut] == sx[i, cut]).sum(1)
+            to, matches = to[matches >= k], matches[matches >= k]
+        to, own, at, some = to[np.argsort(-matches, kind="stable")], vx[ax[i] : ax[i + 1]], 0, 8
+        while at < len(to):
+            now = to[at : at + some]
+            at, some = at + some, 2 * some
+            now = now[py[now] != px[i]]
+            if not len(now):
+                continue
+            begin = np.concatenate([[0], np.cumsum(ny[now])])
+            theirs = vy[np.repeat(ay[now] - begin[:-1], ny[now]) + np.arange(begin[-1])]
+            same = np.add.reduceat(own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs, begin[:-1], dtype=np.int64)
+            for k in now[100 * same >= percent * (nx[i] + ny[now] - same)]:
+                if py[k] != px[i]:
+                    found[0].append(int(min(x[i], y[k])))
+                    found[1].append(int(max(x[i], y[k])))
+                    old, new = py[k], px[i]
+                    px[px == old], py[py == old] = new, new
+    return found
+
+
+def _met(many: DataFrame, signs: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Links of the classes of large buckets (bucket, node, c, hub_c). Buckets with hubs of one component are a group: its
+    classes outside that component meet all of its classes, in blocks of some BLOCK bytes. So a class is sent once for its
+    group and block of the other side, not for each of its buckets, and its full set goes with it."""
+    sizes = F.col("n") * 8 + (2 * HASHES + 8 * BANDS + 64)
+    nodes = many.groupBy(F.col("hub_c").alias("g"), "node").agg(F.max(F.col("c") != F.col("hub_c")).alias("left"), F.first("c").alias("c"), F.first("n").alias("n"))
+    nodes = saved(nodes, "grouped")
+    blocks = nodes.groupBy("g").agg(*(F.ceil(F.sum(F.when(F.lit(side) | F.col("left"), sizes).otherwise(0)) / BLOCK).alias(k) for k, side in (("nl", False), ("nr", True))))
+    wanted = saved(nodes.select(F.col("node").alias("id")).distinct(), "wanted")
+    full = nodes.join(blocks, "g").join(_only(signs, wanted).select(F.col("id").alias("node"), "signature", "bands"), "node").join(_only(sets, wanted).withColumnRenamed("id", "node"), "node")
+    full = full.withColumn("block", F.pmod(F.xxhash64("node"), "nr"))
+    out = ["g", "lb", "rb", "node", "c", "n", "signature", "bands", "members"]
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    right = full.withColumns({"rb": F.col("block"), "lb": every("nl")}).select(*out)
+    left = full.filter("left").withColumns({"lb": F.pmod(F.xxhash64("node", F.lit(1)), "nl"), "rb": every("nr")}).select(*(F.col(k).alias(f"l_{k}") for k in out))
+
+    def run(ls: pa.Table, rs: pa.Table) -> pa.Table:
+        ls = ls.rename_columns(out)
+        a, b = meet(ls, rs, percent, miss) if ls.num_rows and rs.num_rows else ([], [])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    keys = out[:3]
+    return left.groupBy(*(f"l_{k}" for k in keys)).cogroup(right.groupBy(*keys)).applyInArrow(run, "a long, b long").distinct()
+
+
+def _apart(buckets: DataFrame, part: DataFrame, signs: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Links between classes with one bucket in different components, one of them not in the hub's."""
     own = buckets.join(part, "node", "left").select("bucket", "node", "n", F.col("hub.node").alias("hub"), "size", F.coalesce("component", "node").alias("c"))
     open_ = own.groupBy("bucket").agg(F.min(F.when(F.col("node") == F.col("hub"), F.col("c"))).alias("hub_c"), F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2")
     own = saved(own.join(open_.select("bucket", "hub_c"), "bucket"), "open")
     few = own.filter(F.col("size") <= SMALL)
-    pairs = few.filter("c <> hub_c").select("bucket", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx")).join(few.select("bucket", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny")), "bucket").filter(F.col("cx") != F.col("cy")).filter(_near("nx", "ny", threshold))
-    small = _survivors(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), signs, threshold, miss)
-    many = own.filter(F.col("size") > SMALL).join(signs.withColumnRenamed("id", "node"), "node")
-    many = many.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)))
-    rows = F.collect_list(F.struct("node", "c", "n_shingles", "signature", "bands"))
-    large = _met(many.filter("c <> hub_c").groupBy("bucket", "block").agg(rows.alias("ls"), F.first("hub_c").alias("hub_c")).drop("block"), many.groupBy("bucket", "block").agg(rows.alias("rs")).drop("block"), threshold, miss, most)
-    return small.unionByName(large).distinct()
+    pairs = few.filter("c <> hub_c").select("bucket", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx")).join(few.select("bucket", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny")), "bucket").filter(F.col("cx") != F.col("cy")).filter(_near("nx", "ny", percent / 100))
+    small = _verified(_survivors(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), signs, percent / 100, miss), sets, percent)
+    return small.unionByName(_met(own.filter(F.col("size") > SMALL), signs, sets, percent, miss)).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -250,12 +269,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     first = saved(_verified(_survivors(starred, signs, threshold, miss), sets, percent), "links")
     part = components(first)
 
-    # What is still apart within a bucket: the likeliest candidates of each class first, then all that are left. Components
-    # stand for the links found before.
-    for most in (LIKELIEST, None):
-        more = saved(_verified(_apart(buckets, part, signs, threshold, miss, most), sets, percent), "links")
-        if not more.isEmpty():
-            part = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    # What is still apart within a bucket. Components stand for the links found before.
+    more = saved(_apart(buckets, part, signs, sets, percent, miss), "links")
+    if not more.isEmpty():
+        part = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     member = banded.select("id", *digest).join(classes.drop("bands"), digest, "left")
     out = member.join(part, "node", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id")).alias("component_id"))

@@ -4,11 +4,13 @@ A component of a vector is an impact, a dimension and sign a term. The index of
 postings cut into segments of one quantised impact level. Queries meet a block together: segments come in descending
 level, each adds weight x level to its rows, and what is still to come bounds every row's final score from above. A
 query stops only when the bound proves that no more rows than a few can be among its best; those are rescored exactly.
-Queries and rows meet in blocks, never as single pairs, and every block pair returns k rows a query at most.
+The queries are copied to every block of rows, whose index is built once, and every block returns k rows a query at most.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,6 +21,10 @@ from pyspark.sql.window import Window
 LEVELS = 64
 #: Levels between two looks at the bounds.
 LOOK = 8
+#: Rows of a pack, the unit that is shuffled, and packs of queries that pass an index together.
+PACK, TOGETHER = 64, 8
+#: Tasks are as many as blocks up to here.
+MOST_TASKS = 20_000
 #: Equal query rows that share a search; more are several searches, so their results are no single task's work.
 EQUAL = 4096
 
@@ -28,7 +34,7 @@ class Index:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, levels: int = LEVELS):
         self.ids, self.x = ids, x
-        top = int(np.abs(x).max(initial=0))
+        self.top = top = int(np.abs(x).max(initial=0))
         self.step = max(1, -(-(top + 1) // levels))
         level = np.abs(x) // self.step
         self.rest = np.abs(x).max(axis=0, initial=0).astype(np.float64)
@@ -48,6 +54,7 @@ class Index:
         n, m = len(queries), len(self.ids)
         q = queries.astype(np.float64)
         size = np.abs(q)
+        slack = size.sum(1) * (self.top + self.step) * 2.0**-44  # of sums in floating point
         acc = np.zeros((m, n))
         at, open_ = 0, np.arange(n)
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -66,6 +73,7 @@ class Index:
                 continue
             # A component read is off by half a step at most; one unread is below this level's impacts and its dimension's largest.
             bound = size[open_] @ np.minimum(self.rest, float(level * self.step)) if level else size[open_].sum(1) * (self.step / 2)
+            bound = bound + slack[open_]
             kth = np.empty(len(open_))
             for r in np.unique(mine[open_]):  # so many more: the query's own rows may be among the best
                 same = mine[open_] == r
@@ -92,52 +100,89 @@ def _matrix(lists: pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy().astype(np.int64).reshape(len(lists), -1)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: int = 1024, block: int = 2048) -> DataFrame:
+def _fits(x: np.ndarray, q: np.ndarray) -> None:
+    """An error unless every inner product of the rows of x and q fits in 63 bits."""
+    if x.shape[1] * float(np.abs(x.astype(np.float64)).max(initial=0)) * float(np.abs(q.astype(np.float64)).max(initial=0)) >= 2.0**62:
+        raise ValueError("components are too large: a score may not fit in 63 bits")
+
+
+def meet(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Packs of rows (dims, block, kind, rows), a block's candidates (kind 0) before its queries (kind 1): the index of a
+    block is built once, and queries pass by in groups. Only one block's rows and one group's bounds are held."""
+    at, held, index, times = None, [], None, None
+    for batch in batches:
+        marks = list(zip(batch.column("block").to_pylist(), batch.column("dims").to_pylist(), batch.column("kind").to_pylist(), strict=True))
+        i = 0
+        while i < len(marks):
+            j = i + 1
+            while j < len(marks) and marks[j] == marks[i] and j - i < TOGETHER:
+                j += 1
+            rows = batch.column("rows").slice(i, j - i).flatten()
+            if marks[i][:2] != at:
+                at, held, index = marks[i][:2], [], None
+            if marks[i][2] == 0:
+                held.append(rows)
+            elif held:
+                if index is None:
+                    cs = pa.concat_arrays(held)
+                    index, times = Index(cs.field("id").to_numpy(), _matrix(cs.field("v"))), cs.field("copies").to_numpy()
+                asked = _matrix(rows.field("v"))
+                _fits(index.x, asked)
+                who, row, score = index.search(asked, rows.field("id").to_numpy(), k)
+                own = [pa.array(rows.field(x).to_numpy()[who]) for x in ("id", "mark", "part", "copies")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(index.ids[row]), pa.array(score), pa.array(times[row])], ["query_id", "mark", "part", "asked", "vec_id", "score", "copies"])
+            i = j
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: int = 1024, block: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and score: for each row that is_query marks, the k rows with the highest inner product of
     floor(scale x component), ties to the smaller key; all other rows if there are fewer.
 
     Rows whose vector is null, empty or holds null or non-finite components, or whose key is null, take no part, as
     queries and as candidates; vectors of other lengths than the query's are no candidates. A query's candidates leave
     out all rows with its own key; rows that share another key are candidates each. Query rows that share a key have k
-    rows each, with ranks of their own. Other columns are not read. Components must be below 2^20 after scaling, so that
-    sums are exact.
+    rows each, with ranks of their own. Other columns are not read. Components so large that a score might not fit in 63
+    bits (some 2^28 after scaling, in 64 dimensions) are an error. block: rows an index (by default 2,048 to 16,384, with
+    the number of rows). Tasks follow the blocks, so they grow with the rows; queries are copied to every block.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
     sound = F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.filter(sound).select("id", F.size("v").alias("dims"), F.transform("v", lambda x: F.floor(x * scale)).alias("v"), F.coalesce("q", F.lit(False)).alias("q"))
-    # Blocks by a hash of the key and vector, equal rows once with their count: their number follows the rows, so a block stays
-    # near its size, however many rows share a key.
-    n, per_query = rows.agg(F.count("*"), F.sum(F.col("q").cast("int"))).first()
-    blocks, groups = max(1, -(-n // block)), max(1, -(-(per_query or 0) // 512))
-
-    def packed(df: DataFrame, number: int, name: str, *more: str) -> DataFrame:
-        at = F.pmod(F.xxhash64("id", "v", *more), F.lit(number)).alias(name)
-        return df.groupBy("dims", at).agg(F.collect_list(F.struct("id", "v", "copies", *more)).alias("rows"))
-
-    def distinct(df: DataFrame) -> DataFrame:
-        return df.groupBy("id", "dims", "v").agg(F.count("*").alias("copies"))
-
-    candidates = packed(distinct(rows), blocks, "block").withColumnRenamed("rows", "cs").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("group", F.col("group").cast("long"))
-    asked = distinct(rows.filter("q")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / EQUAL))))
-    asked = asked.withColumn("copies", F.least(F.lit(EQUAL).cast("long"), F.col("copies") - F.col("part") * EQUAL)).withColumn("mark", F.xxhash64("v"))
-    queries = packed(asked, groups, "group", "part", "mark").withColumnRenamed("rows", "qs")
-
-    def meet(batches):
-        last, index, times = None, None, None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                cs, qs = batch.column("cs")[i].values, batch.column("qs")[i].values
-                mark = (batch.column("dims")[i].as_py(), batch.column("block")[i].as_py())
-                if mark != last:
-                    last, index, times = mark, Index(cs.field("id").to_numpy(), _matrix(cs.field("v"))), cs.field("copies").to_numpy()
-                who, row, score = index.search(_matrix(qs.field("v")), qs.field("id").to_numpy(), k)
-                asked_ = [pa.array(qs.field(x).to_numpy()[who]) for x in ("id", "mark", "part", "copies")]
-                yield pa.RecordBatch.from_arrays([*asked_, pa.array(index.ids[row]), pa.array(score), pa.array(times[row])], ["query_id", "mark", "part", "asked", "vec_id", "score", "copies"])
-
-    met = candidates.join(queries, ["dims", "group"]).select("dims", "block", "group", "cs", "qs")
-    best = met.mapInArrow(meet, "query_id long, mark long, part long, asked long, vec_id long, score long, copies long")
+    n, queries = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("q").cast("long")), F.lit(0))).first()
+    block = block or min(16_384, max(2_048, n // 4_096))
+    blocks = max(1, -(-n // block))
+    tasks = min(blocks, MOST_TASKS)
+
+    # Equal rows once, with their count. A block is a hash of the key and vector: however many rows share a key, it stays near
+    # its size.
+    distinct = rows.groupBy("id", "dims", "v").agg(F.count("*").alias("copies"), F.sum(F.col("q").cast("long")).alias("asked"))
+    number = lambda of: F.pmod(F.xxhash64("id", "v"), F.lit(of))
+    member = lambda copies, part: F.struct("id", "v", copies.alias("copies"), part.alias("part"), F.xxhash64("v").alias("mark"))
+    zero = F.lit(0).cast("long")
+    candidates = distinct.groupBy("dims", number(blocks).alias("block"), F.pmod(F.xxhash64("v", "id", F.lit(1)), F.lit(-(-block // PACK))).alias("pack")).agg(F.collect_list(member(F.col("copies"), zero)).alias("rows"))
+    asked = distinct.filter("asked > 0").withColumn("part", F.explode(F.sequence(zero, F.floor((F.col("asked") - 1) / EQUAL))))
+    share = F.least(F.lit(EQUAL).cast("long"), F.col("asked") - F.col("part") * EQUAL)
+    packs = asked.groupBy("dims", number(max(1, -(-queries // PACK))).alias("pack")).agg(F.collect_list(member(share, F.col("part"))).alias("rows"))
+    copied = packs.withColumn("block", F.explode(F.sequence(zero, F.lit(blocks - 1).cast("long"))))
+    both = candidates.select("dims", "block", F.lit(0).alias("kind"), "rows").unionByName(copied.select("dims", "block", F.lit(1).alias("kind"), "rows"))
+    met = both.repartitionById(tasks, F.pmod("block", F.lit(tasks)).cast("int")).sortWithinPartitions("block", "dims", "kind")
+
+    best = met.mapInArrow(lambda batches: meet(batches, k), "query_id long, mark long, part long, asked long, vec_id long, score long, copies long")
     order = Window.partitionBy("query_id", "mark", "part").orderBy(F.desc("score"), "vec_id").rowsBetween(Window.unboundedPreceding, -1)
     first = best.withColumn("before", F.coalesce(F.sum("copies").over(order), F.lit(0))).filter(F.col("before") < k)
     ranked = first.withColumn("rank", F.explode(F.sequence(F.col("before") + 1, F.least(F.col("before") + F.col("copies"), F.lit(k)))))
     each = ranked.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("asked"))))
     return each.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def sql(is_query: str, k: int = 10, scale: int = 1024, vectors: str = "embeddings") -> str:
+    """The same over `vectors` (vec_id, embedding), whose keys are distinct, in DuckDB's SQL."""
+    return f"""
+WITH v AS (
+  SELECT vec_id, [floor({scale} * CAST(x AS DOUBLE)) for x in embedding] AS x FROM {vectors}
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  FROM (SELECT * FROM v WHERE {is_query}) q JOIN v c ON c.vec_id <> q.vec_id AND len(c.x) = len(q.x))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= {k}"""

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,18 +23,24 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style noscript template iframe noembed noframes xmp".split())
 RCDATA = set("title textarea".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
-DROPPED = set("head nav footer aside form script style noscript template iframe title textarea select option button input dialog menu object embed svg canvas audio video map search fieldset datalist noembed noframes xmp".split())
+DROPPED = set("head nav footer aside script style noscript template iframe title textarea select option button input dialog menu object embed svg canvas audio video map search fieldset datalist noembed noframes xmp".split())
 CONTAINERS = set("article main section div td body blockquote center".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: What a start tag closes if it is open in the same container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = set("ul ol dl table tr article section div main body td th blockquote aside nav".split())
-#: Words of class and id names that mark boilerplate.
-BOILERPLATE = set("ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login menu menus nav navbar navigation breadcrumb breadcrumbs topbar header masthead footer foot sidebar sidebars side rail aside widget widgets related recommended recommendations more share sharing social toolbar pagination pager comment comments commentlist disqus replies reply respond reactions tags skip copyright legal disclaimer".split())
-ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-#: One attribute: its name, and its value if it has one.
+#: Words of class and id names that mark boilerplate wherever they stand in a name,
+BOILERPLATE = set("ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login menu menus nav navbar navigation breadcrumb breadcrumbs topbar masthead footer sidebar sidebars widget widgets recommended recommendations sharing toolbar pagination pager comments commentlist disqus respond copyright disclaimer".split())
+#: those that do if the whole name is of such words,
+LOOSE = set("notice notices alert header foot side rail aside related more share social comment replies reply reactions tags tag skip legal".split())
+#: and words that names of boilerplate have besides.
+FILLER = set("box boxes list lists link links bar block wrap wrapper container button buttons icon icons section area inner outer site page top bottom left right global read posts post articles stories form text".split())
+#: Elements that are boilerplate unless they hold an article or most of the page.
+USUALLY = {"header", "form"}
+
+#: What may end a tag, and the name of one. One attribute: its name, and its value if it has one.
+STOP = re.compile(r"[>\"']")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s\"'>/=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?|\"[^\"]*\"|'[^']*'")
 WORD = re.compile(r"[a-z]+")
 
@@ -46,13 +54,22 @@ class Node:
         self.chars = self.links = self.score = 0.0
 
 
+def marks(value: str) -> bool:
+    """Whether a class or id holds a name of boilerplate."""
+    for name in value.split():
+        words = WORD.findall(name)
+        if not BOILERPLATE.isdisjoint(words) or (not LOOSE.isdisjoint(words) and all(w in LOOSE or w in FILLER for w in words)):
+            return True
+    return False
+
+
 def boilerplate(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Whether an element is boilerplate by its tag, role or being hidden, and whether its class or id says so."""
+    """Whether an element is boilerplate by its tag, role or being hidden, and whether its kind, class or id says so."""
     if tag in DROPPED:
         return True, False
+    named, seen = tag in USUALLY, set()
     if not attrs.strip():
-        return False, False
-    named, seen = False, set()
+        return False, named
     for name, value in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if not name or name in seen:  # the first of a name counts
@@ -60,37 +77,126 @@ def boilerplate(tag: str, attrs: str) -> tuple[bool, bool]:
         seen.add(name)
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES) or (name == "style" and "display:none" in value.replace(" ", "")):
             return True, False
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and not BOILERPLATE.isdisjoint(WORD.findall(value)):
+        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and marks(value):
             named = True
     return False, named
 
 
-def tree(page: str) -> Node:
-    """The page's elements and texts, with the usual repairs of unclosed elements."""
-    root = here = Node("html", None, False)
+def tokens(page: str) -> Iterator[tuple[str, bool, str, int]]:
+    """What a page has one after another: ("", False, text, end), and tags as (name, closing, attributes, end); comments are
+    left out, and so is a tag that the page ends in. One pass: a quote or bracket that nothing closes is looked for once.
+    A caller may send the place from which to go on."""
     at, n = 0, len(page)
+    last = {c: page.rfind(c) for c in ">\"'"}
     while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
-            rest = page[at:]
-            if (open_ := re.search(r"<[/!a-zA-Z]", rest)) is not None:  # a page that ends inside a tag
-                rest = rest[: open_.start()]
-            here.parts.append(rest)
-            break
-        if m.start() > at:
-            here.parts.append(page[at : m.start()])
-        at = m.end()
-        if not (name := m[2]):
+        begin = page.find("<", at)
+        if begin < 0:
+            begin = n
+        if begin > at:
+            yield "", False, page[at:begin], begin
+        at = begin
+        if at >= n:
+            return
+        after = page[at + 1 : at + 2]
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = n if end < 0 else end + 3
+            continue
+        closing = after == "/"
+        name = NAME.match(page, at + 1 + closing)
+        if name is None and after not in ("!", "?", "/"):
+            yield "", False, "<", at + 1
+            at += 1
+            continue
+        if at > last[">"]:
+            return
+        here = name.end() if name else at + 1
+        stop = here
+        while True:
+            m = STOP.search(page, stop)
+            if m is None:
+                return
+            stop = m.end()
+            if m[0] == ">":
+                break
+            if name is not None and not closing and stop <= last[m[0]]:
+                stop = page.find(m[0], stop) + 1
+        at = stop
+        if name is not None:
+            found = yield name[0].lower(), closing, page[here : stop - 1], stop
+            if found is not None:
+                at = found
+                yield "", False, "", at
+
+
+class Open:
+    """The open elements: a stack, and what is open of each name since the last block (inline) and within the last scope."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.blocks: Counter = Counter()
+        self.inline: list[Counter] = [Counter()]
+        self.scoped: list[tuple[Node, Counter]] = [(root, Counter())]
+
+    def push(self, node: Node) -> None:
+        self.nodes.append(node)
+        if node.tag in BLOCK:
+            self.blocks[node.tag] += 1
+            self.inline.append(Counter())
+        else:
+            self.inline[-1][node.tag] += 1
+        if node.tag in SCOPE:
+            self.scoped.append((node, Counter()))
+        else:
+            self.scoped[-1][1][node.tag] += 1
+
+    def pop(self) -> Node:
+        node = self.nodes.pop()
+        if node.tag in SCOPE:
+            self.scoped.pop()
+        else:
+            self.scoped[-1][1][node.tag] -= 1
+        if node.tag in BLOCK:
+            self.blocks[node.tag] -= 1
+            self.inline.pop()
+        else:
+            self.inline[-1][node.tag] -= 1
+        return node
+
+    def close(self, name: str) -> None:
+        """An end tag: closes up to the last open element of its name; an inline one does not cross a block."""
+        if (self.blocks if name in BLOCK else self.inline[-1])[name] > 0:
+            while self.pop().tag != name:
+                pass
+
+    def ends(self, names: set[str]) -> None:
+        """Closes what a start tag ends: up to the last open element of these names within the scope, and more that follow."""
+        top, within = self.scoped[-1]
+        if any(within[x] > 0 for x in names):
+            while self.pop().tag not in names:
+                pass
+        elif top.tag in names:
+            while self.nodes[-1] is not top:
+                self.pop()
+        while self.nodes[-1].tag in names and len(self.nodes) > 1:
+            self.pop()
+
+
+def tree(page: str) -> Node:
+    """The page's elements and texts, with the usual repairs of unclosed elements, in time linear in its length."""
+    root = Node("html", None, False)
+    now = Open(root)
+    walk = tokens(page)
+    for name, closing, body, end in walk:
+        here = now.nodes[-1]
+        if not name:
+            if body:
+                here.parts.append(body)
             continue
-        name = name.lower()
-        if m[1]:
+        if closing:
             if name == "br":
                 here.parts.append(" ")
-            up = here
-            while up is not root and up.tag != name and not (name not in BLOCK and up.tag in BLOCK):
-                up = up.parent
-            if up is not root and up.tag == name:
-                here = up.parent
+            now.close(name)
             continue
         if name == "br":
             here.parts.append("\x00br")
@@ -101,36 +207,35 @@ def tree(page: str) -> Node:
             continue
         if name in ("html", "body"):
             if name == "body":
-                here = Node("body", root, False)
-                root.parts.append(here)
+                while len(now.nodes) > 1:
+                    now.pop()
+                root.parts.append(new := Node("body", root, False))
+                now.push(new)
             continue
         if name in BLOCK:
-            up = here
-            while up is not root and up.tag not in SCOPE and up.tag != "p":
-                up = up.parent
-            if up.tag == "p":
-                here = up.parent
+            now.ends({"p"})
         if name in CLOSES:
-            up = here
-            while up is not root and up.tag not in SCOPE and up.tag not in CLOSES[name]:
-                up = up.parent
-            while up.tag in CLOSES[name] and up is not root:
-                here = up = up.parent
-        new = Node(name, here, *boilerplate(name, m[3]))
+            now.ends(CLOSES[name])
+        here = now.nodes[-1]
+        new = Node(name, here, *boilerplate(name, body))
         here.parts.append(new)
         if name in RAW or name in RCDATA:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
-        elif not m[3].endswith("/") or name in BLOCK:
-            here = new
+            done = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, end)
+            stop = page.find(">", done.end()) if done else -1
+            walk.send(stop + 1 if stop >= 0 else len(page))
+        elif not body.endswith("/") or name in BLOCK:
+            now.push(new)
     return root
 
 
 def drop_named(root: Node) -> bool:
-    """Drops elements that a class or id marks, unless they hold an article or main (those within an article, as comments
-    are, don't count), or more than half of the page's unlinked text. Whether any was dropped."""
+    """Drops elements that a class, an id or their kind marks, unless they hold an article or main (those within an article,
+    as comments are, don't count), or more than half of the page's unlinked text. The header of an article or main stays if
+    it has a heading, without what is mostly links in it. Whether any was dropped."""
     stack: list[tuple[Node, bool, bool, bool]] = [(root, False, False, False)]
     plain: dict[Node, int] = {}
+    all_: dict[Node, int] = {}
+    titled: set[Node] = set()
     holds: set[Node] = set()
     marked: list[Node] = []
     while stack:
@@ -140,18 +245,25 @@ def drop_named(root: Node) -> bool:
         if not seen:
             in_link = in_link or here.tag == "a"
             stack.append((here, in_link, inner, True))
-            stack.extend((x, in_link, inner or here.tag == "article", False) for x in here.parts if not isinstance(x, str))
+            stack.extend((x, in_link, inner or here.tag in ("article", "main"), False) for x in here.parts if not isinstance(x, str))
             continue
-        size = 0
+        size = every = 0
         for x in here.parts:
             if isinstance(x, str):
+                every += len(x.strip())
                 size += 0 if in_link else len(x.strip())
             elif not x.drop:
-                size += plain[x]
+                size, every = size + plain[x], every + all_[x]
                 if not inner and (x in holds or x.tag in ("article", "main")):
                     holds.add(here)
-        plain[here] = size
-        if here.named:
+                if x in titled or x.tag in HEADINGS:
+                    titled.add(here)
+        plain[here], all_[here] = size, every
+        if here.tag == "header" and inner and here in titled:
+            for x in here.parts:
+                if not isinstance(x, str) and not x.drop and x not in titled and x.tag not in HEADINGS and 2 * plain[x] <= all_[x]:
+                    x.drop = True
+        elif here.named:
             marked.append(here)
     found = False
     for x in marked:

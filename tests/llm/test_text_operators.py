@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +46,16 @@ LOOSE = [
     ("<body><p class=more>First half.</p><p class=more>Other half.</p></body>", "First half.\nOther half."),
     ("<article><p>Text, of an article.</p><div class=comments><article><p>me too</p></article></div></article>", "Text, of an article."),
     ("<body><div class=comments><p>c, d</p></div><div><p>One, two and three and four.</p></div>", "One, two and three and four."),
+    ("<body><header><h2>Site</h2></header><div><p>One, two and three and four and five.</p></div>", "One, two and three and four and five."),
+    ("<form><div><p>Long text, here, of a page.</p><p>More.</p></div></form>", "Long text, here, of a page.\nMore."),
+    ("<article><p>Long text, here, of a page.</p><form><p>Your name, please</p></form></article>", "Long text, here, of a page."),
+    ("<div class='side-by-side content'><p>Hello, world, this is text.</p></div>", "Hello, world, this is text."),
+    ("<body><p class=share-price>Price, 5 and more</p><p>Other, text, that is much longer than it.</p>", "Price, 5 and more\nOther, text, that is much longer than it."),
+    ("<body><p>Text, that is longer than what is shared.</p><p class=share-buttons>Tell others</p>", "Text, that is longer than what is shared."),
+    ("<article><header><h1>T</h1><ul><li><a href=x>menu</a></ul><a href=y>home</a></header><p>Text, of it.</p></article>", "T\nText, of it."),
+    ("a < b and <3 c <p>d</p", "a < b and <3 c\nd"),
+    ("<p title='it''s > \"x\"'>quotes, in tags</p>", "quotes, in tags"),
+    ("<p>a<script>if (a < b) '</p>'</script >b</p>", "ab"),
 ]
 
 
@@ -53,6 +64,15 @@ def test_html_drops_no_article_on_loose_matches():
         assert html_text.main_text(page) == want, page
 
 
+def test_html_is_read_in_linear_time():
+    import time
+
+    for unit in ("<a x=' ", "<b ", "</p>", "<div><i></p>", "<i></b>", "<center>", "</script ", "<li><i>", "<x ' y> ", "<td><b></i>"):
+        page, began = "<b><div>" + unit * (1_000_000 // len(unit)), time.process_time()
+        html_text.tree(page)
+        assert time.process_time() - began < 15, unit
+
+
 def test_html_of_the_test_pages(spark):
     import html
     import re
@@ -65,16 +85,41 @@ def test_html_of_the_test_pages(spark):
         assert got[r.page_id] == "\n".join(x for x in blocks if x)
 
 
+def kinds(text, **lexicon):
+    model = toxicity.Model(lexicon or {"idiot": 0.9}, {})
+    return [(kind, round(weight, 2)) for kind, weight, _ in model.clauses(text, model.machine, 1.5)]
+
+
 def test_transducers_compose():
-    g = toxicity.grammar()
-    kinds = lambda *tags: [t for t, _ in g.run(tags) if t not in ("-", "TGT", "NEG", "REP")]
-    assert kinds("insult") == ["insult"]
-    assert kinds("TGT", "-", "insult") == ["aimed insult"]
-    assert kinds("NEG", "-", "insult") == ["negated insult"]
-    assert kinds("NEG", "-", "-", "-", "insult") == ["insult"]
-    assert kinds("REP", "-", "-", "threat") == ["reported threat"]
-    swap = transducers.Transducer(lambda s, t: (s, {"a": "b"}.get(t, t), 1.0))
-    assert swap.then(transducers.scope("x", {"b": "c"}, 2, 0.5)).run(["x", "a", "a", "a"]) == [("x", 1.0), ("c", 1.5), ("c", 1.5), ("b", 1.0)]
+    assert kinds("an idiot") == [("insult", 2.8)] and kinds("a friend, you") == []
+    assert kinds("you big idiot") == kinds("idiot that you are") == [("aimed insult", 4.3)]
+    assert kinds("not an idiot") == [("negated insult", 1.8)] and kinds("not at all some idiot") == kinds("not me, idiot") == [("insult", 2.8)]
+    assert kinds("he said, what an idiot") == [("reported insult", 1.8)]
+    assert kinds("to kill time") == [("threat", 0.0)] and kinds("i will kill you") == [("aimed intended threat", 3.0)]
+    assert kinds("they said i will not kill you") == [("aimed reported negated intended threat", 1.0)]
+    assert kinds("idiot idiot. you idiot") == [("insult", 5.6), ("aimed insult", 4.3)]  # paths and clauses add up
+    swap = transducers.lexicon({"a": ("b", 1.0)})
+    assert swap.then(transducers.scope("x", {"b": "c"}, 2, 0.5)).run(["x", "a", "a", "a"]) == [("x", 0.0), ("c", 1.5), ("c", 1.5), ("b", 1.0)]
+
+
+def test_toxicity_words_and_clauses_in_any_marks():
+    for text in ("«idiot»", "“idiot”", "¡idiot!", "idiot—really", "you…idiot", "3idiot4", "IDIOT’s"):
+        assert [k for k, _ in kinds(text.lower())] == ["insult"], text
+        assert len(toxicity.Model({"idiot": 0.9}, {}).batch(pa.array([text]))[0][0]) == 1, text
+    assert kinds("you. idiot") == kinds("you – idiot") == [("insult", 2.8)]
+
+
+def test_toxicity_prefilter_misses_nothing(spark):
+    rnd = random.Random(2)
+    model = toxicity.Model({"idiot": 0.9, "täter": 0.7, "e": 0.6}, {"grum": 0.8, "ñandúes"[:5]: 0.5})
+    pieces = ["idiot", "Täter", "grumpfel", "ñandú", "ñandúes", "kill", "você", "e", "x", "«", "”", "—", "…", ",", ".", "1", "\u0301", "\u00a0", "漢字", "İ", "ﬁ", "\u200b", " ", " ", "\n"]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randrange(0, 9))) for _ in range(4000)]
+    low, near = model.near(pa.array(texts))
+    want = {i for i, t in enumerate(low.to_pylist()) if model.clauses(t, model.machine, 1.5)}
+    assert want <= set(near.tolist()) and len(want) > 1000
+    scores = model.batch(pa.array(texts))[1]
+    for i, t in enumerate(low.to_pylist()):
+        assert scores[i] == pytest.approx(model.score(float(model.features(t) @ model.weights)), abs=1e-9), t
 
 
 def labelled(spark, n=600):
@@ -102,6 +147,8 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(got[i].predicted == int(x) for i, x in held) and len(held) > 80
     assert got[9000].predicted == got[9001].predicted == 0 and got[None].predicted == got[9002].predicted == 1
     assert all(0 <= r.score <= 1 for r in got.values()) and got[None].clauses[0].endswith("a dolt")
+    again = df.selectExpr("doc_id", "text", "1 AS score", "'x' AS clauses", "2 AS key").unionAll(df.selectExpr("doc_id", "text", "1", "'x'", "2"))
+    assert toxicity.score(again, model).count() == 2 * len(got) and toxicity.reject(again, model).columns == again.columns
     assert toxicity.reject(df, model).count() == sum(r.predicted == 0 for r in got.values())
     held_rows = df.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect()
     assert all(r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in held_rows)

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schemas import CODES
+
 STAMP, DAY = "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"
 
 
@@ -40,14 +42,20 @@ def age(birthday: Column, as_of: Column) -> Column:
     return F.floor((F.unix_millis(as_of) - born) / F.lit(1000 * 60 * 60 * 24 * 365)).cast("int")
 
 
+#: A word of the default tokenizer, found without being consumed: a run of letters and digits of one kind, or each two
+#: neighbours in a run of Han, which is written without spaces (a lone one is a word of its own).
+PLAIN = r"[\p{L}\p{N}&&[^\p{IsHan}]]"
+WORD = rf"(?=(\p{{IsHan}}{{2}}|(?<!\p{{IsHan}})\p{{IsHan}}(?!\p{{IsHan}})|(?<!{PLAIN}){PLAIN}+))"
+
+
 def words(text: Column) -> Column:
-    """Runs of letters or digits, in lower case: the default tokenizer, which stays in Catalyst."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Words in lower case by the default tokenizer, which stays in Catalyst."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(1))
 
 
-def hidden_nulls_json(*columns: str) -> Column:
-    """A row as JSON without its null fields."""
-    return F.to_json(F.struct(*columns))
+def code_name(code: Column, group: str) -> Column:
+    """The name of a code of a group (see schemas.CODES); null for others."""
+    return F.create_map(*(F.lit(x) for pair in CODES[group].items() for x in pair))[code]
 
 
 def camel(df: DataFrame) -> DataFrame:

@@ -8,11 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Parts in which a visitor's rows are ranked first.
+SALTS = 32
+
 
 def repair_is_new(rows: DataFrame, visitor: str, flag: str, order: Sequence[str], keep: int = 2) -> DataFrame:
-    """Of a visitor's rows that claim is_new = '1', the first `keep` in arrival order do; later ones become '0'."""
-    w = Window.partitionBy(visitor, flag).orderBy(*order)
-    return rows.withColumn(flag, F.when((F.col(flag) == "1") & (F.row_number().over(w) > keep), "0").otherwise(F.col(flag)))
+    """Of a visitor's rows that claim is_new = '1', the first `keep` in arrival order do; later ones become '0'. Rows
+    without a visitor stay as they are."""
+    # Only rows that can change are shuffled. A visitor's rows are ranked in SALTS parts first: what is not among the first of
+    # its part is not among the first of all, so a very busy visitor sends a few rows of each part to one task.
+    claims = F.coalesce((F.col(flag) == "1") & F.col(visitor).isNotNull(), F.lit(False))
+    salt = F.pmod(F.xxhash64(*order), F.lit(SALTS))
+    part = Window.partitionBy(visitor, "_salt").orderBy(*order)
+    ranked = rows.filter(claims).withColumn("_salt", salt).withColumn("_r", F.row_number().over(part))
+    whole = Window.partitionBy(visitor).orderBy(*order)
+    first = ranked.filter(F.col("_r") <= keep).withColumn("_r", F.row_number().over(whole))
+    kept = first.withColumn(flag, F.when(F.col("_r") > keep, "0").otherwise(F.col(flag)))
+    later = ranked.filter(F.col("_r") > keep).withColumn(flag, F.lit("0"))
+    return kept.unionByName(later).select(*rows.columns).unionByName(rows.filter(~claims))
 
 
 def unique_visits(entries: DataFrame, visitor: str, day: Column, order: Sequence[str]) -> DataFrame:

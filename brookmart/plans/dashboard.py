@@ -60,7 +60,7 @@ def map_ranks(provinces: DataFrame, cities: DataFrame) -> DataFrame:
 def map_cities(provinces: DataFrame, cities: DataFrame, seed: int = 0) -> DataFrame:
     """name and children: for each label a seeded third of its provinces' cities with their coordinates."""
     rows = map_ranks(provinces, cities).select("label", F.explode("cities").alias("c"))
-    drawn = F.xxhash64(F.lit(seed), "c.cname", "c.lng", "c.lat")
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.col("c.cname")))
     order = Window.partitionBy("label").orderBy(drawn, "c.cname")
     every = Window.partitionBy("label")
     some = rows.withColumns({"_r": F.row_number().over(order), "_n": F.count("*").over(every)}).filter(F.col("_r") <= F.floor(F.col("_n") / 3))
@@ -89,6 +89,7 @@ def keywords(stats: DataFrame) -> DataFrame:
     return sums.orderBy(F.desc("_ct"), "keyword").select(F.col("keyword").alias("name"), "value")
 
 
-def trend() -> list[dict]:
-    """The trend widget has no query behind it."""
-    return []
+def documents(rows: DataFrame) -> DataFrame:
+    """A widget's rows with their nested columns as JSON."""
+    nested = {f.name for f in rows.schema if f.dataType.typeName() in ("array", "struct", "map")}
+    return rows.select(*(F.to_json(c).alias(c) if c in nested else c for c in rows.columns))

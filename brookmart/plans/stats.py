@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import STAMP, event_time, is_entry, to_millis
+from ..functions.columns import STAMP, WORD, event_time, is_entry, to_millis, words
 from ..operators.joins import lookup
 from ..operators.windows import distinct_count, tumble
 from ..schemas import GOOD_APPRAISE, KEYWORD_STATS, PRODUCT_STATS, PROVINCE_STATS, VISITOR_STATS
@@ -68,13 +69,20 @@ def product_sources(clicks: DataFrame, favor: DataFrame, cart: DataFrame, order:
 
 
 def product_stats(rows: DataFrame, size: str = "10 seconds", delay: str = "2 seconds", compat: bool = False) -> DataFrame:
-    """Sums by window and sku, and exact counts of distinct orders, paid orders and refunded orders. compat: a window of a
-    single row counts no orders, as the earlier system had it."""
+    """Sums by window and sku, and exact counts of distinct orders, paid orders and refunded orders. A row has one order id
+    at most. compat: a window of a single row counts no orders, as the earlier system had it."""
     timed = rows.filter("sku_id is not null").withColumn("et", event_time(F.col("ts")))
-    timed = timed.withWatermark("et", delay) if rows.isStreaming else timed
     orders = {"order_ct": "order_id", "paid_order_ct": "paid_order_id", "refund_order_ct": "refund_order_id"}
-    counts = [distinct_count(c, rows.isStreaming).alias(n) for n, c in orders.items()]
-    out = tumble(timed, "et", size, ["sku_id"], *(F.sum(c).alias(c) for c in PRODUCT_COUNTS), *counts, F.min("ts").alias("ts"), F.count("*").alias("_n"))
+    sums = [F.sum(c).alias(c) for c in PRODUCT_COUNTS]
+    if rows.isStreaming:
+        counts = [distinct_count(c, True).alias(n) for n, c in orders.items()]
+        out = tumble(timed.withWatermark("et", delay), "et", size, ["sku_id"], *sums, *counts, F.min("ts").alias("ts"), F.count("*").alias("_n"))
+    else:
+        # By order first, so that no row is multiplied for its distinct counts: then an order is one row of its window.
+        keys = ["sku_id", *PRODUCT_ORDERS]
+        each = timed.groupBy(F.window("et", size)["start"].alias("et"), *keys).agg(*sums, F.min("ts").alias("ts"), F.count("*").alias("_n"))
+        counts = [F.count(c).alias(n) for n, c in orders.items()]
+        out = tumble(each, "et", size, ["sku_id"], *sums, *counts, F.min("ts").alias("ts"), F.sum("_n").alias("_n"))
     if compat:
         out = out.withColumns({n: F.when(F.col("_n") == 1, F.lit(0).cast("long")).otherwise(F.col(n)) for n in orders})
     return out.drop("_n")
@@ -88,17 +96,31 @@ def product_dims(stats: DataFrame, sku: DataFrame, spu: DataFrame, category3: Da
     return lookup(out, trademark, "tm_id", "id", {"tm_name": "tm_name"}).select(*PRODUCT_STATS)
 
 
+def over(spark: SparkSession, rows: DataFrame, sql: Callable[[str], str]) -> DataFrame:
+    """A query in SQL over rows, under a view's name that no other has and that is gone afterwards."""
+    view = f"rows_{uuid4().hex}"
+    rows.createOrReplaceTempView(view)
+    try:
+        return spark.sql(sql(view))
+    finally:
+        spark.catalog.dropTempView(view)
+
+
+def province_rows(wide: DataFrame) -> DataFrame:
+    """Each row of the wide table as a row of the province statistics that counts one order."""
+    return wide.select("province_id", "province_name", "province_area_code", "province_iso_code", "province_3166_2_code", F.col("split_total_amount").alias("order_amount"), F.lit(1).cast("long").alias("order_count"), F.unix_millis("et").alias("ts"))
+
+
 def province_stats(spark: SparkSession, wide: DataFrame, size: str = "10 seconds", delay: str = "1 second", compat: bool = False, ts: Column | None = None) -> DataFrame:
     """Orders and amounts by window and province, in SQL over a view. compat: split amounts are rounded to whole units."""
     timed = wide.withWatermark("et", delay) if wide.isStreaming else wide
-    timed.createOrReplaceTempView("order_wide_view")
     kind = "DECIMAL(10,0)" if compat else "DECIMAL(16,2)"
     count = "CAST(size(collect_set(order_id)) AS BIGINT)" if wide.isStreaming else "count(DISTINCT order_id)"
-    rows = spark.sql(f"""
+    rows = over(spark, timed, lambda view: f"""
         SELECT date_format(window(et, '{size}').start, '{STAMP}') AS stt, date_format(window(et, '{size}').end, '{STAMP}') AS edt,
                province_id, province_name, province_area_code, province_iso_code, province_3166_2_code,
                sum(CAST(split_total_amount AS {kind})) AS order_amount, {count} AS order_count
-        FROM order_wide_view
+        FROM {view}
         GROUP BY window(et, '{size}'), province_id, province_name, province_area_code, province_iso_code, province_3166_2_code""")
     return rows.withColumn("ts", F.unix_millis(F.current_timestamp()) if ts is None else ts).select(*PROVINCE_STATS)
 
@@ -107,31 +129,30 @@ def keyword_stats(spark: SparkSession, searches: DataFrame, splitter: str | None
     """Words searched for, counted by window, in SQL over a view of (fullword, et). splitter: a registered table function
     from a string to rows (word); by default the built-in tokenizer."""
     timed = searches.withWatermark("et", delay) if searches.isStreaming else searches
-    timed.createOrReplaceTempView("search_view")
-    lateral = f"LATERAL {splitter}(fullword)" if splitter else "LATERAL explode(regexp_extract_all(lower(fullword), '[\\\\p{L}\\\\p{N}]+', 0)) AS t(word)"
-    rows = spark.sql(f"""
+    timed = timed if splitter else timed.withColumn("words", words(F.col("fullword")))
+    lateral = f"LATERAL {splitter}(fullword)" if splitter else "LATERAL explode(words) AS t(word)"
+    rows = over(spark, timed, lambda view: f"""
         SELECT word AS keyword, count(*) AS ct, 'SEARCH' AS source, date_format(window(et, '{size}').start, '{STAMP}') AS stt, date_format(window(et, '{size}').end, '{STAMP}') AS edt
-        FROM search_view, {lateral} GROUP BY window(et, '{size}'), word""")
+        FROM {view}, {lateral} GROUP BY window(et, '{size}'), word""")
     return rows.withColumn("ts", F.unix_millis(F.current_timestamp()) if ts is None else ts).select(*KEYWORD_STATS)
 
 
-def searches(page: DataFrame) -> DataFrame:
-    """Searched items of page records: pages reached from the search page, with an item."""
+def searches(page: DataFrame, *keep: str) -> DataFrame:
+    """Searched items of page records: pages reached from the search page, with an item. keep: columns that stay."""
     hit = (F.col("page.last_page_id") == "search") & F.col("page.item").isNotNull()
-    return page.filter(hit).select(F.col("page.item").alias("fullword"), event_time(F.col("ts")).alias("et"))
+    return page.filter(hit).select(*keep, F.col("page.item").alias("fullword"), event_time(F.col("ts")).alias("et"))
 
 
 def register_splitter(spark: SparkSession, name: str = "splitWord") -> None:
     """A table function from a string to its words, for SQL's LATERAL."""
-    import re
-
+    import regex
     from pyspark.sql.functions import udtf
 
-    letters = re.compile(r"[^\W_]+")
+    word = regex.compile(r"(?V1)" + WORD.replace("IsHan", "Han"))
 
     class SplitWord:
         def eval(self, text: str):
-            for m in letters.finditer((text or "").lower()):
-                yield (m[0],)
+            for m in word.finditer((text or "").lower()):
+                yield (m[1],)
 
     spark.udtf.register(name, udtf(SplitWord, returnType="word string"))

@@ -357,6 +357,14 @@ def province_stats_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORDS_SQL = "SELECT word, 'SEARCH' AS source, turn FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS word, turn FROM conversations)"
 
 
+@query(P_SQL + " SELECT event_id, CAST(k AS VARCHAR) AS fullword, ms FROM p WHERE event_type = 'view' AND event_id % 3 = 0")
+def search_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third page is reached from the search page; only goods have an item."""
+    found = F.when(F.col("event_id") % 3 == 0, "search").otherwise(F.col("page.last_page_id"))
+    rows = pages(spark, sf_dir).withColumn("page", F.col("page").withField("last_page_id", found))
+    return stats.searches(rows, "event_id").select("event_id", "fullword", F.unix_millis("et").alias("ms"))
+
+
 def search_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as searches, an hour apart."""
     return table(spark, sf_dir, "conversations").select(F.col("text").alias("fullword"), F.timestamp_seconds(F.col("turn") * 3600).alias("et"))
@@ -389,9 +397,11 @@ def dash_hot_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.select("name", F.size("children").cast("long").alias("spus"), F.aggregate("children", F.lit(0).cast("long"), lambda a, x: a + x["value"]).alias("value"), F.aggregate("children", F.lit(0).cast("long"), lambda a, x: a + F.size(x["children"])).alias("skus"))
 
 
-@query()
+@query(FULL_SQL + """, k AS (SELECT category3_name, spu_name, sku_name, CAST(sum(order_ct) AS BIGINT) AS value FROM full_stats GROUP BY ALL),
+s AS (SELECT category3_name, spu_name, CAST(sum(value) AS BIGINT) AS value, list({'sku_name': sku_name, 'value': value} ORDER BY sku_name) AS children FROM k GROUP BY ALL)
+SELECT category3_name AS name, CAST(to_json(list({'name': spu_name, 'value': value, 'children': children} ORDER BY spu_name)) AS VARCHAR) AS children FROM s GROUP BY category3_name""")
 def dash_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dashboard.hot(product_full(spark, sf_dir))
+    return dashboard.documents(dashboard.hot(product_full(spark, sf_dir)))
 
 
 @query(FULL_SQL + " SELECT CASE WHEN length(spu_name) > 15 THEN split_part(spu_name, ' ', 1) ELSE spu_name END AS name, CAST(sum(comment_ct) AS BIGINT) AS stock, CAST(sum(good_comment_ct) AS BIGINT) AS sales FROM full_stats GROUP BY spu_id, spu_name")
@@ -406,16 +416,21 @@ def city_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.col("n_nationkey").alias("pid"), F.substring("n_name", 1, 5).alias("pname"), F.array(*city).alias("cities"))
 
 
-@query(province_sql("split_total_amount") + """, s AS (SELECT province_id, province_name, sum(CAST(order_amount AS DECIMAL(18,2))) AS value FROM province_stats GROUP BY ALL),
-m AS (SELECT s.*, (SELECT min(n_nationkey) FROM nation WHERE starts_with(s.province_name, substr(n_name, 1, 5))) AS pid FROM s), r AS (SELECT *, CAST(row_number() OVER (ORDER BY value, province_id) AS INT) AS rank FROM m WHERE pid IS NOT NULL)
-SELECT province_name, CAST(value AS DOUBLE) AS value, rank, CAST(pid AS INT) AS pid, CASE WHEN rank <= 20 THEN '0%-60%' WHEN rank <= 30 THEN '60%-30%' ELSE '30%-100%' END AS label FROM r WHERE rank <= 34""")
+MAP_SQL = province_sql("split_total_amount") + """, s AS (SELECT province_id, province_name, sum(CAST(order_amount AS DECIMAL(18,2))) AS value FROM province_stats GROUP BY ALL),
+m AS (SELECT s.*, (SELECT min(n_nationkey) FROM nation WHERE starts_with(s.province_name, substr(n_name, 1, 5))) AS pid FROM s), r AS (SELECT *, CAST(row_number() OVER (ORDER BY value, province_id) AS INT) AS rank FROM m WHERE pid IS NOT NULL),
+l AS (SELECT province_name, CAST(value AS DOUBLE) AS value, rank, CAST(pid AS INT) AS pid, CASE WHEN rank <= 20 THEN '0%-60%' WHEN rank <= 30 THEN '60%-30%' ELSE '30%-100%' END AS label FROM r WHERE rank <= 34)"""
+
+
+@query(MAP_SQL + " SELECT * FROM l")
 def dash_map_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.map_ranks(province_table(spark, sf_dir), city_table(spark, sf_dir)).select("province_name", double("value").alias("value"), "rank", "pid", "label")
 
 
-@query()
+@query(MAP_SQL + """, c AS (SELECT label, n_name || '-' || i AS city, [CAST(n_nationkey + i AS DOUBLE), n_nationkey * 2.0::DOUBLE - i] AS value FROM l JOIN nation ON n_nationkey = pid, range(3) t(i)),
+d AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('0:' || city), city) AS r, count(*) OVER (PARTITION BY label) AS n FROM c)
+SELECT label AS name, CAST(to_json(list({'city': city, 'value': value} ORDER BY city)) AS VARCHAR) AS children FROM d WHERE r <= n // 3 GROUP BY label""")
 def dash_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dashboard.map_cities(province_table(spark, sf_dir), city_table(spark, sf_dir))
+    return dashboard.documents(dashboard.map_cities(province_table(spark, sf_dir), city_table(spark, sf_dir)))
 
 
 @query(VISITOR_GROUP + " SELECT item, coalesce(CAST(sum(v) FILTER (is_new = '0') AS DOUBLE), 0) AS is_old, coalesce(CAST(sum(v) FILTER (is_new = '1') AS DOUBLE), 0) AS is_new FROM (UNPIVOT (SELECT is_new, uv_ct, pv_ct, sv_ct, uj_ct, dur_sum FROM visitor_stats) ON uv_ct, pv_ct, sv_ct, uj_ct, dur_sum INTO NAME item VALUE v) GROUP BY item")

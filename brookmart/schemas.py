@@ -10,8 +10,9 @@ PAGE_LOG = (
     "page struct<during_time:bigint,item:string,item_type:string,last_page_id:string,page_id:string,source_type:string>, "
     "start map<string,string>, ts bigint"
 )
-CHANGE_EVENT = "database string, tableName string, before map<string,string>, after map<string,string>, type string"
-DEBEZIUM = "topic string, before map<string,string>, after map<string,string>, op string"
+# ts_ms and pos: when a change was made at its source, and where it stands in the source's log; null where a feed has neither.
+CHANGE_EVENT = "database string, tableName string, before map<string,string>, after map<string,string>, type string, ts_ms bigint, pos bigint"
+DEBEZIUM = "topic string, before map<string,string>, after map<string,string>, op string, ts_ms bigint, pos bigint"
 ROUTE = "sourceTable string, operateType string, sinkType string, sinkTable string, sinkColumns string, sinkPk string, sinkExtend string"
 ORDER_INFO = (
     "id bigint, province_id bigint, order_status string, user_id bigint, total_amount decimal(16,2), activity_reduce_amount decimal(16,2), "
@@ -35,9 +36,16 @@ KEYWORD_STATS = ["keyword", "ct", "source", "stt", "edt", "ts"]
 # Keyword weights by source, and codes that the jobs test.
 KEYWORD_WEIGHTS = {"SEARCH": 10, "ORDER": 3, "CART": 2, "CLICK": 1}
 GOOD_APPRAISE = "1201"
-# Codes of order states, payment ways, appraisals and coupons.
+# The codes of the business records, by group.
 CODES = {
     "order_status": {"1001": "unpaid", "1002": "paid", "1003": "cancelled", "1004": "finished", "1005": "refunding", "1006": "refunded"},
     "payment_type": {"1101": "alipay", "1102": "wechat", "1103": "unionpay"},
     "appraise": {"1201": "good", "1202": "medium", "1203": "bad", "1204": "automatic"},
+    "refund_reason": {"1301": "bad goods", "1302": "wrong description", "1303": "sold out", "1304": "wrong size", "1305": "ordered by mistake", "1306": "no longer wanted", "1307": "other"},
+    "coupon_status": {"1401": "unused", "1402": "in use", "1403": "used"},
+    "refund_type": {"1501": "money only", "1502": "with goods"},
+    "source_type": {"2401": "query", "2402": "promotion", "2403": "recommendation", "2404": "activity"},
+    "activity_rule": {"3101": "amount off", "3102": "quantity discount", "3103": "discount"},
+    "coupon_type": {"3201": "amount off", "3202": "quantity discount", "3203": "voucher"},
+    "coupon_range": {"3301": "category", "3302": "trademark", "3303": "spu"},
 }

@@ -2,25 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
-def read_topic(spark: SparkSession, topic: str, root: str = "", stream: bool = False, servers: str = "", group: str = "", latest: bool = True, per_trigger: int | None = None) -> DataFrame:
-    """The topic's records as a string column value: text files in root/topic, or Kafka if servers are given."""
+def read_topic(spark: SparkSession, topic: str, root: str = "", stream: bool = False, servers: str = "", group: str = "", latest: bool = True, per_trigger: int | None = None, positions: bool = False) -> DataFrame:
+    """The topic's records as a string column value: text files in root/topic, or Kafka if servers are given.
+
+    positions: adds the column position, by which records are in the order of their arrival: offsets of a partition in
+    Kafka, else the files' modification time and name and the block within a file; in_order adds the lines of a block.
+    Files that were written in one tick of that clock have no order but that of their names.
+    """
     if servers:
         options = {"kafka.bootstrap.servers": servers, "subscribe": topic} | ({"kafka.group.id": group} if group else {})
         options["startingOffsets"] = "latest" if latest and stream else "earliest"
         reader = (spark.readStream if stream else spark.read).format("kafka").options(**options)
-        return reader.load().select(F.col("value").cast("string").alias("value"))
-    if stream:
-        reader = spark.readStream.format("text")
-        return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).load(f"{root}/{topic}")
-    return spark.read.text(f"{root}/{topic}")
+        place = [F.struct("timestamp", "partition", "offset").alias("position")] if positions else []
+        return reader.load().select(F.col("value").cast("string").alias("value"), *place)
+    reader = spark.readStream.format("text") if stream else spark.read.format("text")
+    rows = (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger and stream else reader).load(f"{root}/{topic}")
+    if not positions:
+        return rows
+    return rows.select("value", F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start").alias("position"))
+
+
+def in_order(batch: DataFrame, name: str = "line") -> DataFrame:
+    """A batch as it was read, with a number that ascends within each block of a file."""
+    return batch.withColumn(name, F.monotonically_increasing_id())
 
 
 def topic_view(spark: SparkSession, name: str, rows: DataFrame, time: Column, delay: str = "1 second", time_name: str = "rt") -> DataFrame:
@@ -59,9 +71,14 @@ def start(rows: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: s
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def stream_to_topic(rows: DataFrame, topic: str, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """A streaming query that appends rows to a topic's files, exactly once by the file sink's log."""
-    writer = as_records(rows).writeStream.format("text").option("path", f"{root}/{topic}").option("checkpointLocation", checkpoint)
+def stream_to_topic(rows: DataFrame, topic: str, root: str, checkpoint: str, every: str | None = None, servers: str = "") -> StreamingQuery:
+    """A streaming query that appends rows to a topic: to its files, exactly once by the file sink's log, or to Kafka if
+    servers are given, at least once."""
+    writer = as_records(rows).writeStream.option("checkpointLocation", checkpoint)
+    if servers:
+        writer = writer.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic)
+    else:
+        writer = writer.format("text").option("path", f"{root}/{topic}")
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
@@ -80,7 +97,7 @@ def snapshot_then_changes(snapshot: DataFrame, database: str, table: str, change
     """Change events of a table's snapshot (as reads) followed by its feed: an initial load, then the log."""
     image = F.create_map(*(x for c in snapshot.columns for x in (F.lit(c), F.col(c).cast("string"))))
     first = snapshot.select(F.lit(database).alias("database"), F.lit(table).alias("tableName"), F.create_map().cast("map<string,string>").alias("before"), image.alias("after"), F.lit("read").alias("type"))
-    return first.unionByName(changes)
+    return first.unionByName(changes, allowMissingColumns=True)
 
 
 def change_flags(events: DataFrame, schema: T.StructType) -> DataFrame:
@@ -115,42 +132,75 @@ def empty_dim(spark: SparkSession, columns: str, pk: str | None = None, extend:
     return spark.createDataFrame([], T.StructType(fields))
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and a function from strings to its paths."""
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    return of(path).getFileSystem(spark._jsc.hadoopConfiguration()), of
+
+
+def write_once(rows: DataFrame, path: str, write: Callable[[DataFrameWriter, str], None]) -> None:
+    """Writes a folder unless it is there in whole: a batch that runs again leaves the files that others may have read, but
+    is computed, since its state is to be committed. A folder and the checkpoint that numbers its batches belong together."""
+    fs, of = file_system(rows.sparkSession, path)
+    if fs.exists(of(f"{path}/_SUCCESS")):
+        rows.write.format("noop").mode("overwrite").save()
+    else:
+        write(rows.write.mode("overwrite"), path)
+
+
 class DimStore:
-    """Dimensions as folders of versions: an upsert writes the next version, readers take the last that is complete."""
+    """Dimensions as folders of numbered versions. An upsert writes its own rows only (d<number>), and after every COMPACT
+    of them the whole dimension (v<number>); readers merge the last whole one with what follows, complete folders only."""
+
+    COMPACT = 16
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self.fs = spark._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.fs, self.of = file_system(spark, self.root)
 
-    def versions(self, table: str) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        if not self.fs.exists(path):
+    def versions(self, table: str) -> list[tuple[int, str]]:
+        """Numbers and folders that are complete, in ascending order."""
+        if not self.fs.exists(self.of(f"{self.root}/{table}")):
             return []
-        found = [x.getPath().getName() for x in self.fs.listStatus(path)]
-        done = self.spark._jvm.org.apache.hadoop.fs.Path
-        return sorted(int(x[1:]) for x in found if x.startswith("v") and self.fs.exists(done(f"{self.root}/{table}/{x}/_SUCCESS")))
-
-    def read(self, table: str) -> DataFrame | None:
-        found = self.versions(table)
-        return self.spark.read.parquet(f"{self.root}/{table}/v{found[-1]}") if found else None
+        found = [x.getPath().getName() for x in self.fs.listStatus(self.of(f"{self.root}/{table}"))]
+        return sorted((int(x[1:]), x) for x in found if x[0] in "dv" and x[1:].isdigit() and self.fs.exists(self.of(f"{self.root}/{table}/{x}/_SUCCESS")))
+
+    def read(self, table: str, until: int | None = None) -> DataFrame | None:
+        """The dimension as it is, or as it was after the version `until`."""
+        found = [(n, x) for n, x in self.versions(table) if until is None or n <= until]
+        base = max((n for n, x in found if x[0] == "v"), default=-1)
+        parts = [self.spark.read.parquet(f"{self.root}/{table}/{x}").withColumn("_n", F.lit(n)) for n, x in found if n > base or (n == base and x[0] == "v")]
+        if not parts:
+            return None
+        if len(parts) == 1:
+            return parts[0].drop("_n")
+        pk = [f.name for f in parts[-1].schema if f.metadata.get("pk")]
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part, allowMissingColumns=True)
+        rest = [c for c in rows.columns if c not in (*pk, "_n")]
+        last = rows.groupBy(*pk).agg(F.max_by(F.struct(*rest), "_n").alias("x"))
+        return last.select(*(F.col(c).alias(c, metadata={"pk": True}) for c in pk), "x.*")
 
     def upsert(self, table: str, changes: DataFrame, pk: Sequence[str], order: Sequence[str], version: int | None = None) -> None:
-        """The last change of each key replaces its row. Writing a version twice (a retried batch) gives the same rows."""
+        """The last change of each key replaces its row. A version that is there already (a batch that runs again) stays."""
         found = self.versions(table)
-        number = (found[-1] + 1 if found else 0) if version is None else version
-        base = max((v for v in found if v < number), default=None)
+        number = (found[-1][0] + 1 if found else 0) if version is None else version
+        if any(n == number for n, _ in found):
+            return
         rest = [c for c in changes.columns if c not in (*pk, *order)]
-        new = changes.groupBy(*pk).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("x")).select(*pk, "x.*")
-        if base is not None:
-            old = self.spark.read.parquet(f"{self.root}/{table}/v{base}")
-            new = old.join(new, list(pk), "left_anti").unionByName(new, allowMissingColumns=True)
-        new.write.mode("overwrite").parquet(f"{self.root}/{table}/v{number}")
+        last = changes.groupBy(*pk).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("x"))
+        last = last.select(*(F.col(c).alias(c, metadata={"pk": True}) for c in pk), "x.*")
+        last.write.mode("overwrite").parquet(f"{self.root}/{table}/d{number}")
+        bases = [n for n, x in found if x[0] == "v"]
+        if sum(n > max(bases, default=-1) for n, _ in found) + 1 >= self.COMPACT:
+            self.read(table, number).write.mode("overwrite").parquet(f"{self.root}/{table}/v{number}")
+            for n, x in found:  # readers may still have the base before
+                if n < max(bases, default=-1):
+                    self.fs.delete(self.of(f"{self.root}/{table}/{x}"), True)
 
 
 def append_stats(rows: DataFrame, columns: Sequence[str], path: str) -> None:
     """A batch of statistics in the sink's column order; other columns are transient and left out."""
     rows.select(*columns).write.mode("append").parquet(path)
 
-
-def rename(rows: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    return rows.select(*(F.col(a).alias(b) for a, b in names.items()))

@@ -23,28 +23,33 @@ FAVOR, CART, REFUND, COMMENT = "dwd_favor_info", "dwd_cart_info", "dwd_order_ref
 
 
 class Jobs:
-    """root holds topics, dimensions, statistics and checkpoints; every job takes what is there, or runs on with `every`."""
+    """root holds topics, dimensions, statistics and checkpoints; every job takes what is there, or runs on with `every`.
+    per_trigger: files of a micro-batch, which bounds what a visitor has in one."""
 
-    def __init__(self, spark: SparkSession, root: str, every: str | None = None):
-        self.spark, self.root, self.every = spark, root.rstrip("/"), every
+    def __init__(self, spark: SparkSession, root: str, every: str | None = None, per_trigger: int = 1000):
+        self.spark, self.root, self.every, self.per_trigger = spark, root.rstrip("/"), every, per_trigger
         self.dims = topics.DimStore(spark, f"{self.root}/dims")
 
+    def raw(self, topic: str, **options) -> DataFrame:
+        return topics.read_topic(self.spark, topic, f"{self.root}/topics", stream=True, per_trigger=self.per_trigger, **options)
+
+    def files(self, path: str) -> DataFrame:
+        """Records of all files under a path (or a pattern); there may be none yet."""
+        return self.spark.readStream.format("text").option("recursiveFileLookup", True).option("maxFilesPerTrigger", self.per_trigger).load(path)
+
     def read(self, topic: str, schema: str, **options) -> DataFrame:
-        raw = topics.read_topic(self.spark, topic, f"{self.root}/topics", stream=True, **options)
-        return parse.parse_strict(raw, schema)
+        return parse.parse_strict(self.raw(topic, **options), schema)
 
     def facts(self, topic: str, schema: str) -> DataFrame:
         """A fact topic: files in the topic's own folder and those that split_db routes to it. Values may be strings, as
         change events have them; one that does not fit its type fails the job."""
-        files = f"{self.root}/{{topics/{topic},facts/batch-*/topic={topic}}}"
-        raw = self.spark.readStream.format("text").option("recursiveFileLookup", True).load(files)
+        raw = self.files(f"{self.root}/{{topics/{topic},facts/batch-*/topic={topic}}}")
         fields = T.StructType.fromDDL(schema).fields
         return parse.parse_strict(raw, ", ".join(f"`{f.name}` string" for f in fields)).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields))
 
     def batches(self, topic: str, schema: str) -> DataFrame:
         """A topic that a job writes in folders of its batches; there may be none yet."""
-        raw = self.spark.readStream.format("text").option("recursiveFileLookup", True).load(f"{self.root}/topics/{topic}/batch-*")
-        return parse.parse_strict(raw, schema)
+        return parse.parse_strict(self.files(f"{self.root}/topics/{topic}/batch-*"), schema)
 
     def _write(self, rows: DataFrame, topic: str, job: str) -> StreamingQuery:
         return topics.stream_to_topic(rows, topic, f"{self.root}/topics", f"{self.root}/checkpoints/{job}", self.every)
@@ -53,16 +58,23 @@ class Jobs:
         return topics.start(rows, each, f"{self.root}/checkpoints/{job}", self.every)
 
     def _replace(self, rows: DataFrame, path: str, batch: int) -> None:
-        """A batch's own folder, overwritten if the batch is run again: sinks are idempotent."""
-        rows.write.mode("overwrite").text(f"{path}/batch-{batch}")
+        """A batch's own folder, which stays as it is if the batch is run again: what others have read does not come twice."""
+        topics.write_once(rows, f"{path}/batch-{batch}", lambda w, p: w.text(p))
+
+    def _stats(self, rows: DataFrame, name: str, batch: int) -> None:
+        topics.write_once(rows, f"{self.root}/stats/{name}/batch={batch}", lambda w, p: w.parquet(p))
+
+    def change_capture(self, feed: str) -> StreamingQuery:
+        """A change-capture feed (a folder of JSON files) -> ODS changes."""
+        events = parse.change_events(topics.change_feed(self.spark, feed, stream=True))
+        return self._write(events, ODS_DB, "change_capture")
 
     def split_log(self) -> StreamingQuery:
         """ODS log -> dirty, start, page and display topics, with is_new repaired."""
-        raw = topics.read_topic(self.spark, ODS_LOG, f"{self.root}/topics", stream=True)
-
-        good, dirty = parse.parse(raw, PAGE_LOG)
-        keyed = good.withColumns({"mid": F.coalesce("common.mid", F.lit("")), "is_new": F.col("common.is_new")})
-        fixed = state.repair_is_new(keyed, "mid", "is_new", ["ts"])
+        good, dirty = parse.parse(self.raw(ODS_LOG), PAGE_LOG)
+        keyed = good.withColumns({"mid": F.col("common.mid"), "is_new": F.col("common.is_new")})
+        fixed = state.repair_is_new(keyed.filter("mid is not null"), "mid", "is_new", ["ts"])
+        fixed = fixed.unionByName(keyed.filter("mid is null"))  # nobody's state
         fixed = fixed.withColumn("common", F.col("common").withField("is_new", F.col("is_new"))).drop("mid", "is_new")
 
         def each(batch: DataFrame, n: int) -> None:
@@ -76,8 +88,7 @@ class Jobs:
         return self._each(fixed, each, "split_log")
 
     def pages(self) -> DataFrame:
-        raw = self.spark.readStream.format("text").option("recursiveFileLookup", True).load(f"{self.root}/topics/{PAGE}")
-        return parse.parse_strict(raw, PAGE_LOG)
+        return parse.parse_strict(self.files(f"{self.root}/topics/{PAGE}"), PAGE_LOG)
 
     def unique_visit(self) -> StreamingQuery:
         entries = self.pages().filter(is_entry(F.col("page.last_page_id"))).withColumn("mid", F.col("common.mid"))
@@ -90,19 +101,24 @@ class Jobs:
         return self._write(out.drop("mid", "entry"), BOUNCE, "bounce")
 
     def split_db(self, config: str) -> StreamingQuery:
-        """Changes -> dimensions and fact topics, by the configuration (a parquet folder) as it is at each batch."""
-        events = self.read(ODS_DB, CHANGE_EVENT)
+        """Changes -> dimensions and fact topics, by the configuration (a parquet folder) as it is at each batch. Of several
+        changes to a key the last at the source counts: by its time and place there, or by its place in the topic."""
+        events = self.read(ODS_DB, CHANGE_EVENT, positions=True)
 
         def each(batch: DataFrame, n: int) -> None:
-            routed = route.route(batch, route.current_routes(self.spark.read.parquet(config), "seq")).persist()
+            routes = route.current_routes(self.spark.read.parquet(config), "seq")
+            routed = route.route(topics.in_order(batch), routes).persist()
             parts = route.split_routed(routed)
-            for r in parts["dim"].select("sinkTable", "sinkPk").distinct().collect():  # as many as configured tables
-                rows = parts["dim"].filter(F.col("sinkTable") == r.sinkTable)
-                names = sorted(x for s in self.spark.read.parquet(config).filter(F.col("sinkTable") == r.sinkTable).select("sinkColumns").distinct().collect() for x in s[0].split(","))
-                changes = rows.select(*(F.col("after")[c].alias(c) for c in dict.fromkeys(names)), F.monotonically_increasing_id().alias("_seq"))
-                self.dims.upsert(r.sinkTable, changes, [r.sinkPk], ["_seq"], n)
+            known = routes.filter("sinkType = 'hbase'").select("sinkTable", F.coalesce("sinkPk", F.lit("id")).alias("pk"), F.coalesce("sinkColumns", F.lit("")).alias("names")).collect()  # as many as configured tables
+            for table, pk in sorted({(r.sinkTable, r.pk) for r in known}):
+                names = sorted({x for r in known if r.sinkTable == table for x in r.names.split(",") if x} | {pk})
+                order = {"_at": F.col("ts_ms"), "_pos": F.col("pos"), "_place": F.col("position"), "_line": F.col("line")}
+                rows = parts["dim"].filter((F.col("sinkTable") == table) & (F.col("sinkPk") == pk))
+                changes = rows.select(*(F.col("after")[c].alias(c) for c in names), *(x.alias(k) for k, x in order.items())).filter(F.col(pk).isNotNull())
+                if not changes.isEmpty():
+                    self.dims.upsert(table, changes, [pk], list(order), n)
             facts = parts["fact"].select(F.coalesce("sinkTable", F.lit("DWD_DEFAULT")).alias("topic"), F.to_json("after").alias("value"))
-            facts.write.mode("overwrite").partitionBy("topic").text(f"{self.root}/facts/batch-{n}")
+            topics.write_once(facts, f"{self.root}/facts/batch-{n}", lambda w, p: w.partitionBy("topic").text(p))
             routed.unpersist()
 
         return self._each(events, each, "split_db")
@@ -151,21 +167,21 @@ class Jobs:
 
         def each(batch: DataFrame, n: int) -> None:
             found = [topics.empty_dim(self.spark, c) if (d := self.dims.read(t)) is None else d for t, c in columns.items()]
-            stats.product_dims(batch, *found).write.mode("overwrite").parquet(f"{self.root}/stats/product_stats/batch={n}")
+            self._stats(stats.product_dims(batch, *found), "product_stats", n)
 
         return self._each(out, each, "product_stats")
 
     def visitor_stats(self, size: str = "10 seconds", delay: str = "11 seconds") -> StreamingQuery:
         unique, bounce = (self.read(t, PAGE_LOG) for t in (UNIQUE, BOUNCE))
         out = stats.visitor_stats(stats.visitor_rows(self.pages(), unique, bounce), size, delay)
-        return self._each(out, lambda b, n: b.select(*VISITOR_STATS).write.mode("overwrite").parquet(f"{self.root}/stats/visitor_stats/batch={n}"), "visitor_stats")
+        return self._each(out, lambda b, n: self._stats(b.select(*VISITOR_STATS), "visitor_stats", n), "visitor_stats")
 
     def province_stats(self, size: str = "10 seconds", delay: str = "1 second") -> StreamingQuery:
-        raw = self.spark.readStream.format("text").option("recursiveFileLookup", True).load(f"{self.root}/topics/{WIDE}")
+        raw = self.files(f"{self.root}/topics/{WIDE}")
         schema = "order_id bigint, split_total_amount decimal(16,2), province_id bigint, province_name string, province_area_code string, province_iso_code string, province_3166_2_code string, et timestamp"
         out = stats.province_stats(self.spark, parse.parse_strict(raw, schema), size, delay)
-        return self._each(out, lambda b, n: b.select(*PROVINCE_STATS).write.mode("overwrite").parquet(f"{self.root}/stats/province_stats/batch={n}"), "province_stats")
+        return self._each(out, lambda b, n: self._stats(b.select(*PROVINCE_STATS), "province_stats", n), "province_stats")
 
     def keyword_stats(self, splitter: str | None = None, size: str = "10 seconds", delay: str = "1 second") -> StreamingQuery:
         out = stats.keyword_stats(self.spark, stats.searches(self.pages()), splitter, size, delay)
-        return self._each(out, lambda b, n: b.write.mode("overwrite").parquet(f"{self.root}/stats/keyword_stats/batch={n}"), "keyword_stats")
+        return self._each(out, lambda b, n: self._stats(b, "keyword_stats", n), "keyword_stats")

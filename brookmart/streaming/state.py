@@ -139,10 +139,5 @@ def bounces(pages: DataFrame, visitor: str, entry: str, time: str, millis: str,
     return pages.withWatermark(time, delay).groupBy(visitor).transformWithState(processor, out, outputMode="append", timeMode="eventTime")
 
 
-def unique_visits_by_watermark(entries: DataFrame, keys: list[str], time: str, delay: str = "1 day") -> DataFrame:
-    """Daily unique visits without Python: the first row of each key and day, forgotten as the watermark passes."""
-    return entries.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
-
-
 def with_day(rows: DataFrame, millis: str = "ts", name: str = "day") -> DataFrame:
     return rows.withColumn(name, F.date_format(F.timestamp_millis(millis), "yyyy-MM-dd"))

@@ -1,7 +1,10 @@
 """Streams give what the closed forms give."""
 
+import itertools
 import json
+import os
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -25,11 +28,17 @@ def log(n=120, seed=3):
     return rows
 
 
-def drop(path, rows, parts=3):
+ARRIVALS = itertools.count(int(time.time()) - 10_000)
+
+
+def drop(path, rows, parts=3, name="part"):
+    """Files that arrive one after another: their order is that of their modification times."""
     path.mkdir(parents=True, exist_ok=True)
     step = -(-len(rows) // parts)
     for i in range(parts):
-        (path / f"part-{i}.txt").write_text("".join(json.dumps(r) + "\n" for r in rows[i * step : (i + 1) * step]))
+        file = path / f"{name}-{i}.txt"
+        file.write_text("".join(json.dumps(r) + "\n" for r in rows[i * step : (i + 1) * step]))
+        os.utime(file, (at := next(ARRIVALS), at))
 
 
 def collected(spark, rows, tmp_path, name):
@@ -116,12 +125,100 @@ def test_order_wide_and_change_jobs(spark, tmp_path):
     rows = spark.read.option("recursiveFileLookup", True).text(str(tmp_path / "topics" / "dwm_order_wide")).collect()
     assert len(rows) == 1 and json.loads(rows[0].value)["province_name"] == "North"
     jobs.province_stats().awaitTermination()
+    drop(tmp_path / "topics" / "dwm_order_wide" / "batch-9", [{"order_id": 5, "province_id": 2, "et": "2024-01-01T01:00:00.000Z"}], 1)  # the watermark passes
+    jobs.province_stats().awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "stats" / "province_stats")).filter("province_id = 1").collect()
+    assert [(r.stt, r.province_name, float(r.order_amount), r.order_count) for r in out] == [("2024-01-01 00:00:10", "North", 2.5, 1)]
 
 
-def test_chain_from_changes_to_product_stats(spark, tmp_path):
-    def change(table, **after):
-        return {"database": "s", "tableName": table, "before": {}, "after": {k: str(v) for k, v in after.items()}, "type": "insert"}
+def change(table, kind="insert", ts_ms=None, pos=None, **after):
+    return {"database": "s", "tableName": table, "before": {}, "after": {k: str(v) for k, v in after.items()}, "type": kind, "ts_ms": ts_ms, "pos": pos}
+
+
+def routes(spark, path, *rows):
+    full = [(*r, None, i) for i, r in enumerate(rows)]
+    spark.createDataFrame(full, "sourceTable string, operateType string, sinkType string, sinkTable string, sinkColumns string, sinkPk string, sinkExtend string, seq int").write.parquet(str(path))
+
+
+def test_the_last_change_at_the_source_counts(spark, tmp_path):
+    """An older change in a small file and a newer one in a larger, in one batch, and changes out of order in a file; a route
+    without columns, and one that was deleted."""
+    topic = tmp_path / "topics" / "ods_base_db"
+    drop(topic, [change("p", id=1, name="old"), change("q", ts_ms=9, pos=2, id=1, name="last"), change("q", ts_ms=9, pos=1, id=1, name="before"), change("q", ts_ms=3, pos=7, id=1, name="first")], 1, "a")
+    drop(topic, [change("p", id=i, name="new") for i in range(1, 3000)] + [change("n", id=1, name="x"), change("p", id=None, name="none")], 1, "b")
+    routes(spark, tmp_path / "config", ("p", "insert", "hbase", "dim_p", "id,name", None), ("q", "insert", "hbase", "dim_q", "id,name,gone", "id"), ("n", "insert", "hbase", "dim_n", None, None), ("p", "update", None, "dim_p", "id,odd", None))
+    jobs = Jobs(spark, str(tmp_path))
+    jobs.split_db(str(tmp_path / "config")).awaitTermination()
+    assert {r.name for r in jobs.dims.read("dim_p").filter("id = '1'").collect()} == {"new"}
+    assert [(r.name, r.gone) for r in jobs.dims.read("dim_q").collect()] == [("last", None)]
+    assert jobs.dims.read("dim_p").columns == ["id", "name"] and jobs.dims.read("dim_n") is None
+
+
+def test_a_restart_goes_on_and_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    topic = tmp_path / "topics" / "ods_base_log"
+    rows = log(60)
+    drop(topic, rows[:30], 2)
+    Jobs(spark, str(tmp_path)).split_log().awaitTermination()
+    page = tmp_path / "topics" / "dwd_page_log"
+    before = {p: p.stat().st_mtime for p in page.rglob("part-*")}
+    drop(topic, rows[30:], 2, "later")
+    last = max(tmp_path.glob("checkpoints/split_log/commits/[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()  # as if the job had ended before it noted its last batch
+    for crc in last.parent.glob(f".{last.name}.crc"):
+        crc.unlink()
+    Jobs(spark, str(tmp_path)).split_log().awaitTermination()
+    assert all(p.stat().st_mtime == t for p, t in before.items())
+    got = spark.read.option("recursiveFileLookup", True).text(str(page)).select(F.from_json("value", PAGE_LOG).alias("r")).select("r.common.mid", "r.ts", "r.common.is_new")
+    batch = spark.createDataFrame([(r["common"]["mid"], r["common"]["is_new"], r["ts"]) for r in rows], "mid string, is_new string, ts long")
+    want = visits.repair_is_new(batch, "mid", "is_new", ["ts"]).select("mid", "ts", "is_new")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_rows_without_a_visitor_pass_unrepaired(spark, tmp_path):
+    rows = [{"common": {"mid": m, "is_new": "1"}, "page": {"page_id": "p"}, "ts": i} for i, m in enumerate([None] * 5 + ["m"] * 5)]
+    drop(tmp_path / "topics" / "ods_base_log", rows, 1)
+    Jobs(spark, str(tmp_path)).split_log().awaitTermination()
+    page = spark.read.option("recursiveFileLookup", True).text(str(tmp_path / "topics" / "dwd_page_log")).select(F.from_json("value", PAGE_LOG).alias("r"))
+    assert page.filter("r.common.is_new = '1'").groupBy("r.common.mid").count().orderBy("count").collect() == [("m", 2), (None, 5)]
+
 
+def test_late_rows_are_dropped(spark, tmp_path):
+    """A window that the watermark of the batch before has passed takes no more rows; one that it hasn't does."""
+
+    def word(text, ms):
+        return {"page": {"last_page_id": "search", "item": text}, "ts": ms}
+
+    drop(tmp_path / "t", [word("a", 1000), word("b", 60_000), word("c", 58_000), word("late", 2000), word("end", END)], 5)
+    raw = topics.read_topic(spark, "t", str(tmp_path), stream=True, per_trigger=1)
+    page = raw.select(F.from_json("value", PAGE_LOG).alias("r")).select("r.*")
+    out = stats.keyword_stats(spark, stats.searches(page), delay="5 seconds", ts=F.lit(0))
+    got = collected(spark, out, tmp_path, "late_out")
+    assert sorted((r.keyword, r.ct) for r in got.collect()) == [("a", 1), ("b", 1), ("c", 1)]
+
+
+def test_views_and_console(spark, tmp_path):
+    drop(tmp_path / "t", log(5), 1)
+    raw = topics.read_topic(spark, "t", str(tmp_path), stream=True)
+    rows = topics.topic_view(spark, "page_view", raw.select(F.from_json("value", PAGE_LOG).alias("r")).select("r.*"), F.timestamp_millis("ts"))
+    assert dict(rows.dtypes)["rt"] == "timestamp"
+    got = collected(spark, spark.sql("SELECT page.item AS item, rt FROM page_view WHERE page.item IS NOT NULL"), tmp_path, "view_out")
+    assert got.count() == 5
+    topics.console(raw, str(tmp_path / "console")).awaitTermination()
+    placed = topics.in_order(topics.read_topic(spark, "t", str(tmp_path), positions=True)).orderBy("position", "line")
+    assert [json.loads(r.value)["ts"] for r in placed.collect()] == [r["ts"] for r in log(5)]
+
+
+def test_a_feed_becomes_changes(spark, tmp_path):
+    feed = [{"topic": "srv.shop.p", "before": None, "after": {"id": "1", "name": f"n{i}"}, "op": "c" if i == 0 else "u", "ts_ms": 5 + i, "pos": i} for i in range(3)]
+    drop(tmp_path / "feed", feed[::-1], 1)
+    routes(spark, tmp_path / "config", ("p", "insert", "hbase", "dim_p", "id,name", "id"), ("p", "update", "hbase", "dim_p", "id,name", "id"))
+    jobs = Jobs(spark, str(tmp_path))
+    jobs.change_capture(str(tmp_path / "feed")).awaitTermination()
+    jobs.split_db(str(tmp_path / "config")).awaitTermination()
+    assert [tuple(r) for r in jobs.dims.read("dim_p").collect()] == [("1", "n2")]
+
+
+def test_chain_from_changes_to_product_stats(spark, tmp_path):
     at = "2024-01-01 00:00:1"
     changes = [
         change("sku_info", id=3, sku_name="Shoe", price="9.5", spu_id=1, tm_id=1, category3_id=1),

@@ -1,14 +1,19 @@
 """Embedding near-dedup by collision counting on sorted one-dimensional projections.
 
-Every vector is projected on many random directions. In each of `rounds` rounds a table is sorted by one fine projection
-within a cell of `coarse` further projections; a window of the cosine's distance, centred on each vector, collides with
-the others. A pair's collisions are counted over the rounds, and pairs that reach the count calibrated for the recall are
-verified in double precision.
+Every vector is projected on many random directions. `SKETCH` of the projections are kept as small integers; further ones,
+`coarse` for each of `rounds` rounds, deal the vectors to cells, so that near ones share a cell in some round. Within a
+cell the vectors are sorted by the round's projection, and each is the centre of windows on all kept ones: a pair collides where
+it falls into one another's window, and collisions are counted per pair. Pairs that reach the count calibrated for the
+recall are candidates. Candidates hang together as clusters, whose members meet once more with their vectors; there pairs
+are verified in double precision, counted per vector and united. No task returns pairs: only members, counts and links
+that span what is joined.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,37 +21,150 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import saved, small_batches
+from .shared import discard, saved, small_batches
 
-#: Half a window, and the width of a coarse cell, in units of the largest distance that links.
-WINDOW, CELL = 2.0, 3.5
+#: Projections whose window collisions are counted, half a window in units of the largest distance that links, and steps
+#: of a kept projection in that unit.
+SKETCH, WINDOW, STEPS = 32, 2.5, 5
+#: Unrelated vectors that a vector may meet in a round, on average.
+MATES = 512
+#: Cells of more vectors are dealt to blocks of about so many, which meet in pairs.
+LIMIT = 4096
+#: Rounds are told by the low bits of a cell's code.
+ROUND_BITS = 12
 
 
-def chances(threshold: float, coarse: int) -> tuple[float, float]:
-    """The probability that one round collides for a pair at the threshold, and for two unrelated vectors."""
+def same_cell(sd: float, width: float) -> float:
+    """The probability that two projections whose difference has this deviation share a cell of a shifted grid."""
+    x = width / sd
+    return math.erf(x / math.sqrt(2)) - math.sqrt(2 / math.pi) / x * (1 - math.exp(-x * x / 2))
 
-    def one(sd: float, width: float, half: float) -> tuple[float, float]:
-        x = width / sd
-        cell = math.erf(x / math.sqrt(2)) - math.sqrt(2 / math.pi) / x * (1 - math.exp(-x * x / 2))
-        return cell, math.erf(half / (sd * math.sqrt(2)))
 
+def calibrate(threshold: float, rows: int, miss: float) -> tuple[int, float, int, int]:
+    """Coarse projections, the width of a cell, rounds and the count: a pair at the threshold shares no cell, or collides
+    less often than the count, with a probability of at most `miss`; unrelated vectors meet about MATES others a round.
+    Coarse projections grow with the logarithm of the rows, rounds with a small power of them."""
     d = math.sqrt(2 - 2 * threshold)
-    near, far = one(d, CELL * d, WINDOW * d), one(math.sqrt(2), CELL * d, WINDOW * d)
-    return near[0] ** coarse * near[1], far[0] ** coarse * far[1]
+    p = math.erf(WINDOW / math.sqrt(2))
+    count, tail = 0, 0.0
+    while (tail := tail + math.comb(SKETCH, count) * p**count * (1 - p) ** (SKETCH - count)) <= miss / 4:
+        count += 1
+    best = None
+    for width in (x * d / 2 for x in range(4, 25)):
+        far, near = same_cell(math.sqrt(2), width), same_cell(d, width)
+        coarse = max(1, math.ceil(math.log(MATES / max(rows, MATES + 1)) / math.log(far)))
+        rounds = max(1, math.ceil(math.log(miss / 2) / math.log1p(-p * near**coarse)))
+        if best is None or rounds < best[2]:
+            best = coarse, width, rounds, count
+    return best
 
 
-def calibrate(threshold: float, rows: int, miss: float) -> tuple[int, int, int]:
-    """Coarse projections, rounds and count: unrelated pairs collide about once a vector, and a pair at the threshold
-    misses the count with a probability of at most `miss`. Coarse projections grow with the logarithm of the rows."""
-    coarse = 1
-    while chances(threshold, coarse)[1] * rows > 0.5 and coarse < 24:
-        coarse += 1
-    p = chances(threshold, coarse)[0]
-    count = 2
-    rounds = count
-    while sum(math.comb(rounds, i) * p**i * (1 - p) ** (rounds - i) for i in range(count)) > miss:
-        rounds += 1
-    return coarse, rounds, count
+@lru_cache(maxsize=8)
+def draws(dims: int, threshold: float, coarse: int, width: float, rounds: int, seed: int) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """A function from unit vectors to their cells' codes (a number a round) and sketches (bytes)."""
+    rng = np.random.default_rng([seed, dims])
+    directions, shift = rng.standard_normal((dims, SKETCH + rounds * coarse)), rng.random(rounds * coarse) * width
+    salt = np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(dims)
+    step = math.sqrt(2 - 2 * threshold) / STEPS
+
+    def sketch(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        y = u @ directions
+        kept = np.clip(np.floor(y[:, :SKETCH] / step) + 128, 0, 255).astype(np.uint8)
+        cells = np.floor((y[:, SKETCH:] + shift) / width).astype(np.int64).astype(np.uint64).reshape(len(u), rounds, coarse)
+        code = np.broadcast_to(salt, (len(u), rounds)).copy()
+        for j in range(coarse):
+            code = (code ^ cells[:, :, j]) * np.uint64(0xBF58476D1CE4E5B9)
+            code ^= code >> np.uint64(29)
+        low = np.uint64((1 << ROUND_BITS) - 1)
+        return ((code & ~low) | np.arange(rounds, dtype=np.uint64)).view(np.int64), kept
+
+    return sketch
+
+
+def unit(flat: np.ndarray, dims: int) -> np.ndarray:
+    x = flat.astype(np.float64).reshape(-1, dims)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], key: str, most: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of at least `most` rows with all rows of each of their keys, and the number of each row's key; the batches
+    are sorted by it."""
+    held: list[pa.RecordBatch] = []
+
+    def numbered(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        return table, np.concatenate([[0], np.cumsum(np.diff(table.column(key).to_numpy()) != 0)])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        cut = np.flatnonzero(np.diff(keys))
+        cut = int(cut[-1]) + 1 if len(cut) else 0
+        new = bool(held) and held[-1].column(key)[-1].as_py() != keys[0]
+        if (cut or new) and sum(x.num_rows for x in held) + cut >= most:
+            yield numbered(pa.Table.from_batches([*held, *([batch.slice(0, cut)] if cut else [])]))
+            held, batch = [], batch.slice(cut)
+        held.append(batch)
+    if held:
+        yield numbered(pa.Table.from_batches(held))
+
+
+def collide(sketches: np.ndarray, run: np.ndarray, by: np.ndarray, side: np.ndarray, count: int, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one run that collide in the window of the projection `by`, one for each run, by which it is sorted, and in
+    at least `count` of all windows; side: -1, or the blocks 0 and 1 of which only mixed pairs are wanted."""
+    half = math.ceil(WINDOW * STEPS) + 1
+    place = run * 1024 + sketches[np.arange(len(run)), by]
+    order = np.argsort(place, kind="stable")
+    place = place[order]
+    until = np.searchsorted(place, place + half, side="right")
+    x, side = np.ascontiguousarray(sketches[order].T), side[order]
+    first, second = [], []
+    for begin in range(0, len(order), block):
+        end = min(begin + block, len(order))
+        to = int(until[end - 1])
+        misses = np.zeros((end - begin, to - begin), np.uint8)
+        for c in range(SKETCH // 2):
+            # The difference is taken modulo 256: what wraps round only adds candidates.
+            misses += (x[c, begin:end, None] - x[c, None, begin:to] + np.uint8(half)) > 2 * half
+        i, j = np.nonzero(misses <= SKETCH - count)
+        keep = (j > i) & (begin + j < until[begin + i])
+        i, j = i[keep], j[keep]
+        keep = (side[begin + i] < 0) | (side[begin + i] != side[begin + j])
+        i, j = i[keep], j[keep]
+        total = misses[i, j]
+        for c in range(SKETCH // 2, SKETCH):
+            total += (x[c, begin + i] - x[c, begin + j] + np.uint8(half)) > 2 * half
+        keep = total <= SKETCH - count
+        first.append(order[begin + i[keep]])
+        second.append(order[begin + j[keep]])
+    return np.concatenate(first), np.concatenate(second)
+
+
+def pairs_of_runs(run: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs i < j of rows with one run, some `most` at a time; run ascends."""
+    end = np.searchsorted(run, run, side="right")
+    many = end - np.arange(len(run)) - 1
+    upto = np.concatenate([[0], np.cumsum(many)])
+    begin = 0
+    while begin < len(run):
+        to = max(begin + 1, int(np.searchsorted(upto, upto[begin] + most, side="right")) - 1)
+        i = np.repeat(np.arange(begin, to), many[begin:to])
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(upto[begin:to] - upto[begin], many[begin:to])
+        begin = to
+
+
+def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number that each of 0..n-1 reaches over the links (a, b)."""
+    out = np.arange(n)
+    while True:
+        least = out.copy()
+        np.minimum.at(least, a, out[b])
+        np.minimum.at(least, b, out[a])
+        least = least[least]
+        if (least == out).all():
+            return out
+        out = least
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id", vector: str = "embedding", miss: float = 1e-5, seed: int = 7) -> DataFrame:
@@ -59,71 +177,113 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, key: str = "vec
     """
     spark = vectors.sparkSession
     small_batches(spark)
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    kind = vectors.select(vector).schema[0].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("v"))
     sound = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0) & F.col("id").isNotNull()
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     classes = saved(rows.filter("sound").groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "classes")
-    n = classes.count()
-    coarse, rounds, count = calibrate(threshold, max(n, 2), miss)
-    d = math.sqrt(2 - 2 * threshold)
-    half, cell = WINDOW * d, CELL * d
+    coarse, width, rounds, count = calibrate(threshold, classes.count(), miss)
+
+    def sketcher(dims: int):
+        return draws(dims, threshold, coarse, width, rounds, seed)
 
     def project(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            length = np.diff(batch.column("v").offsets.to_numpy())
-            flat = batch.column("v").flatten().to_numpy()
-            begin = np.concatenate([[0], np.cumsum(length)])[:-1]
+            v = batch.column("v")
+            length = np.diff(v.offsets.to_numpy()) if batch.num_rows else np.zeros(0, np.int64)
             for dims in np.unique(length):
-                at = np.flatnonzero(length == dims)
-                x = flat[begin[at][:, None] + np.arange(dims)]
-                top = np.abs(x).max(1, keepdims=True)
-                u = x / top
-                u /= np.linalg.norm(u, axis=1, keepdims=True)
-                draw = np.random.default_rng([seed, int(dims)])
-                y = (u @ draw.standard_normal((int(dims), rounds * (coarse + 1)))).reshape(len(at), rounds, coarse + 1)
-                shift = draw.random((rounds, coarse)) * cell
-                cells = np.floor((y[:, :, :coarse] + shift) / cell).astype(np.int64).astype(np.uint64)
-                code = np.full((len(at), rounds), 0x9E3779B97F4A7C15, np.uint64) * np.arange(1, rounds + 1, dtype=np.uint64) + np.uint64(dims)
-                for j in range(coarse):
-                    code = (code ^ cells[:, :, j]) * np.uint64(0xBF58476D1CE4E5B9)
-                    code ^= code >> np.uint64(29)
-                edge = np.arange(len(at) + 1, dtype=np.int32) * rounds
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("node").take(pa.array(at)), pa.ListArray.from_arrays(pa.array(edge), pa.array(code.view(np.int64).ravel())), pa.ListArray.from_arrays(pa.array(edge), pa.array(y[:, :, coarse].ravel()))],
-                    ["node", "cells", "fine"],
-                )
+                at = pa.array(np.flatnonzero(length == dims))
+                codes, kept = sketcher(int(dims))(unit(v.take(at).flatten().to_numpy(), int(dims)))
+                edge = pa.array(np.arange(len(at) + 1, dtype=np.int32) * rounds)
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(at), pa.ListArray.from_arrays(edge, pa.array(codes.ravel())), pa.array([x.tobytes() for x in kept], pa.binary())], ["node", "codes", "sketch"])
+
+    sketches = saved(classes.select("node", "v").mapInArrow(project, "node long, codes array<long>, sketch binary"), "sketches")
+    dealt = sketches.select("node", F.explode("codes").alias("cell"), "sketch")
+    hot = saved(dealt.groupBy("cell").agg(F.count("*").alias("size")).filter(F.col("size") > LIMIT), "hot")
+    n_hot = hot.count()
+    if n_hot:
+        # Blocks of a hot cell meet in pairs, so no task holds more than two of them.
+        dealt = dealt.join(F.broadcast(hot) if n_hot <= 100_000 else hot, "cell", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / LIMIT), F.lit(1)))
+        own = F.pmod(F.xxhash64("node", "cell"), F.col("blocks"))
+        dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        met = F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))
+        meeting = F.when(F.col("blocks") > 1, met.bitwiseAND(F.lit(~((1 << ROUND_BITS) - 1))).bitwiseOR(F.col("cell").bitwiseAND(F.lit((1 << ROUND_BITS) - 1)))).otherwise(F.col("cell"))
+        side = F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1)
+        dealt = dealt.select("node", meeting.alias("cell"), "sketch", side.cast("byte").alias("side"))
+    else:
+        dealt = dealt.withColumn("side", F.lit(-1).cast("byte"))
+
+    def round_of(table: pa.Table) -> np.ndarray:
+        return table.column("cell").to_numpy() & ((1 << ROUND_BITS) - 1)
+
+    def count_collisions(batches):
+        for table, run in whole_runs(batches, "cell"):
+            x = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+            side = table.column("side").to_numpy()
+            a, b = collide(x, run, round_of(table) % SKETCH, side, count)
+            who = np.unique(np.concatenate([a, b]))
+            if len(who):
+                node, cell, part = table.column("node").to_numpy(), table.column("cell").to_numpy(), labels(len(run), a, b)
+                out = [pa.array(node[who]), pa.array(cell[who]), pa.array(node[part[who]]), pa.array(side[who]), table.column("sketch").combine_chunks().take(pa.array(who))]
+                yield pa.RecordBatch.from_arrays(out, ["node", "cell", "first", "side", "sketch"])
+
+    members = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(count_collisions, "node long, cell long, first long, side byte, sketch binary")
+    members = saved(members, "members")
+    half = math.ceil(WINDOW * STEPS) + 1
 
     def verify(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            begin = np.concatenate([[0], np.cumsum(np.diff(batch.column("va").offsets.to_numpy()))])[:-1]
-            sides = []
-            for x in ("va", "vb"):
-                v = batch.column(x).flatten().to_numpy()
-                v = v / np.repeat(np.maximum.reduceat(np.abs(v), begin), np.diff([*begin, len(v)]))
-                sides.append((v, np.sqrt(np.add.reduceat(v * v, begin))))
-            (a, la), (b, lb) = sides
-            keep = pa.array(np.flatnonzero(np.add.reduceat(a * b, begin) / (la * lb) >= threshold))
-            yield pa.RecordBatch.from_arrays([batch.column(x).take(keep) for x in ("a", "b", "ca", "cb")], ["a", "b", "ca", "cb"])
-
-    flat = classes.select("node", "v").mapInArrow(project, "node long, cells array<long>, fine array<double>")
-    sorted_ = flat.select("node", F.explode(F.arrays_zip("cells", "fine")).alias("x")).select("node", F.col("x.cells").alias("cell"), F.col("x.fine").alias("fine"))
-    # A window covers its own bin of the sorted projection and the two beside it; one side looks at its own and the next.
-    left = sorted_.select(F.col("node").alias("a"), "cell", F.col("fine").alias("fa"), F.explode(F.array(F.floor(F.col("fine") / half), F.floor(F.col("fine") / half) + 1)).alias("bin"))
-    right = sorted_.select(F.col("node").alias("b"), "cell", F.col("fine").alias("fb"), F.floor(F.col("fine") / half).alias("bin"))
-    own = F.floor(F.col("fa") / half) == F.col("bin")
-    hits = left.join(right, ["cell", "bin"]).filter((F.abs(F.col("fa") - F.col("fb")) <= half) & F.when(own, F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")))
-    pairs = hits.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("hits")).filter(F.col("hits") >= count)
-    side = classes.select("node", "v", "copies")
-    full = pairs.join(side.toDF("a", "va", "ca"), "a").join(side.toDF("b", "vb", "cb"), "b").filter("size(va) = size(vb)")
-    links = saved(full.select("a", "b", "va", "vb", "ca", "cb").mapInArrow(verify, "a long, b long, ca long, cb long"), "pairs")
-    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("cb").alias("c")), F.struct(F.col("b").alias("node"), F.col("ca").alias("c")))).alias("x")).select("x.node", "x.c")
-    degree = ends.groupBy("node").agg(F.sum("c").alias("others"))
-    whole = classes.join(degree, "node", "left").join(components(links), "node", "left")
+        for table, run in whole_runs(batches, "cluster"):
+            v = table.column("v").combine_chunks()
+            length = np.diff(v.offsets.to_numpy())
+            for dims in np.unique(length):  # a cluster's vectors have one length
+                at = np.flatnonzero(length == dims)
+                some = table.take(pa.array(at))
+                u = unit(some.column("v").combine_chunks().flatten().to_numpy(), int(dims))
+                codes, _ = sketcher(int(dims))(u)
+                x = np.frombuffer(b"".join(some.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+                node, copies, side = (some.column(k).to_numpy() for k in ("node", "copies", "side"))
+                now = round_of(some)
+                earlier = np.arange(rounds)[None, :] < now[:, None]
+                near, ends = np.zeros(len(u), np.int64), ([], [])
+                for p, q in pairs_of_runs(run[at]):
+                    keep = (side[p] < 0) | (side[p] != side[q])
+                    p, q = p[keep], q[keep]
+                    close = np.einsum("ij,ij->i", u[p], u[q]) >= threshold
+                    p, q = p[close], q[close]
+                    # A pair counts where it meets first: in this round and in none before.
+                    hits = np.abs(x[p].astype(np.int16) - x[q]) <= half
+                    met = (codes[p] == codes[q]) & hits[:, np.arange(rounds) % SKETCH]
+                    keep = (hits.sum(1) >= count) & met[np.arange(len(p)), now[p]] & ~(met & earlier[p]).any(1)
+                    p, q = p[keep], q[keep]
+                    np.add.at(near, p, copies[q])
+                    np.add.at(near, q, copies[p])
+                    ends[0].append(p)
+                    ends[1].append(q)
+                part = labels(len(u), np.concatenate(ends[0] or [np.zeros(0, int)]), np.concatenate(ends[1] or [np.zeros(0, int)]))
+                linked = np.flatnonzero(near)
+                yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[part[linked]]), pa.array(near[linked])], ["node", "to", "others"])
+
+    known = classes.select("node", "v", "copies").join(members, "node").withColumn("cluster", F.xxhash64("cell", "first"))
+    met = saved(known.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(verify, "node long, to long, others long"), "links")
+    degree = met.groupBy("node").agg(F.sum("others").alias("others"))
+    joined = components(met.select(F.col("node").alias("a"), F.col("to").alias("b")))
+    discard(sketches, hot, members)
+    whole = classes.join(degree, "node", "left").join(joined, "node", "left")
     labelled = whole.select("v", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     plain = rows.filter("not sound").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = rows.filter("sound").join(labelled, "v").select("id", "n_links", "component_id").unionByName(plain)
     return out.select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def sql(threshold: float = 0.95, vectors: str = "embeddings") -> str:
+    """The same over `vectors` (vec_id, embedding), whose keys are distinct, in DuckDB's SQL."""
+    return f"""
+WITH RECURSIVE u AS (
+  SELECT vec_id, [CAST(x AS DOUBLE) for x in embedding] AS x FROM {vectors}
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([1 for x in embedding if x <> 0]) > 0),
+links AS MATERIALIZED (SELECT p.vec_id AS a, q.vec_id AS b FROM u p JOIN u q ON p.vec_id <> q.vec_id AND len(p.x) = len(q.x) AND list_cosine_similarity(p.x, q.x) >= {threshold}),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM {vectors} UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, component_id, e.vec_id = component_id AS kept FROM {vectors} e JOIN least ON least.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id"""

@@ -92,4 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_rendezvous_shards": op10_rendezvous_shards,
 }
 
-SQL: dict[str, str] = {"op9_mix_sources": mixing.sql(MIX_DOMAIN_SQL, MIX_SHARE, MIX_EPOCHS, MIX_WEIGHTS)}
+SQL: dict[str, str] = {
+    "op1_collision_dedup": embed_dedup.sql(0.95),
+    "op7_impact_search": impact_search.sql("vec_id % 100 = 0", 10),
+    "op9_mix_sources": mixing.sql(MIX_DOMAIN_SQL, MIX_SHARE, MIX_EPOCHS, MIX_WEIGHTS),
+}

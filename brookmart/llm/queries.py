@@ -94,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_collision_dedup": embed_dedup.sql(0.95),
+    "op4_minhash_dedup": minhash_dedup.sql(85),
     "op7_impact_search": impact_search.sql("vec_id % 100 = 0", 10),
     "op9_mix_sources": mixing.sql(MIX_DOMAIN_SQL, MIX_SHARE, MIX_EPOCHS, MIX_WEIGHTS),
 }

@@ -112,6 +112,13 @@ def test_block_links_span_what_they_join():
     assert united(range(60), zip(a, b, strict=True)) == united(range(60), near) and len(a) == 60 - len(set(united(range(60), near).values()))
 
 
+def test_minhash_query_equals_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(queries.SQL["op4_minhash_dedup"]).fetchall()
+    assert sorted(map(tuple, queries.QUERIES["op4_minhash_dedup"](spark, SF).collect())) == sorted(want) and want
+
+
 def test_minhash_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert minhash_dedup.near_duplicates(none).count() == 0

@@ -15,7 +15,8 @@ MIX_WEIGHTS = {"language": {"en": 4, "de": 2, "fr": 2, "es": 2}}
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the grammar, fitted to the labels of rows that aren't held out, rejects."""
+    """Without the documents that the grammar, fitted to the labels of rows that aren't held out, rejects. Null and empty texts
+    are clean; rows that repeat a doc_id or have none are judged by their own text; an empty table stays empty."""
     return toxicity.reject(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -28,12 +29,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """At most one epoch of each leaf, towards even sources within languages within domains."""
+    """At most one epoch of each leaf, towards even sources within languages within domains. Null languages and sources are
+    names of their own, a null text counts one token, rows that repeat a doc_id are rows of their own."""
     return mixing.mix(docs, mix_domain(), MIX_SHARE, 1, MIX_WEIGHTS).select(*docs.columns)
 
 
 def encode_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and digests of them and of the bytes that they decode to."""
+    """Token ids of every document, and digests of them and of the bytes that they decode to. A null text is empty; every row
+    stays, whatever its doc_id. Columns of documents are not returned."""
     rows = byte_bpe.decode(byte_bpe.encode(docs, RANKS, PATTERN), RANKS, PATTERN)
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -214,6 +214,22 @@ def test_pipeline_stage_by_stage(spark):
     assert corpus_pipeline.run(spark, SF).count() == len(out)
 
 
+def test_pipeline_stages_with_odd_rows(spark):
+    long = "a word and more of them, " * 4000
+    rows = [(None, None, None, None, None), (1, "", "en", "s1", 0), (2, long, "en", "s1", 5), (2, long, "en", "s1", 5), (3, long + "end", "en", "s2", 5), (None, long, None, "s2", 5), (4, "one two three four five six", "de", "s3", 3), (5, "one two three four five six", "de", "s3", 3)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars int, component_id string, epoch int")
+    clean = corpus_pipeline.drop_toxic(spark, docs, SF)
+    assert clean.columns == docs.columns and clean.count() == len(rows)
+    one = corpus_pipeline.drop_near_copies(spark, clean, SF)
+    assert one.columns == docs.columns and sorted(str(r.doc_id) for r in one.collect()) == ["1", "2", "2", "4", "None", "None"]
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF)
+    assert mixed.columns == docs.columns and mixed.exceptAll(docs).count() == 0
+    out = corpus_pipeline.encode_decode(spark, docs, SF).collect()
+    assert sorted((str(r.doc_id), r.decoded_sha256) for r in out) == sorted((str(r[0]), hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in rows)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+
+
 @pytest.mark.parametrize("name", ["op1_collision_dedup", "op9_mix_sources", "op10_rendezvous_shards"])
 def test_registered(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0

@@ -24,13 +24,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     the rows before it in the file), n_tokens (with the end id) and ids. The writer dictionary-encodes ids (a vocabulary
     fits in one dictionary page), ends row groups at row_group_mb and pages at page_rows rows, and adds column and
     offset indexes, so readers fetch single columns, row groups or pages. Null texts are empty; null keys come first;
-    rows with equal keys stay, ordered by a hash of their text; an empty table makes an empty folder of files.
+    rows with equal keys stay, in a file ordered by a hash of their text; an empty table makes an empty folder of files.
     """
     spark = docs.sparkSession
     small_batches(spark)
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # A much repeated key is several files; a random number tells where it is cut without a look at the texts.
+    rows = rows.repartitionByRange(n, "doc_id", F.rand(7)).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def encode(batches):
         model, part, before = codec(tokenizer), TaskContext.get().partitionId(), 0
@@ -69,7 +70,8 @@ def with_start(spark: SparkSession, path: str, columns: Sequence[str] = ("doc_id
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))  # a row a file
     rows = read_tokens(spark, path, ["part", "part_start", *columns])
-    return rows.join(F.broadcast(base), "part").select(*columns, (F.col("base") + F.col("part_start")).alias("start"))
+    few = len(rows.inputFiles()) <= 1_000_000  # base has a row of two numbers for each file
+    return rows.join(F.broadcast(base) if few else base, "part").select(*columns, (F.col("base") + F.col("part_start")).alias("start"))
 
 
 def ids_crc32(rows: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from functools import lru_cache
 from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
 
 #: Distinct chunks remembered by a task's process; beyond it the memory is emptied, which costs time only.
 REMEMBERED = 800_000
@@ -21,11 +22,28 @@ LONGEST = 48
 #: Stands between chunks that the library encodes as one text; chunks that hold it are encoded on their own.
 MARK = b"\x01"
 #: Bytes of texts whose chunks are looked up together.
-GROUP = 1 << 20
+GROUP = 1 << 22
 #: Bytes of a text taken at a time.
 PART = 1 << 18
 
 
+def steps_of(part: dict | None, name: str) -> list[dict]:
+    return (part or {}).get(name) or ([part] if part else [])
+
+
+def keeps_chunks(spec: dict) -> bool:
+    """Whether what the tokenizer does to a text before it is split does to each chunk what it does to the whole."""
+    space = {"Regex": "\\s+"}
+    return all(x.get("type") in ("NFC", "Lowercase") or (x.get("type") == "Replace" and x.get("pattern") == space and x.get("content") == " ") for x in steps_of(spec.get("normalizer"), "normalizers"))
+
+
+def parts_stops(spec: dict) -> bool:
+    """Whether a full stop or comma after a letter and before a space is a chunk of its own: the pattern has runs of letters
+    and runs of what is neither letter, digit nor space, and nothing that mixes them."""
+    first = steps_of(spec.get("pre_tokenizer"), "pretokenizers")[0]
+    return {"[\\p{L}]+", "[^\\s\\p{L}\\p{N}]+"} <= set(others := first["pattern"]["Regex"].split("|")) and all(x in ("[\\p{L}]+", "[^\\s\\p{L}\\p{N}]+", "[\\p{N}]", "[\\p{N}]+") or x.startswith("'") and x[1:].isalpha() for x in others)
+
+
 def drops_space(spec: dict) -> bool:
     """Whether the library's tokenizer keeps only matches of a pattern that never match white space."""
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [spec.get("pre_tokenizer") or {}]
@@ -61,7 +79,10 @@ class Codec:
             self.model.no_truncation()
             self.model.no_padding()
             with open(path, encoding="utf-8") as f:
-                self.by_chunk = drops_space(json.load(f))
+                spec = json.load(f)
+            self.by_chunk = drops_space(spec) and keeps_chunks(spec)
+            self.lower = any(x.get("type") == "Lowercase" for x in steps_of(spec.get("normalizer"), "normalizers"))
+            self.stops = self.by_chunk and parts_stops(spec)
         if self.by_chunk:
             mark = self.library([MARK.decode()])[0]
             self.by_chunk = len(mark) == 1
@@ -103,9 +124,10 @@ class Codec:
         self.starts = np.cumsum(self.lens) - self.lens
 
     def lowered(self, text: bytes) -> bytes:
-        """Lower case, which joins equal chunks, where it cannot change the ids: without special strings, and if the text
-        is composed in either case (the library composes first), without a sigma (whose lower case depends on its place)."""
-        if b"<|" in text:
+        """Lower case, which joins equal chunks, where it cannot change the ids: if the tokenizer lower-cases, without special
+        strings, and if the text is composed in either case (the library composes first), without a sigma (whose lower
+        case depends on its place)."""
+        if not self.lower or b"<|" in text:
             return text
         if text.isascii():
             return text.lower()
@@ -113,20 +135,23 @@ class Codec:
         low = whole.lower()
         return low.encode() if "\u03a3" not in whole and is_normalized("NFC", whole) and is_normalized("NFC", low) else text
 
-    def chunks(self, parts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-        """The chunks of all parts, and how many each part has. A full stop or comma between a letter a-z and a space is a
-        chunk of its own to the tokenizer, so a space is put before it."""
+    def chunks(self, parts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The distinct chunks of all parts, the number of each chunk's, and how many chunks each part has. Where a full stop
+        or comma between a letter a-z and a space is a chunk of its own to the tokenizer, a space is put before it."""
         parts = [self.lowered(x) for x in parts]
         body = np.frombuffer(b" ".join(parts) + b" ", np.uint8).copy()
         body[body == 10] = 32
-        letter = (body >= 97) & (body <= 122)
-        stop = np.flatnonzero(((body[1:-1] == 44) | (body[1:-1] == 46)) & letter[:-2] & (body[2:] == 32)) + 1
-        body = np.insert(body, stop, 32)
-        words = body.tobytes().split(b" ")
-        words.pop()
         edges = np.cumsum([len(x) + 1 for x in parts])
-        edges += np.searchsorted(stop, edges)
-        return words, np.diff(np.cumsum(body == 32)[edges - 1], prepend=0)
+        if self.stops:
+            letter = (body >= 97) & (body <= 122)
+            stop = np.flatnonzero(((body[1:-1] == 44) | (body[1:-1] == 46)) & letter[:-2] & (body[2:] == 32)) + 1
+            body = np.insert(body, stop, 32)
+            edges += np.searchsorted(stop, edges)
+        ends = np.flatnonzero(body == 32)
+        offsets = np.concatenate([[0], ends + 1]).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(body)]).dictionary_encode()
+        sizes = np.diff(np.searchsorted(ends, edges - 1, side="right"), prepend=0)
+        return [x[:-1] for x in words.dictionary.to_pylist()], words.indices.to_numpy(), sizes
 
     def parts(self, text: bytes) -> list[bytes]:
         """A long text cut at spaces."""
@@ -164,17 +189,14 @@ class Codec:
     def _some(self, group, end, ids, counts, pools) -> None:
         if not group:
             return
-        words, sizes = self.chunks([part for _, part, _ in group])
-        distinct = list(set(words))
+        distinct, number, sizes = self.chunks([part for _, part, _ in group])
         missing = [x for x in distinct if x not in self.known]
         if len(self.known) + len(missing) > REMEMBERED:
             self.forget()
             missing = [x for x in distinct if x]
         long = [x for x in missing if len(x) > LONGEST]
         self.learn(missing)
-        local = dict(zip(distinct, range(len(distinct)), strict=True))
-        place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
-        at = place[np.fromiter(map(local.__getitem__, words), np.int64, len(words))]
+        at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[number]
         lens = self.lens[at]
         edges = np.concatenate([[0], np.cumsum(sizes)])
         sums = np.concatenate([[0], np.cumsum(lens)])

@@ -1,15 +1,17 @@
 """Tokenizer operators against the libraries themselves, on texts made to break boundaries."""
 
 import hashlib
+import math
 import struct
 import zlib
 
 import public_tokenizers as P
 import pytest
 
-from brookmart.llm import byte_bpe, shards, token_counts, token_files
+from brookmart.llm import byte_bpe, queries, shards, token_counts, token_files
 from brookmart.llm.shared import scratch
 
+SF = "/root/testdata/sf0.001"
 WORDS, RANKS = P.path("word_bpe_49k.json"), P.path("byte_bpe_multi_50k.tiktoken")
 TEXTS = [
     None, "", " ", "\n\n", "plain words here", "Mixed CASE, don't we'll 12345 99", "tab\tand nbsp 　wide", "a" * 5000,
@@ -52,6 +54,75 @@ def test_counts_with_other_libraries(docs):
     assert all(got[i if i != 4 else None] == len(b.encode(x or "", add_special_tokens=False).ids) for i, x in enumerate(TEXTS))
 
 
+@pytest.mark.parametrize("change", ["cased", "one pattern", "stripped", "other pattern"])
+def test_counts_of_other_settings_equal_the_library(docs, tmp_path, change):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(WORDS, encoding="utf-8") as f:
+        spec = json.load(f)
+    split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]
+    if change == "cased":
+        spec["normalizer"] = None
+    elif change == "one pattern":
+        split["Regex"] = "[^\\s]+"
+    elif change == "other pattern":
+        split["Regex"] = "[\\p{L}]+[.,]?|[^\\s\\p{L}]+"
+    else:
+        spec["normalizer"]["normalizers"].append({"type": "Strip", "strip_left": True, "strip_right": True})
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    t = Tokenizer.from_file(path)
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, path).collect()}
+    for i, x in enumerate([*TEXTS]):
+        assert got[i if i != 4 else None] == len(t.encode(x or "", add_special_tokens=False).ids), x
+
+
+def test_files_with_one_hot_key(spark):
+    df = spark.range(900).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 7 ELSE id END AS doc_id", "concat('t ', id) AS text")
+    path = scratch(spark, "test")
+    token_files.write_token_files(df, path, WORDS, files=6)
+    rows = token_files.with_start(spark, path, ["doc_id", "part", "n_tokens", "ids"]).orderBy("start").collect()
+    assert len({r.part for r in rows if r.doc_id is None}) > 1 and len(rows) == 900
+    assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:i]) for i in range(len(rows))]
+    assert [r.doc_id or -1 for r in rows] == sorted(r.doc_id or -1 for r in rows)
+
+
+def test_files_are_read_in_part(spark):
+    """Metadata without ids, and row groups and pages without rows of other keys."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    df = spark.range(12_000).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 60), i -> concat('w', (id * 7919 + i * 104729) % 100003)), ' ') AS text")
+    path = scratch(spark, "test")
+    token_files.write_token_files(df, path, WORDS, files=1, row_group_mb=1, page_rows=256)
+    meta = pq.ParquetFile(glob.glob(f"{path}/*.parquet")[0]).metadata
+    assert meta.num_row_groups > 1 and max(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)) < 2 << 20
+    plan = token_files.read_tokens(spark, path, ["doc_id", "n_tokens"]).filter("doc_id = 17")._jdf.queryExecution().executedPlan().toString()
+    assert "ids" not in plan.split("ReadSchema")[1] and "EqualTo(doc_id,17)" in plan
+    assert token_files.read_tokens(spark, path).filter("doc_id = 17").count() == 1
+
+
+def test_queries_equal_the_libraries(spark):
+    texts = {r.doc_id: r.text or "" for r in queries.table(spark, SF, "documents").collect()}
+    t, e, start = library(), byte_bpe.encoding(RANKS, P.PATTERN), 0
+    counts = {r.doc_id: r for r in queries.QUERIES["op8_token_counts"](spark, SF).collect()}
+    files = {r.doc_id: r for r in queries.QUERIES["op2_token_files"](spark, SF).collect()}
+    pieces = {r.doc_id: r for r in queries.QUERIES["op5_byte_bpe"](spark, SF).collect()}
+    assert len(counts) == len(files) == len(pieces) == len(texts)
+    for i in sorted(texts):
+        ids = t.encode(texts[i], add_special_tokens=False).ids
+        assert (counts[i].n_bytes, counts[i].n_tokens, counts[i].over_limit) == (len(texts[i].encode()), len(ids), len(ids) > 2048)
+        packed = struct.pack(f"<{len(ids) + 1}I", *ids, 2)
+        assert (files[i].start, files[i].n_tokens, files[i].ids_crc32) == (start, len(ids) + 1, zlib.crc32(packed))
+        start += len(ids) + 1
+        ids = e.encode_ordinary(texts[i])
+        assert (pieces[i].n_tokens, pieces[i].ids_sha256, pieces[i].decoded_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(texts[i].encode()).hexdigest())
+
+
 def test_files_hold_the_ids_in_order(spark, docs):
     path = scratch(spark, "test")
     token_files.write_token_files(docs, path, WORDS, end_id=2, files=3)
@@ -124,6 +195,43 @@ def test_empty_tables(spark):
     assert token_files.with_start(spark, path).count() == 0
 
 
+def u(key, shard):
+    return (int(hashlib.md5(f"{'null' if key is None else key}:{shard}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+
+
+def prefers(key, weights):
+    return min(range(len(weights)), key=lambda i: (-math.log(u(key, i)) / weights[i], i))
+
+
+@pytest.mark.parametrize(("weights", "grown"), [([1.0] * 16, None), ([1.0, 3.0, 0.5], None), ([1.0, 3.0], [2.0, 3.0, 1.0]), ([1.0] * 4, [1.0] * 3), ([2.0], [2.0])])
+def test_shards_equal_rendezvous_in_python(spark, weights, grown):
+    keys = [*range(700), None, None, 5, 5, 5]
+    df = spark.createDataFrame([(k, f"t{i % 3}", 1) for i, k in enumerate(keys)], "doc_id long, text string, shard int")
+    rows = shards.shard_documents(df, weights, grown, parts=5).collect()
+    assert len(rows) == len(keys)
+    more = grown or [*weights, weights[-1]]
+    assert all((r.shard, r.grown_shard) == (prefers(r.doc_id, weights), prefers(r.doc_id, more)) for r in rows)
+    for s in range(len(weights)):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
+def test_shards_with_one_hot_key(spark):
+    df = spark.range(6000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 7 ELSE id END AS doc_id", "concat('t', id % 50) AS text").unionAll(spark.sql("SELECT CAST(NULL AS LONG), CAST(NULL AS STRING)"))
+    rows = shards.shard_documents(df, [1.0] * 4, parts=8).collect()
+    assert len(rows) == 6001
+    for s in range(4):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
+def test_shard_query_equals_rendezvous_in_python(spark):
+    rows = queries.QUERIES["op10_rendezvous_shards"](spark, SF).collect()
+    texts = {r.doc_id: r.text for r in queries.table(spark, SF, "documents").collect()}
+    assert len(rows) == len(texts)
+    for r in rows:
+        body = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.shard, r.grown_shard) == (len(body) + 1, zlib.crc32(body), "key", prefers(r.doc_id, [1.0] * 16), prefers(r.doc_id, [1.0] * 17))
+
+
 def test_shards(spark, docs):
     many = spark.range(4000).selectExpr("id as doc_id", "concat('t', id % 7) as text").unionByName(docs.select("doc_id", "text"))
     rows = shards.shard_documents(many, [1.0] * 16).collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import discard, saved
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -29,9 +29,12 @@ def components(links: DataFrame) -> DataFrame:
     is grouped by node with partial minima, so a node with very many links is no bottleneck; rounds are written to the
     shared folder. Rounds grow with the logarithm of the longest path.
     """
-    now = links.select("a", "b").filter("a <> b").distinct()
+    now, before = links.select("a", "b").filter("a <> b").distinct(), None
     while True:
         now = saved(_star(_star(now, True), False), "links")
+        if before is not None:
+            discard(before)
+        before = now
         # Done when every node has one link, and none leads to a node that has one itself.
         many = now.groupBy("a").count().filter("count > 1").select("a")
         onward = now.select(F.col("b").alias("a")).distinct().join(now.select("a"), "a", "left_semi")

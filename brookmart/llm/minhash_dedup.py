@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import by_bytes, saved, small_batches, text_views
+from .shared import Scratch, by_bytes, small_batches, text_views
 from .words import mix, shingle_sets
 
 BANDS, ROWS = 25, 5
@@ -176,15 +176,15 @@ def meet(ls: pa.Table, rs: pa.Table, percent: int, miss: float) -> tuple[list[in
     return found
 
 
-def _met(many: DataFrame, signs: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
+def _met(many: DataFrame, signs: DataFrame, sets: DataFrame, percent: int, miss: float, tmp: Scratch) -> DataFrame:
     """Links of the classes of large buckets (bucket, node, c, hub_c). Buckets with hubs of one component are a group: its
     classes outside that component meet all of its classes, in blocks of some BLOCK bytes. So a class is sent once for its
     group and block of the other side, not for each of its buckets, and its full set goes with it."""
     sizes = F.col("n") * 8 + (2 * HASHES + 8 * BANDS + 64)
     nodes = many.groupBy(F.col("hub_c").alias("g"), "node").agg(F.max(F.col("c") != F.col("hub_c")).alias("left"), F.first("c").alias("c"), F.first("n").alias("n"))
-    nodes = saved(nodes, "grouped")
+    nodes = tmp.saved(nodes, "grouped")
     blocks = nodes.groupBy("g").agg(*(F.ceil(F.sum(F.when(F.lit(side) | F.col("left"), sizes).otherwise(0)) / BLOCK).alias(k) for k, side in (("nl", False), ("nr", True))))
-    wanted = saved(nodes.select(F.col("node").alias("id")).distinct(), "wanted")
+    wanted = tmp.saved(nodes.select(F.col("node").alias("id")).distinct(), "wanted")
     full = nodes.join(blocks, "g").join(_only(signs, wanted).select(F.col("id").alias("node"), "signature", "bands"), "node").join(_only(sets, wanted).withColumnRenamed("id", "node"), "node")
     full = full.withColumn("block", F.pmod(F.xxhash64("node"), "nr"))
     out = ["g", "lb", "rb", "node", "c", "n", "signature", "bands", "members"]
@@ -201,21 +201,21 @@ def _met(many: DataFrame, signs: DataFrame, sets: DataFrame, percent: int, miss:
     return left.groupBy(*(f"l_{k}" for k in keys)).cogroup(right.groupBy(*keys)).applyInArrow(run, "a long, b long").distinct()
 
 
-def _apart(buckets: DataFrame, part: DataFrame, signs: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
+def _apart(buckets: DataFrame, part: DataFrame, signs: DataFrame, sets: DataFrame, percent: int, miss: float, tmp: Scratch) -> DataFrame:
     """Links between classes with one bucket in different components, one of them not in the hub's."""
     own = buckets.join(part, "node", "left").select("bucket", "node", "n", F.col("hub.node").alias("hub"), "size", F.coalesce("component", "node").alias("c"))
     open_ = own.groupBy("bucket").agg(F.min(F.when(F.col("node") == F.col("hub"), F.col("c"))).alias("hub_c"), F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2")
-    own = saved(own.join(open_.select("bucket", "hub_c"), "bucket"), "open")
+    own = tmp.saved(own.join(open_.select("bucket", "hub_c"), "bucket"), "open")
     few = own.filter(F.col("size") <= SMALL)
     pairs = few.filter("c <> hub_c").select("bucket", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx")).join(few.select("bucket", F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny")), "bucket").filter(F.col("cx") != F.col("cy")).filter(_near("nx", "ny", percent / 100))
-    small = _verified(_survivors(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), signs, percent / 100, miss), sets, percent)
-    return small.unionByName(_met(own.filter(F.col("size") > SMALL), signs, sets, percent, miss)).distinct()
+    small = _verified(_survivors(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), signs, percent / 100, miss), sets, percent, tmp)
+    return small.unionByName(_met(own.filter(F.col("size") > SMALL), signs, sets, percent, miss, tmp)).distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, tmp: Scratch) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= percent * union. Only the sets of the pairs' ends are shuffled."""
-    pairs = saved(pairs, "candidates")
-    sets = _only(sets, saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends"))
+    pairs = tmp.saved(pairs, "candidates")
+    sets = _only(sets, tmp.saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends"))
 
     def run(batches):
         for batch in batches:
@@ -246,34 +246,37 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     up by the posterior bound with at most about `miss`. Sets are compared as 64-bit hashes.
     """
     small_batches(docs.sparkSession)
+    tmp = Scratch()
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    banded = saved(_banded(rows, width), "bands")
+    banded = tmp.saved(_banded(rows, width), "bands")
     digest = ["d1", "d2", "n_shingles"]
     # Copies have the same bands; whole signatures are made for classes that share a bucket only.
-    classes = saved(banded.filter("n_shingles > 0 and id is not null").groupBy(*digest).agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "classes")
+    classes = tmp.saved(banded.filter("n_shingles > 0 and id is not null").groupBy(*digest).agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "classes")
     spread = classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    mated = saved(spread.join(shared, "bucket"), "mates")
+    mated = tmp.saved(spread.join(shared, "bucket"), "mates")
     mates = mated.groupBy("node").agg(F.sum("size").alias("mates"))
     hubs = mated.join(mates, "node").groupBy("bucket").agg(F.max_by(F.struct("node", "n"), F.struct("mates", -F.col("node"))).alias("hub"), F.min(F.struct("node", "n")).alias("hub2"))
-    buckets = saved(mated.join(hubs, "bucket"), "buckets")
-    met = saved(buckets.select(F.col("node").alias("id")).distinct(), "met")
-    full = saved(_sets(_only(rows, met).dropDuplicates(["id", "text"]), width), "sets")
+    buckets = tmp.saved(mated.join(hubs, "bucket"), "buckets")
+    met = tmp.saved(buckets.select(F.col("node").alias("id")).distinct(), "met")
+    full = tmp.saved(_sets(_only(rows, met).dropDuplicates(["id", "text"]), width), "sets")
     sets = full.select("id", "members")
     own = classes.withColumnRenamed("node", "id")  # not another text of a repeated key
-    signs = saved(full.drop("members").dropDuplicates(["id", *digest]).join(own, ["id", *digest]).select("id", "n_shingles", "signature", "bands"), "signs")
+    signs = tmp.saved(full.drop("members").dropDuplicates(["id", *digest]).join(own, ["id", *digest]).select("id", "n_shingles", "signature", "bands"), "signs")
 
     threshold = percent / 100
     ends = buckets.select("node", "n", F.explode(F.array("hub", "hub2")).alias("other")).filter(F.col("node") != F.col("other.node"))
     starred = ends.filter(_near("n", "other.n", threshold)).select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b")).distinct()
-    first = saved(_verified(_survivors(starred, signs, threshold, miss), sets, percent), "links")
+    first = tmp.saved(_verified(_survivors(starred, signs, threshold, miss), sets, percent, tmp), "links")
     part = components(first)
 
     # What is still apart within a bucket. Components stand for the links found before.
-    more = saved(_apart(buckets, part, signs, sets, percent, miss), "links")
+    more = tmp.saved(_apart(buckets, part, signs, sets, percent, miss, tmp), "links")
     if not more.isEmpty():
         part = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
+    tmp.discard(banded, classes)
+
     member = banded.select("id", *digest).join(classes.drop("bands"), digest, "left")
     out = member.join(part, "node", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id")).alias("component_id"))
     return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

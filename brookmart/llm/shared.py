@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most 1,000 rows, unless the session has its own number: rows are whole texts here, and a Python
-    worker keeps the memory that its largest batch took."""
+    worker keeps the memory that its largest batch took. Frames are run when their reader likes, so the setting stays."""
     if spark.conf.get(ROWS_A_BATCH) == "10000":
         spark.conf.set(ROWS_A_BATCH, "1000")
 
@@ -51,6 +51,21 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Tables that an operator writes on its way; discard() deletes all but those that its result still reads."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def saved(self, df: DataFrame, tag: str) -> DataFrame:
+        self.tables.append(saved(df, tag))
+        return self.tables[-1]
+
+    def discard(self, *keep: DataFrame) -> None:
+        discard(*(x for x in self.tables if all(x is not k for k in keep)))
+        self.tables = list(keep)
+
+
 def fresh(taken: list[str], *names: str) -> list[str]:
     """Names that do not clash with the columns taken."""
     out = []

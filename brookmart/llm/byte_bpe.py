@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import by_bytes, small_batches
+from .shared import by_bytes, fresh, small_batches
 
 #: A match that ends this close to a chunk's end may go on beyond it, or be decided by what stands there.
 MARGIN = 8
@@ -128,13 +128,14 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str, ids: str = "ids") -> DataFrame:
-    """Adds decoded, the raw bytes of each row's ids one after another (null for null ids)."""
+    """Adds decoded (or _decoded, if there is such a column), the raw bytes of each row's ids one after another (null for null ids)."""
+    (decoded,) = fresh(encoded.columns, "decoded")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     names = encoded.columns
 
     def run(batches):
         for batch in batches:
             raw = [None if x is None else bytes_of(x, ranks, pattern) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*names, decoded])
 
-    return encoded.mapInArrow(run, f"{kinds}, decoded binary")
+    return encoded.mapInArrow(run, f"{kinds}, {decoded} binary")

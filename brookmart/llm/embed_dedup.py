@@ -172,8 +172,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, key: str = "vec
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing (they are kept). Vectors
     link only within their own length. Equal vectors are one class: copies count as links but are not paired. Rows that
-    share a key are one node: links of one are links of all. A null key links with nothing. A pair at
-    the threshold is missed with a probability of at most `miss`, closer ones far less often. Other columns are not read.
+    share a key are vectors of their own, each with its links; component_id is the least key that a row's vector reaches. A
+    null key links with nothing. Empty tables give no rows. A pair at the threshold is missed with a probability of at most `miss`, closer ones far less often. Other columns are not read.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -182,7 +182,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, key: str = "vec
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("v"))
     sound = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0) & F.col("id").isNotNull()
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
-    classes = saved(rows.filter("sound").groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "classes")
+    # A class has a number of its own, since a key may stand for several vectors.
+    classes = saved(rows.filter("sound").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()), "classes")
     coarse, width, rounds, count = calibrate(threshold, classes.count(), miss)
 
     def sketcher(dims: int):
@@ -269,8 +270,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, key: str = "vec
     degree = met.groupBy("node").agg(F.sum("others").alias("others"))
     joined = components(met.select(F.col("node").alias("a"), F.col("to").alias("b")))
     discard(sketches, hot, members)
-    whole = classes.join(degree, "node", "left").join(joined, "node", "left")
-    labelled = whole.select("v", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    named = joined.join(classes.select("node", "id"), "node")
+    least = named.join(named.groupBy("component").agg(F.min("id").alias("least")), "component").select("node", "least")
+    whole = classes.join(degree, "node", "left").join(least, "node", "left")
+    labelled = whole.select("v", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("least", "id").alias("component_id"))
     plain = rows.filter("not sound").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = rows.filter("sound").join(labelled, "v").select("id", "n_links", "component_id").unionByName(plain)
     return out.select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -86,17 +86,20 @@ def _banded(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """Digests, whole signatures and full sets."""
+    """Class, size, whole signature and full set of texts (node, d1, d2, n, text) whose digests are those given."""
 
     def run(batches):
         for whole in batches:
             for batch in by_bytes(whole, "text", PART):
                 values, where = shingle_sets(*text_views(batch.column("text")), width)
-                each = [values[a:b] for a, b in zip(where[:-1], where[1:], strict=True)]
-                signs = [signature(x).astype(np.uint16).tobytes() if len(x) else None for x in each]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), *_digests(values, where), pa.array(signs, pa.binary()), pa.array([x.tobytes() for x in each], pa.binary())], ["id", "n_shingles", "d1", "d2", "signature", "members"])
+                same = [a.to_numpy() == batch.column(k).to_numpy() for a, k in zip(_digests(values, where), ("n", "d1", "d2"), strict=True)]
+                keep = np.flatnonzero(np.logical_and.reduce(same))
+                each = [values[where[i] : where[i + 1]] for i in keep]
+                signs = [signature(x).astype(np.uint16).tobytes() for x in each]
+                own = [batch.column(k).take(pa.array(keep)) for k in ("node", "n")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(signs, pa.binary()), pa.array([x.tobytes() for x in each], pa.binary())], ["id", "n_shingles", "signature", "members"])
 
-    return docs.mapInArrow(run, "id long, n_shingles long, d1 long, d2 long, signature binary, members binary")
+    return docs.select("node", "d1", "d2", "n", "text").mapInArrow(run, "id long, n_shingles long, signature binary, members binary")
 
 
 def _only(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -251,18 +254,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
     banded = tmp.saved(_banded(rows, width), "bands")
     digest = ["d1", "d2", "n_shingles"]
     # Copies have the same bands; whole signatures are made for classes that share a bucket only.
-    classes = tmp.saved(banded.filter("n_shingles > 0 and id is not null").groupBy(*digest).agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "classes")
+    # A class has a number of its own, since a key may stand for several texts.
+    classes = tmp.saved(banded.filter("n_shingles > 0 and id is not null").groupBy(*digest).agg(F.min("id").alias("id"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()), "classes")
     spread = classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     mated = tmp.saved(spread.join(shared, "bucket"), "mates")
     mates = mated.groupBy("node").agg(F.sum("size").alias("mates"))
     hubs = mated.join(mates, "node").groupBy("bucket").agg(F.max_by(F.struct("node", "n"), F.struct("mates", -F.col("node"))).alias("hub"), F.min(F.struct("node", "n")).alias("hub2"))
     buckets = tmp.saved(mated.join(hubs, "bucket"), "buckets")
-    met = tmp.saved(buckets.select(F.col("node").alias("id")).distinct(), "met")
-    full = tmp.saved(_sets(_only(rows, met).dropDuplicates(["id", "text"]), width), "sets")
+    met = tmp.saved(classes.join(buckets.select("node").distinct(), "node", "left_semi").select("id", "node", "d1", "d2", F.col("n_shingles").alias("n")), "met")
+    texts = rows.join(F.broadcast(met) if met.count() <= BROADCAST_IDS // 5 else met, "id").dropDuplicates(["node", "text"])
+    full = tmp.saved(_sets(texts, width), "sets")
     sets = full.select("id", "members")
-    own = classes.withColumnRenamed("node", "id")  # not another text of a repeated key
-    signs = tmp.saved(full.drop("members").dropDuplicates(["id", *digest]).join(own, ["id", *digest]).select("id", "n_shingles", "signature", "bands"), "signs")
+    signs = tmp.saved(full.drop("members").join(classes.select(F.col("node").alias("id"), "bands"), "id"), "signs")
 
     threshold = percent / 100
     ends = buckets.select("node", "n", F.explode(F.array("hub", "hub2")).alias("other")).filter(F.col("node") != F.col("other.node"))
@@ -277,8 +281,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, key: str
 
     tmp.discard(banded, classes)
 
-    member = banded.select("id", *digest).join(classes.drop("bands"), digest, "left")
-    out = member.join(part, "node", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id")).alias("component_id"))
+    named = part.join(classes.select("node", "id"), "node")
+    least = named.join(named.groupBy("component").agg(F.min("id").alias("least")), "component").select("node", "least")
+    known = classes.join(least, "node", "left").select(*digest, F.coalesce("least", "id").alias("least"))
+    member = banded.select("id", *digest).join(known, digest, "left")
+    out = member.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("component_id"))
     return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

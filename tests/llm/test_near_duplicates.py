@@ -74,6 +74,18 @@ def test_minhash_equals_brute_force(spark, monkeypatch):
     assert sum(want[i] != i for i in want) > 40
 
 
+def test_minhash_of_keys_with_several_texts(spark):
+    """A key's texts are judged each for itself: 1 has two that link with 2 and with 3, which nothing else joins."""
+    words = [f"w{i}" for i in range(200)]
+    a, b = " ".join(words[:90]), " ".join(words[100:190])
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (0, "other words than those here"), (1, a), (4, b), (None, a)]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == [(0, 0), (1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 1)]
+    far = [(5, a), (2, b), (5, "lone words of a text here"), (3, a + " x")]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(far, "doc_id long, text string"), 85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == [(2, 86, 2, True), (3, 87, 3, True), (5, 2, 5, True), (5, 86, 3, False)]
+
+
 def test_minhash_of_a_large_group_round_the_threshold(spark, monkeypatch):
     """1,500 texts of one group whose links are sparse: all blocks are needed to tell who is linked with whom."""
     monkeypatch.setattr(minhash_dedup, "BLOCK", 1 << 19)
@@ -171,6 +183,12 @@ def linked(x, threshold=0.95):
     return near.sum(1) - 1, united(range(len(x)), [(int(i), int(j)) for i, j in zip(*np.nonzero(near), strict=True) if i < j])
 
 
+def test_embeddings_of_keys_with_several_vectors(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (3, [1.0, 0.1]), (4, [0.1, 1.0]), (3, [-1.0, 0.0]), (6, [1.0, 0.0]), (5, [1.0, 0.0])]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(3, 0, 3), (3, 3, 3), (4, 1, 4), (5, 1, 4), (5, 3, 3), (5, 3, 3), (6, 3, 3)]
+
+
 def test_embeddings_of_hot_cells_equal_brute_force(spark, monkeypatch):
     """A third of all rows are one group of near copies, and cells are dealt to small blocks."""
     monkeypatch.setattr(embed_dedup, "LIMIT", 150)

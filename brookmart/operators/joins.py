@@ -20,9 +20,9 @@ def interval_join(left: DataFrame, right: DataFrame, on: Column, left_time: str,
 
 
 def lookup(rows: DataFrame, dim: DataFrame, key: str, dim_key: str, columns: Mapping[str, str]) -> DataFrame:
-    """Left outer lookup: rows with the dim's columns (source name -> new name), null on a miss; columns that the rows have
-    are replaced. The dim has one row a key. Catalyst broadcasts a dim only below its size threshold."""
-    side = dim.select(F.col(dim_key).alias("_k"), *(F.col(a).alias(f"_v_{b}") for a, b in columns.items()))
+    """Left outer lookup: rows with the dim's columns (source name -> new name), null on a miss and for columns that the
+    dim does not have; columns that the rows have are replaced. The dim has one row a key. Catalyst broadcasts a dim only below its size threshold."""
+    side = dim.select(F.col(dim_key).alias("_k"), *((F.col(a) if a in dim.columns else F.lit(None).cast("string")).alias(f"_v_{b}") for a, b in columns.items()))
     joined = rows.join(side, F.col(key).cast("string") == F.col("_k").cast("string"), "left").drop("_k")
     new = set(columns.values())
     return joined.select(*(c for c in rows.columns if c not in new), *(F.col(f"_v_{b}").alias(b) for b in columns.values()))

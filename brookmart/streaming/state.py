@@ -104,8 +104,9 @@ class _Bounces(StatefulProcessor):
                         self.handle.registerTimer(due)
         else:
             self.rows.clear()
+        at = self.names.index("_row")
         for r in out:
-            yield Row(**dict(zip(self.names, r, strict=True)))
+            yield Row(_row=r[at])
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         yield from self.run([tuple(r[c] for c in self.names) for r in rows], timerValues.getCurrentWatermarkInMs())
@@ -131,12 +132,17 @@ def unique_visits(entries: DataFrame, visitor: str, day: str, order: list[str],
 
 def bounces(pages: DataFrame, visitor: str, entry: str, time: str, millis: str, order: list[str], within_ms: int = 10_000, delay: str = "1 second") -> DataFrame:
     """The stream of bounces. pages: a boolean column entry, an event-time column and its milliseconds. A visitor's state
-    holds the rows that aren't settled, which the watermark bounds."""
+    holds the rows that aren't settled, which the watermark bounds: what they are ordered and judged by, and the row as JSON,
+    since a state that is read and put again keeps plain columns only."""
     out = T.StructType([f for f in pages.schema.fields if f.name != time])
-    names = tuple(f.name for f in out.fields)
+    names = tuple(dict.fromkeys([*order, entry, millis, "_row"]))
+    packed = pages.withColumn("_row", F.to_json(F.struct(*(f.name for f in out)))).withWatermark(time, delay)
+    packed = packed.select(*dict.fromkeys([visitor, time, *names]))
     processor = _Bounces(names, entry, millis, tuple(order), within_ms)
-    processor.schema = out
-    return pages.withWatermark(time, delay).groupBy(visitor).transformWithState(processor, out, outputMode="append", timeMode="eventTime")
+    processor.schema = T.StructType([packed.schema[n] for n in names])
+    made = T.StructType([T.StructField("_row", T.StringType())])
+    found = packed.groupBy(visitor).transformWithState(processor, made, outputMode="append", timeMode="eventTime")
+    return found.select(F.from_json("_row", out).alias("r")).select("r.*")
 
 
 def with_day(rows: DataFrame, millis: str = "ts", name: str = "day") -> DataFrame:

@@ -218,8 +218,8 @@ def test_a_feed_becomes_changes(spark, tmp_path):
     assert [tuple(r) for r in jobs.dims.read("dim_p").collect()] == [("1", "n2")]
 
 
-def test_chain_from_changes_to_product_stats(spark, tmp_path):
-    at = "2024-01-01 00:00:1"
+def test_chain_from_logs_and_changes_to_all_statistics(spark, tmp_path):
+    at, dimensions = "2024-01-01 00:00:1", ("sku_info", "base_province")
     changes = [
         change("sku_info", id=3, sku_name="Shoe", price="9.5", spu_id=1, tm_id=1, category3_id=1),
         change("order_info", id=1, province_id=1, user_id=2, total_amount="5.00", create_time=f"{at}0"),
@@ -229,22 +229,39 @@ def test_chain_from_changes_to_product_stats(spark, tmp_path):
         change("cart_info", id=1, sku_id=3, create_time=f"{at}2"),
         change("order_refund_info", id=1, order_id=1, sku_id=3, refund_amount="1.25", create_time=f"{at}8"),
         change("comment_info", id=1, sku_id=3, appraise="1201", create_time=f"{at}9"),
+        change("base_province", id=1, name="North", area_code="n"),
         change("favor_info", id=2, sku_id=4, create_time="2024-01-01 01:00:00"),
+        change("order_info", id=2, province_id=1, user_id=2, total_amount="5.00", create_time="2024-01-01 01:00:00"),
+        change("order_detail", id=8, order_id=2, sku_id=4, sku_num=1, split_total_amount="5.00", create_time="2024-01-01 01:00:01"),
+        change("order_info", id=3, create_time="2024-01-01 02:00:00"),
+        change("order_detail", id=9, order_id=4, create_time="2024-01-01 02:00:00"),
     ]
     drop(tmp_path / "topics" / "ods_base_db", changes, 1)
-    page = {"common": {"mid": "m"}, "page": {"page_id": "good_detail", "item_type": "sku_id", "item": "3"}, "displays": [{"item": "3", "item_type": "sku_id"}], "ts": 1704067213000}
-    drop(tmp_path / "topics" / "dwd_page_log" / "batch-0", [page], 1)
-    routes = [(c["tableName"], "insert", "hbase" if c["tableName"] == "sku_info" else "kafka", ("dim_" if c["tableName"] == "sku_info" else "dwd_") + c["tableName"], ",".join(c["after"]), "id", None, 1) for c in changes[:8]]
+
+    def page(ts, mid="m", **more):
+        return {"common": {"mid": mid, "is_new": "1", "vc": "v", "ch": "c", "ar": "1"}, "page": {"page_id": "good_detail", "item_type": "sku_id", "item": "3", "during_time": 5, **more}, "displays": [{"item": "3", "item_type": "sku_id"}], "ts": 1704067200000 + ts}
+
+    drop(tmp_path / "topics" / "ods_base_log", [page(13_000), page(14_000, last_page_id="search"), page(15_000, "n", item_type="none"), page(3_600_000, "z", item="4"), page(7_200_000, "z", item="5", last_page_id="search")], 1)
+    routes = [(c["tableName"], "insert", "hbase" if c["tableName"] in dimensions else "kafka", ("dim_" if c["tableName"] in dimensions else "dwd_") + c["tableName"], ",".join(c["after"]), "id", None, 1) for c in changes[:9]]
     spark.createDataFrame(routes, "sourceTable string, operateType string, sinkType string, sinkTable string, sinkColumns string, sinkPk string, sinkExtend string, seq int").write.parquet(str(tmp_path / "config"))
     jobs = Jobs(spark, str(tmp_path))
     jobs.split_db(str(tmp_path / "config")).awaitTermination()
-    for job in (jobs.order_wide, jobs.payment_wide, jobs.product_stats):
+    for job in (jobs.split_log, jobs.unique_visit, jobs.bounce, jobs.order_wide, jobs.payment_wide, jobs.visitor_stats, jobs.product_stats, jobs.province_stats, jobs.keyword_stats):
         job().awaitTermination()
+    jobs.dirty.awaitTermination()
     paid = [json.loads(r.value) for r in spark.read.option("recursiveFileLookup", True).text(str(tmp_path / "topics" / "dwm_payment_wide")).collect()]
     assert [(r["payment_id"], r["detail_id"], float(r["split_total_amount"]), r["sku_name"]) for r in paid] == [(9, 7, 2.5, "Shoe")]
-    rows = spark.read.parquet(str(tmp_path / "stats" / "product_stats")).filter("sku_id = 3").collect()
+    rows = spark.read.parquet(str(tmp_path / "stats" / "product_stats")).filter("sku_id = 3 AND stt = '2024-01-01 00:00:10'").collect()
     assert len(rows) == 1
     r = rows[0]
-    assert (r.stt, r.sku_name, r.click_ct, r.display_ct, r.favor_ct, r.cart_ct) == ("2024-01-01 00:00:10", "Shoe", 1, 1, 1, 1)
+    assert (r.stt, r.sku_name, r.click_ct, r.display_ct, r.favor_ct, r.cart_ct) == ("2024-01-01 00:00:10", "Shoe", 2, 3, 1, 1)
     assert (float(r.order_amount), r.order_sku_num, r.order_ct, float(r.payment_amount), r.paid_order_ct) == (5, 2, 1, 2.5, 1)
     assert (float(r.refund_amount), r.refund_order_ct, r.comment_ct, r.good_comment_ct) == (1.25, 1, 1, 1)
+
+    def of(name):
+        return spark.read.parquet(str(tmp_path / "stats" / name)).filter("stt = '2024-01-01 00:00:10'")
+
+    visits_ = of("visitor_stats").agg(*(F.sum(c) for c in ("uv_ct", "pv_ct", "sv_ct", "uj_ct", "dur_sum"))).first()
+    assert tuple(visits_) == (2, 3, 2, 1, 15)  # n's visit is a bounce
+    assert [(r.province_name, float(r.order_amount), r.order_count) for r in of("province_stats").collect()] == [("North", 2.5, 1)]
+    assert [(r.keyword, r.ct) for r in of("keyword_stats").collect()] == [("3", 1)]

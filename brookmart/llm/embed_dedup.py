@@ -30,6 +30,8 @@ SKETCH, WINDOW, STEPS = 32, 2.5, 5
 MATES = 512
 #: Cells of more vectors are dealt to blocks of about so many, which meet in pairs.
 LIMIT = 4096
+#: Components of vectors that are compared at a time.
+PAIR_VALUES = 1 << 22
 #: Rounds are told by the low bits of a cell's code.
 ROUND_BITS = 12
 
@@ -141,7 +143,7 @@ def collide(sketches: np.ndarray, run: np.ndarray, by: np.ndarray, side: np.ndar
     return np.concatenate(first), np.concatenate(second)
 
 
-def pairs_of_runs(run: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pairs_of_runs(run: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs i < j of rows with one run, some `most` at a time; run ascends."""
     end = np.searchsorted(run, run, side="right")
     many = end - np.arange(len(run)) - 1
@@ -246,22 +248,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, key: str = "vec
                 node, copies, side = (some.column(k).to_numpy() for k in ("node", "copies", "side"))
                 now = round_of(some)
                 earlier = np.arange(rounds)[None, :] < now[:, None]
-                near, ends = np.zeros(len(u), np.int64), ([], [])
-                for p, q in pairs_of_runs(run[at]):
+                near, part = np.zeros(len(u), np.int64), np.arange(len(u))
+                for p, q in pairs_of_runs(run[at], PAIR_VALUES // int(dims)):
                     keep = (side[p] < 0) | (side[p] != side[q])
                     p, q = p[keep], q[keep]
-                    close = np.einsum("ij,ij->i", u[p], u[q]) >= threshold
-                    p, q = p[close], q[close]
                     # A pair counts where it meets first: in this round and in none before.
                     hits = np.abs(x[p].astype(np.int16) - x[q]) <= half
                     met = (codes[p] == codes[q]) & hits[:, np.arange(rounds) % SKETCH]
                     keep = (hits.sum(1) >= count) & met[np.arange(len(p)), now[p]] & ~(met & earlier[p]).any(1)
                     p, q = p[keep], q[keep]
+                    close = np.einsum("ij,ij->i", u[p], u[q]) >= threshold
+                    p, q = p[close], q[close]
                     np.add.at(near, p, copies[q])
                     np.add.at(near, q, copies[p])
-                    ends[0].append(p)
-                    ends[1].append(q)
-                part = labels(len(u), np.concatenate(ends[0] or [np.zeros(0, int)]), np.concatenate(ends[1] or [np.zeros(0, int)]))
+                    new = part[p] != part[q]
+                    if new.any():
+                        part = labels(len(u), np.concatenate([np.arange(len(u)), p[new]]), np.concatenate([part, q[new]]))
                 linked = np.flatnonzero(near)
                 yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[part[linked]]), pa.array(near[linked])], ["node", "to", "others"])
 

@@ -30,9 +30,9 @@ HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = set("ul ol dl table tr article section div main body td th blockquote aside nav".split())
 #: Words of class and id names that mark boilerplate wherever they stand in a name,
-BOILERPLATE = set("ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login menu menus nav navbar navigation breadcrumb breadcrumbs topbar masthead footer sidebar sidebars widget widgets recommended recommendations sharing toolbar pagination pager comments commentlist disqus respond copyright disclaimer".split())
+BOILERPLATE = set("ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login menu menus nav navbar navigation breadcrumb breadcrumbs topbar masthead footer sidebar sidebars widget widgets recommended recommendations sharing toolbar pagination pager comment comments commentlist disqus reply replies respond notice notices alert social copyright disclaimer".split())
 #: those that do if the whole name is of such words,
-LOOSE = set("notice notices alert header foot side rail aside related more share social comment replies reply reactions tags tag skip legal".split())
+LOOSE = set("header foot side rail aside related more share reactions tags tag skip legal".split())
 #: and words that names of boilerplate have besides.
 FILLER = set("box boxes list lists link links bar block wrap wrapper container button buttons icon icons section area inner outer site page top bottom left right global read posts post articles stories form text".split())
 #: Elements that are boilerplate unless they hold an article or most of the page.

@@ -53,6 +53,8 @@ LOOSE = [
     ("<body><p class=share-price>Price, 5 and more</p><p>Other, text, that is much longer than it.</p>", "Price, 5 and more\nOther, text, that is much longer than it."),
     ("<body><p>Text, that is longer than what is shared.</p><p class=share-buttons>Tell others</p>", "Text, that is longer than what is shared."),
     ("<article><header><h1>T</h1><ul><li><a href=x>menu</a></ul><a href=y>home</a></header><p>Text, of it.</p></article>", "T\nText, of it."),
+    ("<body><div class='privacy-notice'><p>We keep your data, and more.</p></div><p>Text, that is longer than what the notice says.</p>", "Text, that is longer than what the notice says."),
+    ("<article><div class='article-header'><h1>Title</h1></div><p>Text, of it.</p><div class='reader-comment'><p>Me, too</p></div></article>", "Title\nText, of it."),
     ("a < b and <3 c <p>d</p", "a < b and <3 c\nd"),
     ("<p title='it''s > \"x\"'>quotes, in tags</p>", "quotes, in tags"),
     ("<p>a<script>if (a < b) '</p>'</script >b</p>", "ab"),

@@ -23,62 +23,80 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style noscript template iframe noembed noframes xmp".split())
 RCDATA = set("title textarea".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
-DROPPED = set("head nav footer aside script style noscript template iframe title textarea select option button input dialog menu object embed svg canvas audio video map search fieldset datalist noembed noframes xmp".split())
+DROPPED = set("head nav footer aside script style noscript template iframe title textarea select option button input dialog menu object embed svg canvas audio video map search datalist noembed noframes xmp".split())
+#: ARIA roles of what is no main text.
+ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar menuitem navigation search searchbox status tablist toolbar tooltip".split())
+CONTROLS = set("input select textarea button".split())
 CONTAINERS = set("article main section div td body blockquote center".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+LISTS, DENSE = set("ul ol dl".split()), set("ul ol dl div table section".split())
+TABLED = set("table tbody thead tfoot tr td th caption li dt dd".split())
 #: What a start tag closes if it is open in the same container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = set("ul ol dl table tr article section div main body td th blockquote aside nav".split())
-#: Words of class and id names that mark boilerplate wherever they stand in a name,
-BOILERPLATE = set("ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login menu menus nav navbar navigation breadcrumb breadcrumbs topbar masthead footer sidebar sidebars widget widgets recommended recommendations sharing toolbar pagination pager comment comments commentlist disqus reply replies respond notice notices alert social copyright disclaimer".split())
-#: those that do if the whole name is of such words,
-LOOSE = set("header foot side rail aside related more share reactions tags tag skip legal".split())
-#: and words that names of boilerplate have besides.
+#: Words of class and id names that mark boilerplate if the whole name is of such words and of those that names have besides,
+BOILERPLATE = set("ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login menu menus nav navbar navigation breadcrumb breadcrumbs topbar masthead footer sidebar sidebars widget widgets recommended recommendations sharing toolbar pagination pager comment comments commentlist disqus reply replies respond notice notices disclaimer".split())
+BESIDES = set("privacy reader readers user users email mail main primary secondary first last mobile desktop fixed sticky floating inline slot unit placeholder space holder panel column group item items content body title label heading meta author avatar name date count thread children child view open close toggle wp js mod module component blog web app google dfp header head row grid".split())
+#: those that do with fewer words besides,
+LOOSE = set("header foot side rail aside related more share reactions tags tag skip legal social alert copyright".split())
 FILLER = set("box boxes list lists link links bar block wrap wrapper container button buttons icon icons section area inner outer site page top bottom left right global read posts post articles stories form text".split())
-#: Elements that are boilerplate unless they hold an article or most of the page.
-USUALLY = {"header", "form"}
+#: and those that do in any name outside of an article.
+STRONG = set("advertisement advertising breadcrumb breadcrumbs consent cookie cookies disqus gdpr masthead navbar newsletter pagination popup sidebar sidebars topbar".split())
+#: Elements that are boilerplate unless they hold an article or most of the page; a fieldset only if it has controls.
+USUALLY = {"header", "form", "fieldset"}
+#: How sure an element's class, id or kind is of boilerplate.
+NONE, HINT, STRONG_HINT, NAMED = range(4)
 
 #: What may end a tag, and the name of one. One attribute: its name, and its value if it has one.
 STOP = re.compile(r"[>\"']")
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s\"'>/=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?|\"[^\"]*\"|'[^']*'")
-WORD = re.compile(r"[a-z]+")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
     __slots__ = ("tag", "parent", "parts", "drop", "named", "chars", "links", "score")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool, named: bool = False):
-        self.tag, self.parent, self.drop, self.named = tag, parent, drop, named  # named: boilerplate by class or id only
+    def __init__(self, tag: str, parent: Node | None, drop: bool, named: int = NONE):
+        self.tag, self.parent, self.drop, self.named = tag, parent, drop, named  # named: how sure class, id, role or kind are
         self.parts: list = []  # texts and nodes in page order
         self.chars = self.links = self.score = 0.0
 
 
-def marks(value: str) -> bool:
-    """Whether a class or id holds a name of boilerplate."""
+def marks(value: str) -> int:
+    """How sure the names of a class or id are of boilerplate."""
+    sure = NONE
     for name in value.split():
-        words = WORD.findall(name)
-        if not BOILERPLATE.isdisjoint(words) or (not LOOSE.isdisjoint(words) and all(w in LOOSE or w in FILLER for w in words)):
-            return True
-    return False
-
-
-def boilerplate(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Whether an element is boilerplate by its tag, role or being hidden, and whether its kind, class or id says so."""
+        words = [w.lower() for w in WORD.findall(name)]
+        bad = not BOILERPLATE.isdisjoint(words)
+        if bad and all(w in BOILERPLATE or w in LOOSE or w in FILLER or w in BESIDES or len(w) == 1 for w in words):
+            return NAMED
+        if not LOOSE.isdisjoint(words) and all(w in LOOSE or w in FILLER for w in words):
+            return NAMED
+        sure = max(sure, (STRONG_HINT if not STRONG.isdisjoint(words) else HINT) if bad else NONE)
+    return sure
+
+
+def boilerplate(tag: str, attrs: str) -> tuple[bool, int]:
+    """Whether an element is boilerplate by its tag or being hidden, and how sure its kind, role, class or id are of it."""
     if tag in DROPPED:
-        return True, False
-    named, seen = tag in USUALLY, set()
+        return True, NONE
+    named, seen = NAMED if tag in USUALLY else NONE, set()
     if not attrs.strip():
         return False, named
+    whole = tag in ("body", "html", "article", "main")
     for name, value in ATTRIBUTE.findall(attrs):
-        name, value = name.lower(), value.strip("\"'").lower()
+        name, value = name.lower(), value.strip("\"'")
         if not name or name in seen:  # the first of a name counts
             continue
         seen.add(name)
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES) or (name == "style" and "display:none" in value.replace(" ", "")):
-            return True, False
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and marks(value):
-            named = True
+        low = value.strip().lower()
+        if name == "hidden" or (name == "style" and "display:none" in "".join(low.split())):
+            return True, NONE
+        if (name == "aria-hidden" and low == "true") or (name == "role" and not ROLES.isdisjoint(low.split()[:1]) and not whole):
+            named = NAMED
+        elif name in ("class", "id") and not whole:
+            named = max(named, marks(value))
     return False, named
 
 
@@ -202,8 +220,8 @@ def tree(page: str) -> Node:
             here.parts.append("\x00br")
             continue
         if name in VOID:
-            if name == "hr":
-                here.parts.append(Node("hr", here, False))
+            if name in ("hr", "input"):
+                here.parts.append(Node(name, here, name == "input"))
             continue
         if name in ("html", "body"):
             if name == "body":
@@ -229,15 +247,17 @@ def tree(page: str) -> Node:
 
 
 def drop_named(root: Node) -> bool:
-    """Drops elements that a class, an id or their kind marks, unless they hold an article or main (those within an article,
-    as comments are, don't count), or more than half of the page's unlinked text. The header of an article or main stays if
-    it has a heading, without what is mostly links in it. Whether any was dropped."""
+    """Drops elements that a class, an id, a role or their kind marks, unless they hold an article or main (those within an
+    article, as comments are, don't count), or more than half of the page's unlinked text. A name that only hints at
+    boilerplate drops what is mostly links, but no part of a table and no list within an article. The header of an article
+    or main stays if it has a heading, without what is mostly links in it. Whether any was dropped."""
     stack: list[tuple[Node, bool, bool, bool]] = [(root, False, False, False)]
     plain: dict[Node, int] = {}
     all_: dict[Node, int] = {}
     titled: set[Node] = set()
     holds: set[Node] = set()
-    marked: list[Node] = []
+    controls: set[Node] = set()
+    marked: list[tuple[Node, bool]] = []
     while stack:
         here, in_link, inner, seen = stack.pop()
         if here.drop:
@@ -252,7 +272,10 @@ def drop_named(root: Node) -> bool:
             if isinstance(x, str):
                 every += len(x.strip())
                 size += 0 if in_link else len(x.strip())
-            elif not x.drop:
+                continue
+            if x.tag in CONTROLS or x in controls:
+                controls.add(here)
+            if not x.drop:
                 size, every = size + plain[x], every + all_[x]
                 if not inner and (x in holds or x.tag in ("article", "main")):
                     holds.add(here)
@@ -263,11 +286,14 @@ def drop_named(root: Node) -> bool:
             for x in here.parts:
                 if not isinstance(x, str) and not x.drop and x not in titled and x.tag not in HEADINGS and 2 * plain[x] <= all_[x]:
                     x.drop = True
-        elif here.named:
-            marked.append(here)
+        elif here.named and (here.tag != "fieldset" or here in controls):
+            marked.append((here, inner))
     found = False
-    for x in marked:
-        if x not in holds and 2 * plain[x] <= plain[root]:
+    for x, inner in marked:
+        if x in holds or 2 * plain[x] > plain[root]:
+            continue
+        linked = x.tag not in TABLED and 2 * plain[x] < all_[x] and not (inner and x.tag in LISTS)
+        if x.named == NAMED or (x.named == STRONG_HINT and not inner) or linked:
             x.drop = found = True
     return found
 
@@ -339,31 +365,45 @@ def best(root: Node) -> list[Node]:
 
 
 def blocks(nodes: list[Node]) -> list[str]:
-    """The texts of the nodes' blocks in page order: references decoded, white space made one space, empty ones left out."""
-    out: list[str] = []
+    """The texts of the nodes' blocks in page order: references decoded, white space made one space, empty ones left out.
+    Lists, tables and sections that are mostly links are menus where they stand before or after all else of a container
+    that is no article; after a heading at the end, and between other text, they are text."""
+    out: list[tuple[str, bool, bool]] = []  # text, mostly links, heading
     line: list[str] = []
 
-    def flush() -> None:
+    def flush(dense: bool, heading: bool) -> None:
         if line:
             if text := " ".join(html.unescape("".join(line)).split()):
-                out.append(text)
+                out.append((text, dense, heading))
             line.clear()
 
     for top in nodes:
-        stack: list = [(top, False)]
+        up = top
+        while up is not None and up.tag not in ("article", "main"):
+            up = up.parent
+        stack: list = [(top, False, False)]
         while stack:
-            x, closing = stack.pop()
+            x, closing, dense = stack.pop()
             if closing:
-                flush()
+                flush(dense, x.tag in HEADINGS)
             elif isinstance(x, str):
                 line.append(" " if x == "\x00br" else x)
-            elif not x.drop and not (x.tag in ("ul", "ol", "dl", "div", "table", "section") and x is not top and x.links and density(x) > 0.6):
+            elif not x.drop:
+                inside = dense or (up is None and x is not top and x.tag in DENSE and density(x) > 0.6)
                 if x.tag in BLOCK:
-                    flush()
-                    stack.append((x, True))
-                stack.extend((y, False) for y in reversed(x.parts))
-        flush()
-    return out
+                    flush(dense, False)
+                    stack.append((x, True, inside))
+                stack.extend((y, False, inside) for y in reversed(x.parts))
+        flush(False, False)
+    begin, end = 0, len(out)
+    while begin < end and out[begin][1]:
+        begin += 1
+    last = end
+    while last > begin and out[last - 1][1]:
+        last -= 1
+    if last > begin and not out[last - 1][2]:
+        end = last
+    return [text for text, _, _ in out[begin:end]]
 
 
 def main_text(page: str | None) -> str:

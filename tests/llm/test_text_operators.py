@@ -61,7 +61,32 @@ LOOSE = [
 ]
 
 
+LINKS = "<li><a href=1>Source one, of many</a></li><li><a href=2>Source two</a></li>"
+ATTRIBUTES = [
+    ("<div role='main'><p>Main text, here.</p></div>", "Main text, here."),
+    ("<body><div role=navigation><p>menu</p></div><div role='banner x'><p>top</p></div><p>Long text, of the page.</p></body>", "Long text, of the page."),
+    ("<article role=search><p>Text, with an odd role.</p></article>", "Text, with an odd role."),
+    ("<article><p>a, b and c.</p><p aria-hidden=true>x</p><p aria-hidden=false>y</p><p hidden>z</p><p style='color:red; DISPLAY : none'>q</p><p style=color:red>r</p></article>", "a, b and c.\ny\nr"),
+    ("<article><p role=note>a, b and c.</p><p role=''>d</p><p role>e</p></article>", "a, b and c.\nd\ne"),
+    (f"<article><p>Text, one.</p><ul>{LINKS}</ul><p>Text, two.</p></article>", "Text, one.\nSource one, of many\nSource two\nText, two."),
+    (f"<article><p>Text, one.</p><h2>Sources</h2><ol>{LINKS}</ol></article>", "Text, one.\nSources\nSource one, of many\nSource two"),
+    (f"<article><p>Text, one.</p><ul class=comment-on-sources>{LINKS}</ul></article>", "Text, one.\nSource one, of many\nSource two"),
+    (f"<article><p>Text, one.</p><ul class=menu>{LINKS}</ul><p>Text, two.</p></article>", "Text, one.\nText, two."),
+    (f"<div><ul>{LINKS}</ul><p>Text, one.</p><ul>{LINKS}</ul><p>Text, two.</p><ul>{LINKS}</ul></div>", "Text, one.\nSource one, of many\nSource two\nText, two."),
+    (f"<div><ul>{LINKS}</ul><p>Text, one and more of it.</p><h3>Sources</h3><ul>{LINKS}</ul></div>", "Text, one and more of it.\nSources\nSource one, of many\nSource two"),
+    ("<article><p>Text, one.</p><table><tr><td><a href=x>Cell</a><td class='ad-free'><a href=y>Other</a></table><p>Text, two.</p></article>", "Text, one.\nCell\nOther\nText, two."),
+    *((f"<article><p>Text, of the page.</p><{t} class='{c}'>Some more, of it.</{t}></article>", "Text, of the page.\nSome more, of it.") for t, c in (("p", "alert-level"), ("div", "social-history"), ("p", "comment-on-law"), ("p", "ad-free"), ("p", "cookie-recipes"), ("div", "newsletterHistory"))),
+    *((f"<body><div class=story><p>Text, of the page, long.</p><{t} class='{c}'>Some more, of it.</{t}></div></body>", "Text, of the page, long.\nSome more, of it.") for t, c in (("p", "alert-level"), ("div", "social-history"), ("p", "comment-on-law"), ("p", "ad-free"))),
+    *((f"<article><p>Text, of the page, long.</p><div class='{c}'>Not of it.</div></article>", "Text, of the page, long.") for c in ("sidebarLeft", "AdSlot", "comment-list", "wp-block-newsletter", "user-comments", "x cookie-notice", "ad300x250", "alert", "social-links")),
+    ("<article><p>Text, of the page, long.</p><div class=comment-feed><a href=x>Reader one</a> <a href=y>Reader two</a></div></article>", "Text, of the page, long."),
+    ("<body><div class=cookie-law-info><p>We use some.</p></div><div><p>Text, of the page, long.</p></div></body>", "Text, of the page, long."),
+    ("<article><p>Text, one of two.</p><fieldset><legend>Note</legend><p>In a box.</p></fieldset><fieldset><p>Your name</p><input name=x></fieldset></article>", "Text, one of two.\nNote\nIn a box."),
+]
+
+
 def test_html_drops_no_article_on_loose_matches():
+    for page, want in ATTRIBUTES:
+        assert html_text.main_text(page) == want, page
     for page, want in LOOSE:
         assert html_text.main_text(page) == want, page
 

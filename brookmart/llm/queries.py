@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embed_dedup, html_text, impact_search, minhash_dedup, mixing, shards, token_counts, token_files, toxicity
+from . import byte_bpe, embed_dedup, exact_dedup, html_text, impact_search, minhash_dedup, mixing, shards, token_counts, token_files, toxicity
 from .shared import scratch
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -79,6 +79,10 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"), [1.0] * 16)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_collision_dedup": op1_collision_dedup,
     "op2_token_files": op2_token_files,
@@ -90,11 +94,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_mix_sources": op9_mix_sources,
     "op10_rendezvous_shards": op10_rendezvous_shards,
+    "op11_exact_dedup": op11_exact_dedup,
 }
 
 SQL: dict[str, str] = {
     "op1_collision_dedup": embed_dedup.sql(0.95),
     "op4_minhash_dedup": minhash_dedup.sql(85),
     "op7_impact_search": impact_search.sql("vec_id % 100 = 0", 10),
+    "op11_exact_dedup": exact_dedup.sql(),
     "op9_mix_sources": mixing.sql(MIX_DOMAIN_SQL, MIX_SHARE, MIX_EPOCHS, MIX_WEIGHTS),
 }

@@ -1,6 +1,7 @@
 """Exact dedup, lexical search and clustering against brute force and SQL."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brookmart.llm import exact_dedup, queries
+from brookmart.llm import block_clusters, exact_dedup, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -89,3 +90,71 @@ def test_exact_dedup_query_equals_sql(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     want = sorted(con.execute(exact_dedup.sql()).fetchall(), key=repr)
     assert found(queries.op11_exact_dedup(spark, SF)) == want
+
+
+def kmeans(rows, k, rounds, dims):
+    """What clusters gives, with plain integers."""
+    kept = [(i, tuple(math.floor(256 * float(x)) for x in v)) for i, v in rows if v is not None and len(v) == dims and all(x is not None and math.isfinite(x) for x in v)]
+    seeds = sorted((hashlib.sha256(f"2:{i}".encode()).hexdigest(), v) for i, v in kept if i is not None)[:k]
+    centroids = [v for _, v in seeds]
+
+    def nearest(v):
+        return min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), j) for j, c in enumerate(centroids))
+
+    for _ in range(rounds):
+        own = [[] for _ in centroids]
+        for _, v in kept:
+            own[nearest(v)[1]].append(v)
+        centroids = [tuple(sum(x) // len(vs) for x in zip(*vs, strict=True)) if vs else c for vs, c in zip(own, centroids, strict=True)]
+    last = [(i, *nearest(v)) for i, v in kept]
+    return sorted(((i, j, d, sum(e for _, e, m in last if m == j), sum(e for _, e, _ in last), hashlib.sha256(",".join(map(str, centroids[j])).encode()).hexdigest()) for i, d, j in last), key=repr)
+
+
+def clustered(df):
+    return sorted((tuple(r) for r in df.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256").collect()), key=repr)
+
+
+def vector_rows(dims):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((6, dims))
+    rows = [(i, [float(x) for x in centres[i % 6] + rng.standard_normal(dims) * 0.2]) for i in range(150)]
+    rows += [(1000 + i, rows[0][1]) for i in range(80)] + [(None, rows[1][1]), (None, rows[1][1]), (3, rows[7][1]), (3, rows[3][1])]  # a large group of copies
+    return rows + [(2000, None), (2001, rows[0][1][:-1]), (2002, [None] * dims), (2003, [math.nan] * dims), (2004, [math.inf] + [0.0] * (dims - 1)), (2005, [0.0] * dims), (2006, [-1e4] * dims)]
+
+
+@pytest.mark.parametrize(("k", "dims"), [(9, 20), (500, 3)])
+def test_clusters_equal_brute_force(spark, k, dims):
+    rows = vector_rows(dims)
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, cluster int, x int").repartition(5)
+    assert clustered(block_clusters.clusters(df, k, 3, dims=dims)) == kmeans(rows, k, 3, dims)
+
+
+def test_clusters_of_odd_tables(spark):
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    got = block_clusters.clusters(empty)
+    assert got.count() == 0 and got.columns == ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
+    with pytest.raises(Exception, match="too large"):
+        block_clusters.clusters(spark.createDataFrame([(1, [1e30, 0.0])], "vec_id long, embedding array<double>"), dims=2).collect()
+
+
+def test_screen_prunes_and_never_the_nearest():
+    rng = np.random.default_rng(2)
+    x = np.floor(256 * rng.standard_normal((2000, 64)) / 8).astype(np.int64)
+    x[:300] = x[0]  # ties with equal centroids
+    screen = block_clusters.Screen(np.concatenate([x[:3], x[400:437]]))
+    compressed = block_clusters.compress(x)
+    cluster, distance, computed = screen.nearest(x, *compressed)
+    every = ((x[:, None, :] - screen.exact[None]) ** 2).sum(2)
+    assert (distance == every.min(1)).all() and (cluster == every.argmin(1)).all()
+    lower, upper = screen.bounds(*compressed, (x**2).sum(1).astype(float))
+    assert (lower <= every).all() and (every <= upper).all()
+    assert computed < 0.4 * every.size
+
+
+def test_clusters_query_equals_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    cursor = con.execute(block_clusters.sql())
+    names = [d[0] for d in cursor.description]
+    want = sorted((tuple(dict(zip(names, r)).values()) for r in cursor.fetchall()), key=repr)
+    assert clustered(queries.op13_block_clusters(spark, SF)) == want

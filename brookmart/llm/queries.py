@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_clusters, byte_bpe, embed_dedup, exact_dedup, html_text, impact_search, minhash_dedup, mixing, shards, token_counts, token_files, toxicity
+from . import block_clusters, byte_bpe, embed_dedup, exact_dedup, html_text, impact_search, lexical_search, minhash_dedup, mixing, shards, token_counts, token_files, toxicity
 from .shared import scratch
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -83,6 +83,10 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_block_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_clusters.clusters(table(spark, sf_dir, "embeddings"))
 
@@ -99,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mix_sources": op9_mix_sources,
     "op10_rendezvous_shards": op10_rendezvous_shards,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_lexical_search": op12_lexical_search,
     "op13_block_clusters": op13_block_clusters,
 }
 
@@ -107,6 +112,7 @@ SQL: dict[str, str] = {
     "op4_minhash_dedup": minhash_dedup.sql(85),
     "op7_impact_search": impact_search.sql("vec_id % 100 = 0", 10),
     "op11_exact_dedup": exact_dedup.sql(),
+    "op12_lexical_search": lexical_search.sql(),
     "op13_block_clusters": block_clusters.sql(),
     "op9_mix_sources": mixing.sql(MIX_DOMAIN_SQL, MIX_SHARE, MIX_EPOCHS, MIX_WEIGHTS),
 }

@@ -4,13 +4,14 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brookmart.llm import block_clusters, exact_dedup, queries
+from brookmart.llm import block_clusters, exact_dedup, lexical_search, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -158,3 +159,84 @@ def test_clusters_query_equals_sql(spark):
     names = [d[0] for d in cursor.description]
     want = sorted((tuple(dict(zip(names, r)).values()) for r in cursor.fetchall()), key=repr)
     assert clustered(queries.op13_block_clusters(spark, SF)) == want
+
+
+def ranked(docs, items, k):
+    """What search gives, by a look at every document for every item."""
+
+    def terms(text):
+        return [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+
+    bags = [(i, Counter(terms(x))) for i, x in docs if terms(x)]
+    n, total = len(bags), sum(sum(b.values()) for _, b in bags)
+    df = Counter(t for _, b in bags for t in b)
+    asked: dict = {}
+    for i, x in items:
+        if i is not None:
+            asked.setdefault(i, Counter()).update(terms(x))
+    out = []
+    for item, q in asked.items():
+        scores = []
+        for i, b in bags:
+            m = 25 + (75 * sum(b.values()) * n) // total
+            score = sum(times * math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * ((10**9 * b[t]) // (1000 * b[t] + 8 * m)) for t, times in q.items() if b[t])
+            if score > 0 and i is not None:
+                scores.append((-score, i))
+        out += [(item, r + 1, i, -score) for r, (score, i) in enumerate(sorted(scores)[:k])]
+    return sorted(out)
+
+
+def searched(df):
+    return sorted(tuple(r) for r in df.select("item_id", "rank", "doc_id", "score").collect())
+
+
+def search_tables():
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(60)] + ["Éa", "été", "日本語", "x9", "UPPER"]
+    text = lambda n: " ".join(rnd.choice(words[: rnd.choice([5, 20, 65])]) for _ in range(n))
+    docs = [(i, text(rnd.choice([0, 1, 5, 30, 200]))) for i in range(400)] + [(1000 + i, "w1 w2, W3-w4.upper") for i in range(150)]
+    docs += [(None, "w1 été"), (5, "w1 w7"), (5, "w1 w7"), (2000, None), (2001, ""), (2002, "..  !"), (2003, "w8 " * 50_000)]
+    items = [(i, text(rnd.choice([1, 3, 12]))) for i in range(25)] + [(100, None), (101, ""), (102, "nowhere"), (103, "w1 w1 w1 W2"), (None, "w1"), (104, "w5"), (104, "w6"), (105, "the whole of w1!")]
+    rnd.shuffle(docs)
+    return docs, items
+
+
+@pytest.mark.parametrize(("shard", "terms"), [(8192, 1_000_000), (37, 30)])
+def test_search_equals_brute_force(spark, monkeypatch, shard, terms):
+    """As it is, and with small shards and several passes over the documents."""
+    monkeypatch.setattr(lexical_search, "SHARD", shard)
+    monkeypatch.setattr(lexical_search, "PASS_TERMS", terms)
+    docs, items = search_tables()
+    d = spark.createDataFrame([(*r, 1, 2) for r in docs], "doc_id long, text string, item_id int, score int").repartition(3)
+    got = searched(lexical_search.search(d, spark.createDataFrame(items, "item_id long, text string"), 7))
+    assert got == ranked(docs, items, 7)
+
+
+def test_search_of_empty_tables(spark):
+    docs, items = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "a")], "item_id long, text string")
+    assert lexical_search.search(docs.limit(0), items).count() == 0
+    assert lexical_search.search(docs, items.limit(0)).count() == 0
+    assert lexical_search.search(docs, items).count() == 1
+
+
+def test_shard_search_skips_postings():
+    rng = np.random.default_rng(5)
+    n = 4000
+    terms = [np.unique(np.concatenate([np.flatnonzero(rng.random(40) < 0.6), 40 + rng.integers(0, 400, 3)])) for _ in range(n)]
+    first = np.concatenate([[0], np.cumsum([len(t) for t in terms])])
+    flat = np.concatenate(terms)
+    shard = lexical_search.Shard(np.arange(n), np.full(n, 30), first, flat, rng.integers(1, 4, len(flat)), n, 30 * n)
+    df = np.bincount(flat, minlength=440)
+    weights = np.asarray([lexical_search.weight(n, int(x)) for x in df])
+    query = np.asarray([0, 1, 2, 3, 4, 5, 50, 60, 70])
+    places, scores, all_ = shard.search(query, weights[query], 5, 1)
+    again, same, probed = shard.search(query, weights[query], 5, int(scores[-1]))
+    assert again.tolist() == places.tolist() and same.tolist() == scores.tolist()
+    assert probed < all_ / 10
+
+
+def test_search_query_equals_sql(spark):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    assert searched(queries.op12_lexical_search(spark, SF)) == sorted(con.execute(lexical_search.sql()).fetchall())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,13 +20,25 @@ def interval_join(left: DataFrame, right: DataFrame, on: Column, left_time: str,
     return left.join(right, on & (rt >= lt - F.expr(f"INTERVAL {before}")) & (rt <= lt + F.expr(f"INTERVAL {after}")))
 
 
-def lookup(rows: DataFrame, dim: DataFrame, key: str, dim_key: str, columns: Mapping[str, str]) -> DataFrame:
+class Keyed(Protocol):
+    """A dimension that gives the rows which some keys may find, such as sources.dims.Dim."""
+
+    def near(self, keys: DataFrame) -> DataFrame | None: ...
+
+
+def lookup(rows: DataFrame, dim: DataFrame | Keyed, key: str, dim_key: str, columns: Mapping[str, str]) -> DataFrame:
     """Left outer lookup: rows with the dim's columns (source name -> new name), null on a miss and for columns that the
-    dim does not have; columns that the rows have are replaced. The dim has one row a key. Catalyst broadcasts a dim only below its size threshold."""
-    side = dim.select(F.col(dim_key).alias("_k"), *((F.col(a) if a in dim.columns else F.lit(None).cast("string")).alias(f"_v_{b}") for a, b in columns.items()))
-    joined = rows.join(side, F.col(key).cast("string") == F.col("_k").cast("string"), "left").drop("_k")
+    dim does not have; columns that the rows have are replaced. The dim has one row a key. Catalyst broadcasts a dim only
+    below its size threshold; of a keyed dim only what the rows' keys may find is read (rows are read for their keys first,
+    so a caller keeps them)."""
+    found = dim if isinstance(dim, DataFrame) else dim.near(rows.select(key))
     new = set(columns.values())
-    return joined.select(*(c for c in rows.columns if c not in new), *(F.col(f"_v_{b}").alias(b) for b in columns.values()))
+    kept = [c for c in rows.columns if c not in new]
+    if found is None:
+        return rows.select(*kept, *(F.lit(None).cast("string").alias(b) for b in columns.values()))
+    side = found.select(F.col(dim_key).alias("_k"), *((F.col(a) if a in found.columns else F.lit(None).cast("string")).alias(f"_v_{b}") for a, b in columns.items()))
+    joined = rows.join(side, F.col(key).cast("string") == F.col("_k").cast("string"), "left").drop("_k")
+    return joined.select(*kept, *(F.col(f"_v_{b}").alias(b) for b in columns.values()))
 
 
 def prefix_join(rows: DataFrame, names: DataFrame, text: str, prefix: str, rank: str, id_: Sequence[str]) -> DataFrame:

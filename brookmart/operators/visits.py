@@ -29,15 +29,27 @@ def repair_is_new(rows: DataFrame, visitor: str, flag: str, order: Sequence[str]
 
 
 def unique_visits(entries: DataFrame, visitor: str, day: Column, order: Sequence[str]) -> DataFrame:
-    """Entry pages whose day differs from that of the visitor's entry page before."""
+    """Entry pages whose day differs from that of the visitor's entry page before. Rows without a visitor or a day are nobody's
+    visits: they are left out."""
     w = Window.partitionBy(visitor).orderBy(*order)
-    marked = entries.withColumn("_day", day).withColumn("_before", F.lag("_day").over(w))
-    return marked.filter(F.col("_before").isNull() | (F.col("_before") != F.col("_day"))).drop("_day", "_before")
-
-
-def bounces(pages: DataFrame, visitor: str, entry: Column, time: str, order: Sequence[str], within: str = "10 seconds") -> DataFrame:
-    """Entry pages that no other page follows in time: the visitor's next page is missing, an entry, or `within` later."""
-    w = Window.partitionBy(visitor).orderBy(*order)
-    marked = pages.withColumn("_e", entry).withColumn("_ne", F.lead("_e").over(w)).withColumn("_nt", F.lead(time).over(w))
-    late = F.col("_nt") >= F.col(time) + F.expr(f"INTERVAL {within}")
-    return marked.filter(F.col("_e") & (F.col("_nt").isNull() | F.col("_ne") | late)).drop("_e", "_ne", "_nt")
+    marked = entries.withColumn("_day", day).filter(F.col(visitor).isNotNull() & F.col("_day").isNotNull())
+    return marked.withColumn("_before", F.lag("_day").over(w)).filter(F.col("_before").isNull() | (F.col("_before") != F.col("_day"))).drop("_day", "_before")
+
+
+def bounces(pages: DataFrame, visitor: str, entry: Column, time: str, order: Sequence[str], within: str = "10 seconds", piece: str = "1 day") -> DataFrame:
+    """Entry pages that no other page follows in time: the visitor's next page is missing, an entry, or `within` later. Times
+    ascend along the order columns. Rows without a visitor or a time are left out, as bounces and as what follows.
+
+    piece: a visitor's rows are looked at in pieces of so much time, so that a very busy one is no single task's work; the
+    last row of a piece is followed by the first of the visitor's next one.
+    """
+    known = pages.withColumn("_e", entry).filter(F.col(visitor).isNotNull() & F.col(time).isNotNull())
+    known = known.withColumn("_p", F.window(time, piece)["start"])
+    w = Window.partitionBy(visitor, "_p").orderBy(*order)
+    marked = known.withColumn("_n", F.lead(F.struct("_e", F.col(time).alias("_t"))).over(w))
+    first = known.groupBy(F.col(visitor).alias("_v"), F.col("_p").alias("_q")).agg(F.min(F.struct(*(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), "_e", F.col(time).alias("_t"))).alias("_f"))
+    later = F.lead(F.struct("_f._e", "_f._t")).over(Window.partitionBy("_v").orderBy("_q"))
+    joined = marked.join(first.withColumn("_l", later).drop("_f"), (F.col(visitor) == F.col("_v")) & (F.col("_p") == F.col("_q")))
+    after = F.coalesce("_n", "_l")
+    late = after["_t"] >= F.col(time) + F.expr(f"INTERVAL {within}")
+    return joined.filter(F.col("_e") & (after.isNull() | after["_e"] | late)).select(*pages.columns)

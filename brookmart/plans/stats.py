@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import STAMP, WORD, event_time, is_entry, to_millis, words
-from ..operators.joins import lookup
+from ..operators.joins import Keyed, lookup
 from ..operators.windows import distinct_count, tumble
 from ..schemas import GOOD_APPRAISE, KEYWORD_STATS, PRODUCT_STATS, PROVINCE_STATS, VISITOR_STATS
 
@@ -88,7 +88,7 @@ def product_stats(rows: DataFrame, size: str = "10 seconds", delay: str = "2 sec
     return out.drop("_n")
 
 
-def product_dims(stats: DataFrame, sku: DataFrame, spu: DataFrame, category3: DataFrame, trademark: DataFrame) -> DataFrame:
+def product_dims(stats: DataFrame, sku: DataFrame | Keyed, spu: DataFrame | Keyed, category3: DataFrame | Keyed, trademark: DataFrame | Keyed) -> DataFrame:
     """Names and prices of the aggregate's products: looked up after the aggregation, once a window and sku."""
     out = lookup(stats, sku, "sku_id", "id", {"sku_name": "sku_name", "price": "sku_price", "spu_id": "spu_id", "tm_id": "tm_id", "category3_id": "category3_id"})
     out = lookup(out, spu, "spu_id", "id", {"spu_name": "spu_name"})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import age, to_millis
-from ..operators.joins import interval_join, lookup
+from ..operators.joins import Keyed, interval_join, lookup
 
 #: Columns of dimensions that the wide table reads: dim -> (key in the wide table, {dim column: wide column}).
 DIMS = {
@@ -39,7 +39,7 @@ def order_wide(info: DataFrame, detail: DataFrame, before: str = "5 seconds", af
     )
 
 
-def with_dims(wide: DataFrame, dims: dict[str, DataFrame], as_of: str | None = None) -> DataFrame:
+def with_dims(wide: DataFrame, dims: dict[str, DataFrame | Keyed], as_of: str | None = None) -> DataFrame:
     """The wide table with the current row of each given dimension: user (age, gender), province, sku, then the sku's spu,
     trademark and category. A miss leaves nulls."""
     if "user" in dims:

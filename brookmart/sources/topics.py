@@ -9,25 +9,43 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from .dims import DimStore, empty_dim, file_system
+from .log import append_log, read_log
+
+__all__ = ["DimStore", "append_log", "empty_dim", "file_system", "read_log"]
+
 
 def read_topic(spark: SparkSession, topic: str, root: str = "", stream: bool = False, servers: str = "", group: str = "", latest: bool = True, per_trigger: int | None = None, positions: bool = False) -> DataFrame:
     """The topic's records as a string column value: text files in root/topic, or Kafka if servers are given.
 
     positions: adds the column position, by which records are in the order of their arrival: offsets of a partition in
     Kafka, else the files' modification time and name and the block within a file; in_order adds the lines of a block.
-    Files that were written in one tick of that clock have no order but that of their names.
+    Files that were written in one tick of that clock have no order but that of their names; a log's records have (logged).
     """
     if servers:
         options = {"kafka.bootstrap.servers": servers, "subscribe": topic} | ({"kafka.group.id": group} if group else {})
         options["startingOffsets"] = "latest" if latest and stream else "earliest"
         reader = (spark.readStream if stream else spark.read).format("kafka").options(**options)
-        place = [F.struct("timestamp", "partition", "offset").alias("position")] if positions else []
+        place = [F.struct(F.col("timestamp").alias("time"), F.lpad(F.col("partition").cast("string"), 10, "0").alias("name"), F.col("offset").alias("number")).alias("position")] if positions else []
         return reader.load().select(F.col("value").cast("string").alias("value"), *place)
     reader = spark.readStream.format("text") if stream else spark.read.format("text")
     rows = (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger and stream else reader).load(f"{root}/{topic}")
     if not positions:
         return rows
-    return rows.select("value", F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start").alias("position"))
+    meta = "_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start"
+    return rows.select("value", F.struct(*(F.col(m).alias(n) for m, n in zip(meta, PLACE, strict=True))).alias("position"))
+
+
+#: Fields of a record's position: when it came, and where it stands among what came then.
+PLACE = ("time", "name", "number")
+
+
+def logged(spark: SparkSession, topic: str, root: str, stream: bool = False, positions: bool = False) -> DataFrame:
+    """The records of a topic's log (see sources.log); there may be none yet. Positions are those of read_topic: a log's
+    commit times ascend with its offsets, so its own order is exact."""
+    rows = read_log(spark, root, topic, stream)
+    place = [F.struct(F.col("time"), F.lit(topic).alias("name"), F.col("offset").alias("number")).alias("position")] if positions else []
+    return rows.select("value", *place)
 
 
 def in_order(batch: DataFrame, name: str = "line") -> DataFrame:
@@ -125,79 +143,18 @@ def cities(spark: SparkSession, path: str, fallback: str | None = None) -> DataF
         return spark.read.schema(CITIES).option("multiLine", True).json(fallback)
 
 
-def empty_dim(spark: SparkSession, columns: str, pk: str | None = None, extend: str | None = None) -> DataFrame:
-    """An empty dimension: all columns strings, the key (id by default) not null. `extend` is kept as metadata."""
-    key = pk or "id"
-    fields = [T.StructField(c, T.StringType(), c != key, {"extend": extend or ""} if c == key else {}) for c in columns.split(",")]
-    return spark.createDataFrame([], T.StructType(fields))
-
-
-def file_system(spark: SparkSession, path: str):
-    """The Hadoop file system of a path, and a function from strings to its paths."""
-    of = spark._jvm.org.apache.hadoop.fs.Path
-    return of(path).getFileSystem(spark._jsc.hadoopConfiguration()), of
-
-
 def write_once(rows: DataFrame, path: str, write: Callable[[DataFrameWriter, str], None]) -> None:
-    """Writes a folder unless it is there in whole: a batch that runs again leaves the files that others may have read, but
-    is computed, since its state is to be committed. A folder and the checkpoint that numbers its batches belong together."""
+    """Writes a folder unless it is there: a batch that runs again leaves the files that others may have read, but is
+    computed, since its state is to be committed. The folder appears in whole, by one move of a hidden one, so readers see
+    no part of a batch that dies (on a file system that moves folders in one step). A folder and the checkpoint that
+    numbers its batches belong together."""
     fs, of = file_system(rows.sparkSession, path)
-    if fs.exists(of(f"{path}/_SUCCESS")):
+    if fs.exists(of(path)):
         rows.write.format("noop").mode("overwrite").save()
-    else:
-        write(rows.write.mode("overwrite"), path)
-
-
-class DimStore:
-    """Dimensions as folders of numbered versions. An upsert writes its own rows only (d<number>), and after every COMPACT
-    of them the whole dimension (v<number>); readers merge the last whole one with what follows, complete folders only."""
-
-    COMPACT = 16
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self.fs, self.of = file_system(spark, self.root)
-
-    def versions(self, table: str) -> list[tuple[int, str]]:
-        """Numbers and folders that are complete, in ascending order."""
-        if not self.fs.exists(self.of(f"{self.root}/{table}")):
-            return []
-        found = [x.getPath().getName() for x in self.fs.listStatus(self.of(f"{self.root}/{table}"))]
-        return sorted((int(x[1:]), x) for x in found if x[0] in "dv" and x[1:].isdigit() and self.fs.exists(self.of(f"{self.root}/{table}/{x}/_SUCCESS")))
-
-    def read(self, table: str, until: int | None = None) -> DataFrame | None:
-        """The dimension as it is, or as it was after the version `until`."""
-        found = [(n, x) for n, x in self.versions(table) if until is None or n <= until]
-        base = max((n for n, x in found if x[0] == "v"), default=-1)
-        parts = [self.spark.read.parquet(f"{self.root}/{table}/{x}").withColumn("_n", F.lit(n)) for n, x in found if n > base or (n == base and x[0] == "v")]
-        if not parts:
-            return None
-        if len(parts) == 1:
-            return parts[0].drop("_n")
-        pk = [f.name for f in parts[-1].schema if f.metadata.get("pk")]
-        rows = parts[0]
-        for part in parts[1:]:
-            rows = rows.unionByName(part, allowMissingColumns=True)
-        rest = [c for c in rows.columns if c not in (*pk, "_n")]
-        last = rows.groupBy(*pk).agg(F.max_by(F.struct(*rest), "_n").alias("x"))
-        return last.select(*(F.col(c).alias(c, metadata={"pk": True}) for c in pk), "x.*")
-
-    def upsert(self, table: str, changes: DataFrame, pk: Sequence[str], order: Sequence[str], version: int | None = None) -> None:
-        """The last change of each key replaces its row. A version that is there already (a batch that runs again) stays."""
-        found = self.versions(table)
-        number = (found[-1][0] + 1 if found else 0) if version is None else version
-        if any(n == number for n, _ in found):
-            return
-        rest = [c for c in changes.columns if c not in (*pk, *order)]
-        last = changes.groupBy(*pk).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("x"))
-        last = last.select(*(F.col(c).alias(c, metadata={"pk": True}) for c in pk), "x.*")
-        last.write.mode("overwrite").parquet(f"{self.root}/{table}/d{number}")
-        bases = [n for n, x in found if x[0] == "v"]
-        if sum(n > max(bases, default=-1) for n, _ in found) + 1 >= self.COMPACT:
-            self.read(table, number).write.mode("overwrite").parquet(f"{self.root}/{table}/v{number}")
-            for n, x in found:  # readers may still have the base before
-                if n < max(bases, default=-1):
-                    self.fs.delete(self.of(f"{self.root}/{table}/{x}"), True)
+        return
+    parent, _, name = path.rpartition("/")
+    write(rows.write.mode("overwrite"), f"{parent}/.{name}")
+    fs.rename(of(f"{parent}/.{name}"), of(path))
 
 
 def append_stats(rows: DataFrame, columns: Sequence[str], path: str) -> None:

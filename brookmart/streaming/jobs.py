@@ -2,36 +2,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.columns import is_entry
-from ..operators import logs, parse, route
+from ..operators import changes, logs, parse, route
 from ..plans import stats, wide
 from ..schemas import CHANGE_EVENT, ORDER_DETAIL, ORDER_INFO, PAGE_LOG, PAYMENT_INFO, PROVINCE_STATS, VISITOR_STATS
 from ..sources import topics
+from ..sources.dims import DimStore
 from . import state
 
 #: Names of the topics that the jobs read and write.
-ODS_LOG, ODS_DB = "ods_base_log", "ods_base_db"
+ODS_LOG, ODS_DB, ODS_CONFIG = "ods_base_log", "ods_base_db", "ods_config"
 PAGE, START, DISPLAY, DIRTY = "dwd_page_log", "dwd_start_log", "dwd_display_log", "dirty_log"
 DAY_MS = 24 * 3600 * 1000
 UNIQUE, BOUNCE, WIDE, PAYMENT_WIDE = "dwm_unique_visit", "dwm_user_jump_detail", "dwm_order_wide", "dwm_payment_wide"
 FAVOR, CART, REFUND, COMMENT = "dwd_favor_info", "dwd_cart_info", "dwd_order_refund_info", "dwd_comment_info"
 
+#: What orders changes: time and place at the source, then place in the topic.
+PLACED = {"_at": "ts_ms", "_pos": "pos", "_place": "position", "_line": "line"}
+
+#: Columns of a change event.
+CHANGES = [x.split()[0] for x in CHANGE_EVENT.split(", ")]
+
+
+@contextmanager
+def kept(rows: DataFrame) -> Iterator[DataFrame]:
+    """Rows that several actions of a batch read, kept for them."""
+    rows.persist()
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
 
 class Jobs:
-    """root holds topics, dimensions, statistics and checkpoints; every job takes what is there, or runs on with `every`.
-    per_trigger: files of a micro-batch, which bounds what a visitor has in one."""
+    """root holds topics (folders of files, and logs), dimensions, statistics and checkpoints; every job takes what is there,
+    or runs on with `every`. per_trigger: files of a micro-batch, which bounds what a visitor has in one."""
 
     def __init__(self, spark: SparkSession, root: str, every: str | None = None, per_trigger: int = 1000):
         self.spark, self.root, self.every, self.per_trigger = spark, root.rstrip("/"), every, per_trigger
-        self.dims = topics.DimStore(spark, f"{self.root}/dims")
+        self.dims = DimStore(spark, f"{self.root}/dims")
 
     def raw(self, topic: str, **options) -> DataFrame:
-        return topics.read_topic(self.spark, topic, f"{self.root}/topics", stream=True, per_trigger=self.per_trigger, **options)
+        """A topic's records: its log, if it is there when the job starts, and files that are dropped into its folder. Spark
+        runs what is there in a log as one batch; files come per_trigger at a time."""
+        fs, of = topics.file_system(self.spark, folder := f"{self.root}/topics/{topic}")
+        log = fs.exists(of(f"{self.root}/logs/{topic}"))
+        if log and not fs.exists(of(folder)):
+            return topics.logged(self.spark, topic, f"{self.root}/logs", stream=True, **options)
+        files = topics.read_topic(self.spark, topic, f"{self.root}/topics", stream=True, per_trigger=self.per_trigger, **options)
+        return files.unionByName(topics.logged(self.spark, topic, f"{self.root}/logs", stream=True, **options)) if log else files
 
     def files(self, path: str) -> DataFrame:
         """Records of all files under a path (or a pattern); there may be none yet."""
@@ -67,7 +94,21 @@ class Jobs:
     def change_capture(self, feed: str) -> StreamingQuery:
         """A change-capture feed (a folder of JSON files) -> ODS changes."""
         events = parse.change_events(topics.change_feed(self.spark, feed, stream=True))
-        return self._write(events, ODS_DB, "change_capture")
+        return self._log(events, ODS_DB, "change_capture")
+
+    def snapshot_capture(self, snapshot: str, feed: str, database: str, table: str, pk: list[str], at: int | None = None) -> StreamingQuery:
+        """A table's snapshot (a folder of Parquet files, which may come one after another) and then its log -> ODS changes,
+        each change once (see operators.changes.handover). Rows of the snapshot stand at the position in their column _pos,
+        that of their chunk, or all `at`."""
+        schema = self.spark.read.parquet(snapshot).schema
+        rows = self.spark.readStream.schema(schema).parquet(snapshot)
+        taken = changes.snapshot_events(rows, database, table, F.col("_pos") if "_pos" in schema.names else F.lit(at))
+        log = parse.change_events(topics.change_feed(self.spark, feed, stream=True)).filter((F.col("database") == database) & (F.col("tableName") == table))
+        return self._log(changes.handover(taken, log.select(*CHANGES), pk, at), ODS_DB, f"snapshot_{table}")
+
+    def _log(self, rows: DataFrame, topic: str, job: str) -> StreamingQuery:
+        """Rows to a topic's log: a batch is one commit, whatever runs again."""
+        return self._each(rows, lambda b, n: topics.append_log(topics.as_records(b), f"{self.root}/logs", topic, job, n), job)
 
     def split_log(self) -> StreamingQuery:
         """ODS log -> dirty, start, page and display topics, with is_new repaired."""
@@ -78,11 +119,10 @@ class Jobs:
         fixed = fixed.withColumn("common", F.col("common").withField("is_new", F.col("is_new"))).drop("mid", "is_new")
 
         def each(batch: DataFrame, n: int) -> None:
-            batch.persist()
-            parts = logs.split_log(batch)
-            for name, topic in (("start", START), ("page", PAGE), ("display", DISPLAY)):
-                self._replace(topics.as_records(parts[name]), f"{self.root}/topics/{topic}", n)
-            batch.unpersist()
+            with kept(batch):
+                parts = logs.split_log(batch)
+                for name, topic in (("start", START), ("page", PAGE), ("display", DISPLAY)):
+                    self._replace(topics.as_records(parts[name]), f"{self.root}/topics/{topic}", n)
 
         self.dirty = topics.start(dirty, lambda b, n: self._replace(b.select("value"), f"{self.root}/topics/{DIRTY}", n), f"{self.root}/checkpoints/dirty_log", self.every)
         return self._each(fixed, each, "split_log")
@@ -102,37 +142,75 @@ class Jobs:
 
     def split_db(self, config: str) -> StreamingQuery:
         """Changes -> dimensions and fact topics, by the configuration (a parquet folder) as it is at each batch. Of several
-        changes to a key the last at the source counts: by its time and place there, or by its place in the topic."""
+        changes to a key the last at the source counts: by its time and place there, or by its place in the topic. A
+        dimension is made before its first row."""
         events = self.read(ODS_DB, CHANGE_EVENT, positions=True)
 
         def each(batch: DataFrame, n: int) -> None:
             routes = route.current_routes(self.spark.read.parquet(config), "seq")
-            routed = route.route(topics.in_order(batch), routes).persist()
-            parts = route.split_routed(routed)
-            known = routes.filter("sinkType = 'hbase'").select("sinkTable", F.coalesce("sinkPk", F.lit("id")).alias("pk"), F.coalesce("sinkColumns", F.lit("")).alias("names")).collect()  # as many as configured tables
-            for table, pk in sorted({(r.sinkTable, r.pk) for r in known}):
-                names = sorted({x for r in known if r.sinkTable == table for x in r.names.split(",") if x} | {pk})
-                order = {"_at": F.col("ts_ms"), "_pos": F.col("pos"), "_place": F.col("position"), "_line": F.col("line")}
-                rows = parts["dim"].filter((F.col("sinkTable") == table) & (F.col("sinkPk") == pk))
-                changes = rows.select(*(F.col("after")[c].alias(c) for c in names), *(x.alias(k) for k, x in order.items())).filter(F.col(pk).isNotNull())
-                if not changes.isEmpty():
-                    self.dims.upsert(table, changes, [pk], list(order), n)
-            facts = parts["fact"].select(F.coalesce("sinkTable", F.lit("DWD_DEFAULT")).alias("topic"), F.to_json("after").alias("value"))
-            topics.write_once(facts, f"{self.root}/facts/batch-{n}", lambda w, p: w.partitionBy("topic").text(p))
-            routed.unpersist()
+            with kept(route.route(topics.in_order(batch), routes)) as routed:
+                self._store(routed, routes, n)
+                self._facts(routed, n)
 
         return self._each(events, each, "split_db")
 
+    def route_db(self, table: str = "table_process", source: str | None = ODS_CONFIG) -> StreamingQuery:
+        """Changes -> dimensions and fact topics, by the configuration of each change's time. The configuration is itself a feed
+        of changes to a table: in a topic of its own (source), among the others, or both. Its versions are kept (routes),
+        placed as all changes are: by time and place at the source where there are such, and then by their arrival. What has
+        no route at its time is set apart (unrouted), with the reason; a deleted row ends its route."""
+        events = self.read(ODS_DB, CHANGE_EVENT, positions=True)
+        if source is not None:
+            events = events.unionByName(self.read(source, CHANGE_EVENT, positions=True))
+
+        def each(batch: DataFrame, n: int) -> None:
+            place = F.struct(*(F.col(c).alias(k) for k, c in PLACED.items()))
+            with kept(topics.in_order(batch)) as rows:
+                changed = route.route_changes(rows.filter(F.col("tableName").eqNullSafe(table)), place)
+                if not changed.isEmpty():
+                    topics.write_once(changed, f"{self.root}/routes/batch={n}", lambda w, p: w.parquet(p))
+                fs, of = topics.file_system(self.spark, self.root)
+                known = self.spark.createDataFrame([], changed.schema)
+                if fs.exists(of(f"{self.root}/routes")):
+                    known = self.spark.read.schema(changed.schema).parquet(f"{self.root}/routes").filter(F.col("batch") <= n).drop("batch")
+                history = route.route_history(known)
+                with kept(route.route_at(rows.filter(~F.col("tableName").eqNullSafe(table)), history, place)) as met:
+                    routed = met.filter("status = 'routed'")
+                    self._store(routed, history.filter("sinkType is not null"), n)
+                    self._facts(routed, n)
+                    apart = topics.as_records(met.filter("status <> 'routed'").select("status", *CHANGES))
+                    self._replace(apart, f"{self.root}/unrouted", n)
+
+        return self._each(events, each, "route_db")
+
+    def _store(self, routed: DataFrame, routes: DataFrame, n: int) -> None:
+        """The dimensions of the routes, with the routed rows of a batch."""
+        rows = route.split_routed(routed)["dim"]
+        known = routes.filter("sinkType = 'hbase'").select("sinkTable", F.coalesce("sinkPk", F.lit("id")).alias("pk"), F.coalesce("sinkColumns", F.lit("")).alias("names"), "sinkExtend").distinct().collect()  # as many as configured tables
+        for table, pk in sorted({(r.sinkTable, r.pk) for r in known}):
+            own = [r for r in known if (r.sinkTable, r.pk) == (table, pk)]
+            names = sorted({x for r in own for x in r.names.split(",") if x} | {pk})
+            if any(r.names for r in own):
+                self.dims.create(table, ",".join(names), pk, next((r.sinkExtend for r in own if r.sinkExtend), None))
+            new = rows.filter((F.col("sinkTable") == table) & (F.col("sinkPk") == pk)).select(*(F.col("after")[c].alias(c) for c in names), *(F.col(x).alias(k) for k, x in PLACED.items()))
+            if not new.filter(F.col(pk).isNotNull()).isEmpty():
+                self.dims.upsert(table, new, [pk], list(PLACED), n)
+
+    def _facts(self, routed: DataFrame, n: int) -> None:
+        """The fact topics of a batch: records are after images."""
+        facts = route.split_routed(routed)["fact"].select(F.coalesce("sinkTable", F.lit("DWD_DEFAULT")).alias("topic"), F.to_json("after").alias("value"))
+        topics.write_once(facts, f"{self.root}/facts/batch-{n}", lambda w, p: w.partitionBy("topic").text(p))
+
     def order_wide(self, info: str = "dwd_order_info", detail: str = "dwd_order_detail", before: str = "5 seconds", after: str = "5 seconds", delay: str = "0 seconds") -> StreamingQuery:
         i = wide.with_times(self.facts(info, ORDER_INFO)).withWatermark("et", delay)
         d = wide.with_times(self.facts(detail, ORDER_DETAIL)).withWatermark("et", delay)
-        i = i.withColumnRenamed("et", "o_time")
-        joined = wide.order_wide(i.withColumnRenamed("o_time", "et"), d, before, after)
+        joined = wide.order_wide(i, d, before, after)
         names = {"user": "dim_user_info", "province": "dim_base_province", "sku": "dim_sku_info", "spu": "dim_spu_info", "trademark": "dim_base_trademark", "category3": "dim_base_category3"}
 
         def each(batch: DataFrame, n: int) -> None:
-            current = {k: v for k, t in names.items() if (v := self.dims.read(t)) is not None}  # as they are now
-            self._replace(topics.as_records(wide.with_dims(batch, current)), f"{self.root}/topics/{WIDE}", n)
+            with kept(batch):
+                current = {k: self.dims.dim(t) for k, t in names.items()}  # as they are now
+                self._replace(topics.as_records(wide.with_dims(batch, current)), f"{self.root}/topics/{WIDE}", n)
 
         return self._each(joined, each, "order_wide")
 
@@ -163,11 +241,11 @@ class Jobs:
             self.facts(COMMENT, f"{acted}, appraise string"),
         )
         out = stats.product_stats(rows, size, delay)
-        columns = {"dim_sku_info": "id,sku_name,price,spu_id,tm_id,category3_id", "dim_spu_info": "id,spu_name", "dim_base_category3": "id,name", "dim_base_trademark": "id,tm_name"}
 
         def each(batch: DataFrame, n: int) -> None:
-            found = [topics.empty_dim(self.spark, c) if (d := self.dims.read(t)) is None else d for t, c in columns.items()]
-            self._stats(stats.product_dims(batch, *found), "product_stats", n)
+            with kept(batch):
+                found = (self.dims.dim(t) for t in ("dim_sku_info", "dim_spu_info", "dim_base_category3", "dim_base_trademark"))
+                self._stats(stats.product_dims(batch, *found), "product_stats", n)
 
         return self._each(out, each, "product_stats")
 

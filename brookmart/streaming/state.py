@@ -14,6 +14,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
+def ascending(rows, columns: tuple[str, ...]) -> list:
+    """Rows in the order of some columns; nulls come first, as in the closed forms."""
+    return sorted(rows, key=lambda r: tuple((r[c] is not None, r[c]) if r[c] is not None else (False,) for c in columns))
+
+
 class _RepairIsNew(StatefulProcessor):
     """Counts the rows that claim is_new = '1' and lets the first two keep it."""
 
@@ -25,7 +30,7 @@ class _RepairIsNew(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         n = self.seen.get()[0] if self.seen.exists() else 0
-        for r in sorted(rows, key=lambda r: tuple(r[c] for c in self.order)):
+        for r in ascending(rows, self.order):
             out = r.asDict()
             if out[self.flag] == "1":
                 n += 1
@@ -50,7 +55,7 @@ class _UniqueVisits(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         last = self.last.get()[0] if self.last.exists() else None
         before = last
-        for r in sorted(rows, key=lambda r: tuple(r[c] for c in self.order)):
+        for r in ascending(rows, self.order):
             if r[self.day] != last:
                 last = r[self.day]
                 yield Row(**r.asDict())
@@ -73,7 +78,7 @@ class _Bounces(StatefulProcessor):
         self.rows = handle.getListState("rows", self.schema)
 
     def key_of(self, r) -> tuple:
-        return tuple(r[self.names.index(c)] for c in self.order)
+        return tuple((r[i] is not None, r[i]) if r[i] is not None else (False,) for i in map(self.names.index, self.order))
 
     def settle(self, held: list[tuple], until: int) -> tuple[list[tuple], list[tuple]]:
         """(bounces, rows to keep): decides every row whose follower, or the lack of one, is settled."""
@@ -119,13 +124,16 @@ class _Bounces(StatefulProcessor):
 
 
 def repair_is_new(rows: DataFrame, visitor: str, flag: str, order: list[str], keep: int = 2) -> DataFrame:
-    """The stream of rows with is_new repaired (see operators.visits); state of a visitor is one number."""
+    """The stream of rows with is_new repaired (see operators.visits); state of a visitor is one number. Rows without a
+    visitor are to be kept out. A row without a value in the order columns comes first in its batch."""
     return rows.groupBy(visitor).transformWithState(_RepairIsNew(flag, tuple(order), keep), rows.schema, outputMode="append", timeMode="None")
 
 
 def unique_visits(entries: DataFrame, visitor: str, day: str, order: list[str], ttl_ms: int | None = None) -> DataFrame:
     """The stream of entry pages that begin a day; a visitor's day is forgotten ttl_ms after it was written, if that is
-    given. A time to live runs by the clock, so such a query goes on until it is stopped."""
+    given. A time to live runs by the clock, so such a query goes on until it is stopped. Rows without a visitor or a day are
+    nobody's visits: they are left out."""
+    entries = entries.filter(F.col(visitor).isNotNull() & F.col(day).isNotNull())
     mode = "processingTime" if ttl_ms else "None"
     return entries.groupBy(visitor).transformWithState(_UniqueVisits(day, tuple(order), ttl_ms), entries.schema, outputMode="append", timeMode=mode)
 
@@ -133,7 +141,8 @@ def unique_visits(entries: DataFrame, visitor: str, day: str, order: list[str],
 def bounces(pages: DataFrame, visitor: str, entry: str, time: str, millis: str, order: list[str], within_ms: int = 10_000, delay: str = "1 second") -> DataFrame:
     """The stream of bounces. pages: a boolean column entry, an event-time column and its milliseconds. A visitor's state
     holds the rows that aren't settled, which the watermark bounds: what they are ordered and judged by, and the row as JSON,
-    since a state that is read and put again keeps plain columns only."""
+    since a state that is read and put again keeps plain columns only. Rows without a visitor or a time are left out."""
+    pages = pages.filter(F.col(visitor).isNotNull() & F.col(time).isNotNull() & F.col(millis).isNotNull())
     out = T.StructType([f for f in pages.schema.fields if f.name != time])
     names = tuple(dict.fromkeys([*order, entry, millis, "_row"]))
     packed = pages.withColumn("_row", F.to_json(F.struct(*(f.name for f in out)))).withWatermark(time, delay)

@@ -62,24 +62,6 @@ def test_routing(spark):
     assert [(r.sinkTable, r.after) for r in parts["dim"].collect()] == [("dim_b", {"id": "1"})]
     assert values(route.unmatched(events, routes), "tableName", "type") == [("b", None), ("d", "insert"), ("e", "insert")]
 
-
-def test_dim_store(spark, tmp_path):
-    store = topics.DimStore(spark, str(tmp_path))
-    assert store.read("d") is None
-    store.upsert("d", spark.createDataFrame([("1", "a", 1), ("1", "b", 2), ("2", "c", 1)], "id string, v string, seq int"), ["id"], ["seq"], 0)
-    for _ in range(2):  # a batch that is run again
-        store.upsert("d", spark.createDataFrame([("2", None, 9), ("3", "e", 9)], "id string, v string, seq int"), ["id"], ["seq"], 1)
-    assert values(store.read("d"), "id", "v") == [("1", "b"), ("2", None), ("3", "e")]
-    assert values(store.read("d", 0), "id", "v") == [("1", "b"), ("2", "c")]
-    store.COMPACT = 3
-    for n in range(2, 10):  # columns may come later; old versions go
-        store.upsert("d", spark.createDataFrame([("1", f"x{n}", "w", 1)], "id string, v string, w string, seq int"), ["id"], ["seq"], n)
-        assert values(store.read("d"), "id", "v", "w") == [("1", f"x{n}", "w"), ("2", None, None), ("3", "e", None)]
-    assert len(store.versions("d")) < 8 and [x for _, x in store.versions("d") if x[0] == "v"]
-    empty = topics.empty_dim(spark, "id,name")
-    assert empty.count() == 0 and not empty.schema["id"].nullable
-
-
 def test_is_new_repair(spark):
     rows = spark.createDataFrame(list(enumerate("11101")), "n int, is_new string").withColumn("mid", F.lit("m"))
     assert [r.is_new for r in visits.repair_is_new(rows, "mid", "is_new", ["n"]).orderBy("n").collect()] == ["1", "1", "0", "0", "0"]
@@ -105,6 +87,23 @@ def test_unique_visits(spark):
     assert values(visits.unique_visits(rows, "mid", F.col("day"), ["n"]), "n") == [(1,), (4,), (5,)]
 
 
+def test_rows_without_visitor_or_time_are_nobodys(spark):
+    rows = spark.createDataFrame([(None, 1, "d1"), (None, 2, "d1"), ("m", 3, None), ("m", 4, "d1"), ("m", 5, "d1"), ("n", None, None)], "mid string, n int, day string")
+    assert values(visits.unique_visits(rows, "mid", F.col("day"), ["n"]), "n") == [(4,)]
+    pages = spark.createDataFrame([(None, 0), (None, 1), ("m", 0), ("m", None), ("m", 90_000), ("m", 90_001), ("k", 86_399_999), ("k", 86_400_001)], "mid string, ts long").withColumn("et", F.timestamp_millis("ts"))
+    got = visits.bounces(pages, "mid", F.col("ts") != 86_400_001, "et", ["ts"])
+    assert values(got, "mid", "ts") == [("m", 0), ("m", 90_000), ("m", 90_001)]  # k's page follows on the next day, in time
+
+
+def test_bounces_in_pieces_are_those_of_whole_visitors(spark):
+    rnd = random.Random(11)
+    rows = [(f"m{rnd.randrange(3)}", rnd.randrange(2) == 0, i * 7_000 + rnd.randrange(6_000)) for i in range(400)]
+    pages = spark.createDataFrame(rows, "mid string, entry boolean, ts long").withColumn("et", F.timestamp_millis("ts"))
+    got = [values(visits.bounces(pages, "mid", F.col("entry"), "et", ["ts"], "9 seconds", p), "mid", "ts") for p in ("1 second", "1 minute", "1 day")]
+    assert got[0] == got[1] == got[2] and 100 < len(got[0]) < 250
+    assert visits.bounces(pages, "mid", F.col("entry"), "et", ["ts"]).columns == pages.columns
+
+
 @pytest.mark.parametrize(("pages", "want"), [("E0 N5", []), ("E0 E5 N6", [0]), ("E0 E5 E9", [0, 5, 9]), ("E0 N10", [0]), ("N0 N1", []), ("E0 N9", [])])
 def test_bounces(spark, pages, want):
     rows = spark.createDataFrame([(p[0] == "E", int(p[1:])) for p in pages.split()], "e boolean, s int").withColumns({"mid": F.lit("m"), "et": F.timestamp_seconds("s")})

@@ -14,8 +14,3 @@ def tumble(rows: DataFrame, time: str, size: str, keys: Sequence[str], *aggregat
     """Aggregates by window and keys, with the window's bounds as stt and edt. Partial aggregation comes before the shuffle."""
     out = rows.groupBy(F.window(time, size).alias("_w"), *keys).agg(*aggregates)
     return out.withColumns({"stt": F.date_format("_w.start", STAMP), "edt": F.date_format("_w.end", STAMP)}).drop("_w")
-
-
-def distinct_count(column: Column | str, streaming: bool) -> Column:
-    """Exact distinct count; a stream gathers the set of a window and key, which its watermark bounds."""
-    return F.size(F.collect_set(column)).cast("long") if streaming else F.count_distinct(column)

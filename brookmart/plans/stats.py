@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import STAMP, WORD, event_time, is_entry, to_millis, words
 from ..operators.joins import Keyed, lookup
-from ..operators.windows import distinct_count, tumble
+from ..operators.windows import tumble
 from ..schemas import GOOD_APPRAISE, KEYWORD_STATS, PRODUCT_STATS, PROVINCE_STATS, VISITOR_STATS
 
 VISITOR_KEYS = ["ar", "ch", "is_new", "vc"]
@@ -74,15 +74,12 @@ def product_stats(rows: DataFrame, size: str = "10 seconds", delay: str = "2 sec
     timed = rows.filter("sku_id is not null").withColumn("et", event_time(F.col("ts")))
     orders = {"order_ct": "order_id", "paid_order_ct": "paid_order_id", "refund_order_ct": "refund_order_id"}
     sums = [F.sum(c).alias(c) for c in PRODUCT_COUNTS]
-    if rows.isStreaming:
-        counts = [distinct_count(c, True).alias(n) for n, c in orders.items()]
-        out = tumble(timed.withWatermark("et", delay), "et", size, ["sku_id"], *sums, *counts, F.min("ts").alias("ts"), F.count("*").alias("_n"))
-    else:
-        # By order first, so that no row is multiplied for its distinct counts: then an order is one row of its window.
-        keys = ["sku_id", *PRODUCT_ORDERS]
-        each = timed.groupBy(F.window("et", size)["start"].alias("et"), *keys).agg(*sums, F.min("ts").alias("ts"), F.count("*").alias("_n"))
-        counts = [F.count(c).alias(n) for n, c in orders.items()]
-        out = tumble(each, "et", size, ["sku_id"], *sums, *counts, F.min("ts").alias("ts"), F.sum("_n").alias("_n"))
+    timed = timed.withWatermark("et", delay) if rows.isStreaming else timed
+    # By order first, so that no row is multiplied for its distinct counts: then an order is one row of its window. A stream
+    # chains the two, and its state is a row for each order of a window, however many a product has.
+    each = timed.groupBy(F.window("et", size).alias("_w"), "sku_id", *PRODUCT_ORDERS).agg(*sums, F.min("ts").alias("ts"), F.count("*").alias("_n"))
+    counts = [F.count(c).alias(n) for n, c in orders.items()]
+    out = tumble(each.withColumn("et", F.window_time("_w")).drop("_w"), "et", size, ["sku_id"], *sums, *counts, F.min("ts").alias("ts"), F.sum("_n").alias("_n"))
     if compat:
         out = out.withColumns({n: F.when(F.col("_n") == 1, F.lit(0).cast("long")).otherwise(F.col(n)) for n in orders})
     return out.drop("_n")
@@ -115,13 +112,13 @@ def province_stats(spark: SparkSession, wide: DataFrame, size: str = "10 seconds
     """Orders and amounts by window and province, in SQL over a view. compat: split amounts are rounded to whole units."""
     timed = wide.withWatermark("et", delay) if wide.isStreaming else wide
     kind = "DECIMAL(10,0)" if compat else "DECIMAL(16,2)"
-    count = "CAST(size(collect_set(order_id)) AS BIGINT)" if wide.isStreaming else "count(DISTINCT order_id)"
+    keys = "province_id, province_name, province_area_code, province_iso_code, province_3166_2_code"
+    # A stream counts distinct orders by order first; its state is a row for each order of a window.
+    by_order = f"(SELECT window_time(w) AS et, {keys}, order_id, amount FROM (SELECT window(et, '{size}') AS w, {keys}, order_id, sum(CAST(split_total_amount AS {kind})) AS amount FROM {{view}} GROUP BY window(et, '{size}'), {keys}, order_id))"
+    source, amount, count = (by_order, "amount", "count(order_id)") if wide.isStreaming else ("{view}", f"CAST(split_total_amount AS {kind})", "count(DISTINCT order_id)")
     rows = over(spark, timed, lambda view: f"""
-        SELECT date_format(window(et, '{size}').start, '{STAMP}') AS stt, date_format(window(et, '{size}').end, '{STAMP}') AS edt,
-               province_id, province_name, province_area_code, province_iso_code, province_3166_2_code,
-               sum(CAST(split_total_amount AS {kind})) AS order_amount, {count} AS order_count
-        FROM {view}
-        GROUP BY window(et, '{size}'), province_id, province_name, province_area_code, province_iso_code, province_3166_2_code""")
+        SELECT date_format(window(et, '{size}').start, '{STAMP}') AS stt, date_format(window(et, '{size}').end, '{STAMP}') AS edt, {keys}, sum({amount}) AS order_amount, {count} AS order_count
+        FROM {source.format(view=view)} GROUP BY window(et, '{size}'), {keys}""")
     return rows.withColumn("ts", F.unix_millis(F.current_timestamp()) if ts is None else ts).select(*PROVINCE_STATS)
 
 

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions import columns as C
-from .operators import joins, logs, parse, reshape, route, visits, windows
+from .operators import changes as feed
+from .operators import joins, logs, parse, pattern, reshape, route, visits, windows
 from .plans import dashboard, stats, wide
 from .schemas import DEBEZIUM, GOOD_APPRAISE
 
@@ -171,6 +173,41 @@ def cdc_filter_project_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("sinkType").alias("sink_type"), F.col("sinkTable").alias("sink_table"), F.col("after")["id"].cast("long").alias("id"), F.to_json("after").alias("payload"))
 
 
+CONFIG_SQL = """c AS (SELECT ['F','O','P','X'][n_nationkey % 4 + 1] AS t, epoch_ms(TIMESTAMP '1992-01-01 00:00:00' + INTERVAL 1 DAY * (n_nationkey * 90)) + 1 AS since, CASE WHEN n_nationkey % 6 <> 5 THEN 'dwd_' || n_name END AS sink FROM nation),
+v AS (SELECT *, lead(since) OVER (PARTITION BY t ORDER BY since) AS until FROM c), f AS (SELECT t, min(since) AS first FROM c GROUP BY t),
+o AS (SELECT o_orderkey, o_orderstatus, epoch_ms(o_orderdate) AS ms, CASE WHEN o_orderkey % 10 = 0 THEN 'update' ELSE 'insert' END AS type FROM orders)"""
+
+
+@query(f"""WITH {CONFIG_SQL} SELECT status, sink_table, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS ids FROM (
+SELECT o_orderkey, sink AS sink_table, CASE WHEN sink IS NOT NULL THEN 'routed' WHEN v.t IS NOT NULL THEN 'ended' WHEN f.t IS NOT NULL THEN 'early' ELSE 'none' END AS status
+FROM o LEFT JOIN v ON v.t = o_orderstatus AND type = 'insert' AND ms >= since AND (until IS NULL OR ms < until) LEFT JOIN f ON f.t = o_orderstatus AND type = 'insert') GROUP BY ALL""")
+def cdc_route_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by the configuration of their time, whose changes are the nations': each says where a table goes from then on."""
+    n = table(spark, sf_dir, "nation")
+    at = F.unix_millis(F.to_timestamp(F.lit("1992-01-01")) + F.make_dt_interval(days=(F.col("n_nationkey") * 90).cast("int"))) + 1
+    key = (F.lit("sourceTable"), F.element_at(F.array(*map(F.lit, "FOPX")), (F.col("n_nationkey") % 4 + 1).cast("int")), F.lit("operateType"), F.lit("insert"))
+    says = (x for k, v in (("sinkType", F.lit("kafka")), ("sinkTable", F.concat(F.lit("dwd_"), "n_name")), ("sinkColumns", F.lit("id"))) for x in (F.lit(k), v))
+    ends, none = F.col("n_nationkey") % 6 == 5, F.create_map().cast("map<string,string>")
+    config = n.select(F.when(ends, F.create_map(*key)).otherwise(none).alias("before"), F.when(ends, none).otherwise(F.create_map(*key, *says)).alias("after"), F.when(ends, "delete").otherwise("insert").alias("type"), at.alias("ts_ms"))
+    history = route.route_history(route.route_changes(config, F.struct("ts_ms")))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("tableName"), F.create_map(F.lit("id"), F.col("o_orderkey").cast("string")).alias("after"), F.when(F.col("o_orderkey") % 10 == 0, "update").otherwise("insert").alias("type"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ts_ms"))
+    met = route.route_at(o, history, F.struct("ts_ms"))
+    return met.groupBy("status", F.col("sinkTable").alias("sink_table")).agg(F.count("*").alias("n"), F.sum(F.col("after")["id"].cast("long")).alias("ids"))
+
+
+@query("""WITH h AS (SELECT user_id, img, lag(img) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old FROM (SELECT user_id, ts, event_id, CASE WHEN event_id % 7 <> 0 THEN event_type END AS img FROM events))
+SELECT is_add, user_id, event_type, count(*) AS n FROM (SELECT FALSE AS is_add, user_id, old AS event_type FROM h WHERE old IS NOT NULL AND old IS DISTINCT FROM img
+UNION ALL SELECT TRUE, user_id, img FROM h WHERE img IS NOT NULL AND old IS DISTINCT FROM img) GROUP BY ALL""")
+def cdc_retractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's row is its last event's type: what each event retracts and adds, from a feed without before images."""
+    key, none = (F.lit("user_id"), F.col("user_id").cast("string")), F.create_map().cast("map<string,string>")
+    gone = F.col("event_id") % 7 == 0
+    after = F.when(gone, F.create_map(*key)).otherwise(F.create_map(*key, F.lit("event_type"), F.col("event_type")))
+    events = table(spark, sf_dir, "events").select(none.alias("before"), after.alias("after"), F.when(gone, "delete").otherwise("update").alias("type"), "ts", "event_id")
+    rows = feed.retractions(events, ["user_id"], ["ts", "event_id"], T.StructType().add("user_id", "long").add("event_type", "string"))
+    return rows.groupBy("is_add", "user_id", "event_type").agg(F.count("*").alias("n"))
+
+
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
 def dim_latest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route.latest_by_key(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_type", "value")
@@ -201,6 +238,25 @@ def bounce_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bounced(spark, sf_dir).select("event_id", F.col("mid").cast("long").alias("user_id"), "ts")
 
 
+@query(f"{P_SQL} SELECT event_id, user_id, ms AS ts FROM ({BOUNCE_SQL})")
+def bounce_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounces as a pattern: an entry page, right after it another one, or nothing in time."""
+    entry = pattern.Step(C.is_entry(F.col("page.last_page_id")))
+    found = pattern.match(pages(spark, sf_dir).withColumn("mid", F.col("common.mid")), "mid", "et", ["ts", "event_id"], [entry, entry], 6 * 3600 * 1000, ["event_id", "ts"])
+    return found.select(F.col("rows")[0]["event_id"].alias("event_id"), F.col("mid").cast("long").alias("user_id"), F.col("rows")[0]["ts"].alias("ts"))
+
+
+@query(P_SQL + """, n AS (SELECT event_id, user_id, event_type, ms, first_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER w AS buy, first_value(CASE WHEN event_type = 'purchase' THEN ms END IGNORE NULLS) OVER w AS buy_ms FROM p
+WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+SELECT user_id, event_id AS view_id, coalesce(buy_ms - ms < 86400000, FALSE) AS matched, CASE WHEN buy_ms - ms < 86400000 THEN buy END AS purchase_id FROM n WHERE event_type = 'view'""")
+def view_to_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views that a purchase follows within a day, whatever stands between, and those that run out of time."""
+    e = table(spark, sf_dir, "events").withColumn("et", F.col("ts").cast("timestamp"))
+    steps = [pattern.Step(F.col("event_type") == "view"), pattern.Step(F.col("event_type") == "purchase", strict=False)]
+    found = pattern.match(e.withColumn("ms", F.unix_millis("et")), "user_id", "et", ["ms", "event_id"], steps, 86_400_000, ["event_id"])
+    return found.select("user_id", F.col("rows")[0]["event_id"].alias("view_id"), "matched", F.get("rows", F.lit(1))["event_id"].alias("purchase_id"))
+
+
 @query(WIDE_SQL + " SELECT detail_id, order_id, sku_id, sku_num, CAST(split_total_amount AS DOUBLE) AS split_total_amount, CAST(province_id AS BIGINT) AS province_id, user_id, CAST(total_amount AS DOUBLE) AS total_amount, strftime(et, '%Y-%m-%d') AS create_date, strftime(et, '%H') AS create_hour FROM wide")
 def order_wide_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide_rows(spark, sf_dir).select("detail_id", "order_id", "sku_id", "sku_num", double("split_total_amount").alias("split_total_amount"), "province_id", "user_id", double("total_amount").alias("total_amount"), "create_date", "create_hour")

@@ -26,11 +26,26 @@ from .transducers import Transducer, lexicon, scope
 from .words import mix, prefix_sums, range_hash, shingles, spans
 
 # Fixed word lists of the grammar.
-THREATS = "kill hurt destroy beat stab shoot burn strangle punish töten umbringen schlagen verletzen tuer frapper détruire brûler matar golpear destruir quemar".split()
+VERBS = {
+    "en": "kill hurt destroy beat stab shoot burn strangle punish murder slap choke".split(),
+    "de": "töten umbringen schlagen verletzen ermorden erwürgen".split(),
+    "fr": "tuer frapper brûler détruire étrangler poignarder".split(),
+    "es": "matar golpear quemar destruir lastimar apuñalar".split(),
+}
+#: Endings that take the place of the infinitive's, by language and infinitive.
+ENDINGS = {
+    "de": {"en": "en e st est t et te ten test end".split()},
+    "fr": {"er": "er e es ons ez ent é ée és ais ait aient erai eras era erons erez eront ant".split(), "re": "re s t sons sez sent rai ras ra rons rez ront".split()},
+    "es": {"ar": "ar o as a amos áis an é aste ó aron aba ado ando aré arás ará aremos arán".split(), "ir": "ir yo yes ye yen í yó iré irás irá irán ido yendo".split()},
+}
+IRREGULAR = "beaten shot burnt schlägt schlägst schlug geschlagen umgebracht umbringe umbringt bringe".split()
 INTENTS = "will ll gonna going shall should must want werde wirst wird werden soll sollte muss will vais vas va allons devrait doit veux voy vamos debe quiero".split()
 TARGETS = "you your yours yourself u he she him her they them these those people everyone du dich dir dein deine ihr euch sie tu te toi ton ta vous votre ils elles tú ti usted ustedes ellos ellas".split()
 NEGATIONS = "not no never none neither nor isn aren wasn weren don doesn didn won cannot without nicht nie kein keine keinen ohne pas jamais aucun aucune sans nunca jamás ningún ninguna sin".split()
 REPORTS = "said says say saying told tells wrote writes written quoted quote quotes called calls reported reports claims claimed according sagte sagt schrieb laut nannte dit disait écrit selon dijo dice escribió según".split()
+REPORTED = frozenset(REPORTS)
+#: What may open a quotation after a word of reporting or a colon, and close it.
+QUOTES = "\"“”„«»‟"
 #: Arcs that weigh, and the weights that they start from; lexicon: times the weight of the entry that matched.
 ARCS = ("insult", "lexicon", "threat", "intended", "negated", "reported", "aimed")
 PRIOR = (1.0, 2.0, 0.0, 1.5, -1.0, -1.0, 1.5)
@@ -45,8 +60,22 @@ SEPARATOR[[*range(ord("a"), ord("z") + 1)]] = False
 #: What stands between words besides ASCII, for the hashes of bytes.
 MARKS = r"[^\x00-\x7F\p{L}\p{M}]"
 WORDS = regex.compile(r"[\p{L}\p{M}]+")
-TOKENS = regex.compile(r"[\p{L}\p{M}]+|,")
-CLAUSE = regex.compile(r"[.!?;:\n…‒–—―]+|--+| - ")
+TOKENS = regex.compile(rf"[\p{{L}}\p{{M}}]+|[,:{QUOTES}]")
+CLAUSE = regex.compile(r"([.!?;\n…‒–—―]+|--+| - )")
+
+
+def inflected(language: str, verb: str) -> set[str]:
+    """The forms of a regular verb."""
+    if language == "en":
+        cut = verb.removesuffix("e")
+        double = verb + verb[-1] if len(verb) == 4 and verb[-1] in "bp" and verb[-2] in "aeiou" else cut
+        return {verb, f"{verb}es" if verb.endswith(("sh", "ss")) else f"{verb}s", f"{double}ing", f"{double}ed"}
+    old = next(x for x in ENDINGS[language] if verb.endswith(x))
+    stem = verb[: -len(old)]
+    return {stem + x for x in ENDINGS[language][old]} | ({f"ge{stem}t", f"ge{stem}et"} if language == "de" else set())
+
+
+THREATS = frozenset(IRREGULAR).union(*(inflected(k, v) for k, vs in VERBS.items() for v in vs))
 
 
 def marked(kinds: Sequence[str], word: str) -> dict[str, str]:
@@ -61,10 +90,10 @@ def grammar(entries: dict[str, float], weight: Callable[[str], Any]) -> tuple[Tr
     openers = lexicon({x: (tag, 0.0) for tag, words in (("TGT", TARGETS), ("INT", INTENTS), ("NEG", NEGATIONS), ("REP", REPORTS)) for x in words})
     kinds = ["insult", "threat", "intended threat"]
     tagged = insults.then(threats).then(openers)
-    aimed = lambda ks: scope("TGT", marked(ks, "aimed"), 4, weight("aimed"))
+    aimed = lambda ks: scope("TGT", marked(ks, "aimed"), 4, weight("aimed"), ":")
     backward = tagged.then(aimed(["insult", "threat"]))
-    forward = tagged.then(scope("INT", {"threat": "intended threat"}, 4, weight("intended"), ","))
-    for opener, word, reach, closer in (("NEG", "negated", 3, ","), ("REP", "reported", 12, "")):
+    forward = tagged.then(scope("INT", {"threat": "intended threat"}, 4, weight("intended"), ",:"))
+    for opener, word, reach, closer in (("NEG", "negated", 3, ",:"), ("REP", "reported", 12, "")):
         forward = forward.then(scope(opener, marked(kinds, word), reach, weight(word), closer))
         kinds += [f"{word} {k}" for k in kinds]
     return forward.then(aimed(kinds)), backward
@@ -81,7 +110,7 @@ class Model:
 
     def __post_init__(self):
         self.entries = self.words | {f"{k}*": w for k, w in self.stems.items()}
-        self.listed = {*self.words, *THREATS, *TARGETS, *INTENTS, *NEGATIONS, *REPORTS, ","}
+        self.listed = {*self.words, *THREATS, *TARGETS, *INTENTS, *NEGATIONS, *REPORTS, ",", ":"}
         hashes = lambda xs: np.unique(np.concatenate([np.zeros(0, np.uint64), *(hash_of(x) for x in xs)]))
         self.word_hashes = hashes([*self.words, *THREATS])
         self.stem_hashes = {k: hashes([x for x in self.stems if len(x) == k]) for k in STEMS}
@@ -100,10 +129,25 @@ class Model:
         return word if word in self.listed else "-"
 
     def clauses(self, text: str, machine: tuple[Transducer, Transducer], aimed: Any) -> list[tuple[str, Any, str]]:
-        """Kinds, weight and words of each matched clause of a text in lower case."""
-        out = []
-        for clause in CLAUSE.split(text):
-            symbols = [self.symbol(w) for w in TOKENS.findall(clause)]
+        """Kinds, weight and words of each matched clause of a text in lower case. A quotation that follows a word of reporting
+        or a colon is reported up to its closing mark, over all its clauses within a paragraph."""
+        out, inside = [], False
+        quoted = any(q in text for q in QUOTES)
+        pieces = CLAUSE.split(text)
+        for clause, end in zip(pieces[::2], [*pieces[1::2], ""], strict=True):
+            words = TOKENS.findall(clause)
+            symbols, opened = ([REPORTS[0]] if inside else []), 0
+            for w in words:
+                if w not in QUOTES:
+                    opened = 2 if w in REPORTED or w == ":" else max(opened - (w != ","), 0)
+                    symbols.append(self.symbol(w))
+                elif inside:
+                    inside = False
+                    symbols.append("END")
+                elif opened:
+                    inside = True
+                    symbols.append(REPORTS[0])
+            inside = inside and quoted and "\n" not in end
             if not any(x in self.entries or x in THREATS for x in symbols):
                 continue
             ahead, back = machine[0].run(symbols), machine[1].run(reversed(symbols))[::-1]
@@ -211,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 for toxic, body_ in zip(batch.column("toxic").to_pylist(), pc.utf8_lower(batch.column("text")).to_pylist(), strict=True):
                     words = set(WORDS.findall(body_))
                     found.update((w, toxic) for w in words | {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k} | {""})
-                if len(found) > 500_000:
+                if len(found) > 150_000:
                     yield table(found)
                     found = Counter()
         yield table(found)

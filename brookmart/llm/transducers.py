@@ -54,12 +54,13 @@ def lexicon(entries: Mapping[str, tuple[str, Any]]) -> Transducer:
 
 
 def scope(opener: str, marks: Mapping[str, str], reach: int, weight: Any = 0.0, closer: str = "") -> Transducer:
-    """Within `reach` symbols after an opener, symbols in `marks` are rewritten and gain the weight; a closer ends the scope."""
+    """Within `reach` symbols after an opener, symbols in `marks` are rewritten and gain the weight; one of the closers (characters),
+    or END, ends the scope."""
 
     def step(left, symbol):
         if symbol == opener:
             return reach, symbol, 0.0
-        if closer and symbol == closer:
+        if symbol == "END" or (symbol and symbol in closer):
             return 0, symbol, 0.0
         if left and symbol in marks:
             return left - 1, marks[symbol], weight

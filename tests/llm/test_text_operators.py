@@ -129,6 +129,21 @@ def test_transducers_compose():
     assert swap.then(transducers.scope("x", {"b": "c"}, 2, 0.5)).run(["x", "a", "a", "a"]) == [("x", 0.0), ("c", 1.5), ("c", 1.5), ("b", 1.0)]
 
 
+def test_reported_speech_across_colons_and_quotation_marks():
+    assert kinds("she said: idiot") == kinds("she: \"idiot\"") == kinds("laut ihm: «idiot»") == [("reported insult", 1.8)]
+    assert kinds("he said: you are an idiot") == kinds("he wrote “you are an idiot”") == [("aimed reported insult", 3.3)]
+    assert kinds('he wrote "i know. you idiot. really." you idiot') == [("aimed reported insult", 3.3), ("aimed insult", 4.3)]
+    assert kinds('he said "fine" idiot') == kinds('"idiot"') == kinds("idiot: you") == kinds("not: idiot") == [("insult", 2.8)]
+    assert kinds('he wrote "i know.\nan idiot"') == [("insult", 2.8)]  # a paragraph ends what nothing closes
+
+
+def test_threats_are_inflected():
+    for text in ("he kills you", "killing you", "stabbed you", "il te tue", "ich schlage dich", "te mata", "er tötet dich", "they will be strangling you"):
+        assert "threat" in kinds(text)[0][0] and kinds(text)[0][0].startswith("aimed"), text
+    assert toxicity.inflected("en", "slap") == {"slap", "slaps", "slapping", "slapped"} and {"punishes", "choking", "détruisez", "destruyen"} <= toxicity.THREATS
+    assert not {"tuesday", "stable", "beatles", "matador"} & toxicity.THREATS
+
+
 def test_toxicity_words_and_clauses_in_any_marks():
     for text in ("«idiot»", "“idiot”", "¡idiot!", "idiot—really", "you…idiot", "3idiot4", "IDIOT’s"):
         assert [k for k, _ in kinds(text.lower())] == ["insult"], text

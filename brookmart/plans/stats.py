@@ -122,11 +122,12 @@ def province_stats(spark: SparkSession, wide: DataFrame, size: str = "10 seconds
     return rows.withColumn("ts", F.unix_millis(F.current_timestamp()) if ts is None else ts).select(*PROVINCE_STATS)
 
 
-def keyword_stats(spark: SparkSession, searches: DataFrame, splitter: str | None = None, size: str = "10 seconds", delay: str = "1 second", ts: Column | None = None) -> DataFrame:
+def keyword_stats(spark: SparkSession, searches: DataFrame, splitter: str | None = None, size: str = "10 seconds", delay: str = "1 second", ts: Column | None = None, cut: Callable[[Column], Column] = words) -> DataFrame:
     """Words searched for, counted by window, in SQL over a view of (fullword, et). splitter: a registered table function
-    from a string to rows (word); by default the built-in tokenizer."""
+    from a string to rows (word); without one, cut makes an array of words: the built-in tokenizer, or a lexicon's
+    (functions.segment)."""
     timed = searches.withWatermark("et", delay) if searches.isStreaming else searches
-    timed = timed if splitter else timed.withColumn("words", words(F.col("fullword")))
+    timed = timed if splitter else timed.withColumn("words", cut(F.col("fullword")))
     lateral = f"LATERAL {splitter}(fullword)" if splitter else "LATERAL explode(words) AS t(word)"
     rows = over(spark, timed, lambda view: f"""
         SELECT word AS keyword, count(*) AS ct, 'SEARCH' AS source, date_format(window(et, '{size}').start, '{STAMP}') AS stt, date_format(window(et, '{size}').end, '{STAMP}') AS edt

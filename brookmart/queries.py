@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import columns as C
+from .functions import segment
 from .operators import changes as feed
-from .operators import joins, logs, parse, pattern, reshape, route, visits, windows
+from .operators import joins, lateness, logs, parse, pattern, reshape, route, visits, windows
 from .plans import dashboard, stats, wide
 from .schemas import DEBEZIUM, GOOD_APPRAISE
 
@@ -257,6 +258,26 @@ def view_to_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", F.col("rows")[0]["event_id"].alias("view_id"), "matched", F.get("rows", F.lit(1))["event_id"].alias("purchase_id"))
 
 
+@query("""SELECT late, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT event_id, coalesce(make_timestamp((epoch_us(ts) // 3600000000 + 1) * 3600000000) <= max(ts) OVER (ORDER BY k, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 DAY, FALSE) AS late
+FROM (SELECT event_id, ts, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)) GROUP BY late""")
+def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that come in another order than that of their times: which are late for their hour by a watermark of a day."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("et"), (F.from_json("props", PROPS)["k"] * 10_000_000_000 + F.col("event_id")).alias("offset"))
+    good, late = lateness.split_late(e, "et", "offset", "1 hour", "1 day")
+    both = good.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
+    return both.groupBy("late").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("""WITH t AS (SELECT p_partkey, replace(lower(p_name), ' ', '') AS x FROM part), w AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part) UNION SELECT DISTINCT substr(w, 1, 3) FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part))
+SELECT w AS keyword, count(*) AS ct FROM (SELECT x, unnest(range(1, length(x) + 1)) AS i FROM t) p JOIN w ON length(w) > 0 AND substr(x, i, length(w)) = w GROUP BY w""")
+def lexicon_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts without their spaces, cut by a lexicon of their words and those words' first three letters."""
+    part = table(spark, sf_dir, "part").select(F.lower("p_name").alias("name"))
+    word = part.select(F.explode(F.split("name", " ")).alias("w")).distinct()
+    cut = segment.lexicon_words(word.unionByName(word.select(F.substring("w", 1, 3).alias("w"))))
+    return part.select(F.explode(cut(F.replace("name", F.lit(" "), F.lit("")))).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("ct"))
+
+
 @query(WIDE_SQL + " SELECT detail_id, order_id, sku_id, sku_num, CAST(split_total_amount AS DOUBLE) AS split_total_amount, CAST(province_id AS BIGINT) AS province_id, user_id, CAST(total_amount AS DOUBLE) AS total_amount, strftime(et, '%Y-%m-%d') AS create_date, strftime(et, '%H') AS create_hour FROM wide")
 def order_wide_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide_rows(spark, sf_dir).select("detail_id", "order_id", "sku_id", "sku_num", double("split_total_amount").alias("split_total_amount"), "province_id", "user_id", double("total_amount").alias("total_amount"), "create_date", "create_hour")

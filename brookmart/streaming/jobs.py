@@ -13,9 +13,10 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.columns import is_entry
 from ..operators import changes, logs, parse, route
 from ..plans import stats, wide
-from ..schemas import CHANGE_EVENT, ORDER_DETAIL, ORDER_INFO, PAGE_LOG, PAYMENT_INFO, PROVINCE_STATS, VISITOR_STATS
-from ..sources import topics
+from ..schemas import CHANGE_EVENT, KEYWORD_STATS, ORDER_DETAIL, ORDER_INFO, PAGE_LOG, PAYMENT_INFO, PRODUCT_STATS, PROVINCE_STATS, VISITOR_STATS
+from ..sources import rollups, topics
 from ..sources.dims import DimStore
+from ..sources.jdbc import JdbcSink
 from . import state
 
 #: Names of the topics that the jobs read and write.
@@ -25,6 +26,8 @@ DAY_MS = 24 * 3600 * 1000
 UNIQUE, BOUNCE, WIDE, PAYMENT_WIDE = "dwm_unique_visit", "dwm_user_jump_detail", "dwm_order_wide", "dwm_payment_wide"
 FAVOR, CART, REFUND, COMMENT = "dwd_favor_info", "dwd_cart_info", "dwd_order_refund_info", "dwd_comment_info"
 
+#: Column orders of the statistics' sinks.
+SINKS = {"visitor_stats": VISITOR_STATS, "product_stats": PRODUCT_STATS, "province_stats": PROVINCE_STATS, "keyword_stats": KEYWORD_STATS}
 #: What orders changes: time and place at the source, then place in the topic.
 PLACED = {"_at": "ts_ms", "_pos": "pos", "_place": "position", "_line": "line"}
 
@@ -44,10 +47,11 @@ def kept(rows: DataFrame) -> Iterator[DataFrame]:
 
 class Jobs:
     """root holds topics (folders of files, and logs), dimensions, statistics and checkpoints; every job takes what is there,
-    or runs on with `every`. per_trigger: files of a micro-batch, which bounds what a visitor has in one."""
+    or runs on with `every`. per_trigger: files of a micro-batch, which bounds what a visitor has in one. database: a JDBC address that takes the
+    statistics, too."""
 
-    def __init__(self, spark: SparkSession, root: str, every: str | None = None, per_trigger: int = 1000):
-        self.spark, self.root, self.every, self.per_trigger = spark, root.rstrip("/"), every, per_trigger
+    def __init__(self, spark: SparkSession, root: str, every: str | None = None, per_trigger: int = 1000, database: str | None = None):
+        self.spark, self.root, self.every, self.per_trigger, self.database = spark, root.rstrip("/"), every, per_trigger, database
         self.dims = DimStore(spark, f"{self.root}/dims")
 
     def raw(self, topic: str, **options) -> DataFrame:
@@ -89,7 +93,16 @@ class Jobs:
         topics.write_once(rows, f"{path}/batch-{batch}", lambda w, p: w.text(p))
 
     def _stats(self, rows: DataFrame, name: str, batch: int) -> None:
-        topics.write_once(rows, f"{self.root}/stats/{name}/batch={batch}", lambda w, p: w.parquet(p))
+        """A batch of statistics: as files, into the sums that dashboards read, and into a database if there is one."""
+        with kept(rows) as rows:
+            topics.write_once(rows, f"{self.root}/stats/{name}/batch={batch}", lambda w, p: w.parquet(p))
+            rollups.rollup(self.spark, self.root, name).add(rollups.prepared(name, rows), batch)
+            if self.database:
+                JdbcSink(self.spark, self.database, name, SINKS[name]).write(rows, batch)
+
+    def sums(self, name: str) -> DataFrame | None:
+        """The sums of a statistics table so far, for the dashboard queries."""
+        return rollups.rollup(self.spark, self.root, name).read()
 
     def change_capture(self, feed: str) -> StreamingQuery:
         """A change-capture feed (a folder of JSON files) -> ODS changes."""

@@ -32,8 +32,10 @@ MATES = 512
 LIMIT = 4096
 #: Components of vectors that are compared at a time.
 PAIR_VALUES = 1 << 22
-#: Rounds are told by the low bits of a cell's code.
-ROUND_BITS = 12
+#: Rounds are told by the low bits of a cell's code; more than they can tell are an error.
+ROUND_BITS = 16
+#: Rounds that are looked through at a time for an earlier meeting of a pair.
+EARLIER = 4
 
 
 def same_cell(sd: float, width: float) -> float:
@@ -58,6 +60,8 @@ def calibrate(threshold: float, rows: int, miss: float) -> tuple[int, float, int
         rounds = max(1, math.ceil(math.log(miss / 2) / math.log1p(-p * near**coarse)))
         if best is None or rounds < best[2]:
             best = coarse, width, rounds, count
+    if best[2] > 1 << ROUND_BITS:
+        raise ValueError(f"{best[2]} rounds are needed; the threshold is too low for so many rows")
     return best
 
 
@@ -156,6 +160,22 @@ def pairs_of_runs(run: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.n
         begin = to
 
 
+def unmet(codes: np.ndarray, hits: np.ndarray, p: np.ndarray, q: np.ndarray, among: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """Which of the pairs `among` (places in p, q, hits and now) have met in no round before theirs: a pair counts where it meets
+    first. The look at a pair ends with the first round that it met in, which near copies do early."""
+    left, done = among, []
+    for r in range(0, codes.shape[1], EARLIER):
+        ripe = now[left] <= r
+        done.append(left[ripe])
+        left = left[~ripe]
+        if not len(left):
+            break
+        rounds = np.arange(r, min(r + EARLIER, codes.shape[1]))
+        met = (codes[p[left, None], rounds] == codes[q[left, None], rounds]) & hits[left[:, None], rounds % SKETCH] & (rounds < now[left, None])
+        left = left[~met.any(1)]
+    return np.sort(np.concatenate([*done, left]))
+
+
 def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least number that each of 0..n-1 reaches over the links (a, b)."""
     out = np.arange(n)
@@ -247,16 +267,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, key: str = "vec
                 x = np.frombuffer(b"".join(some.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
                 node, copies, side = (some.column(k).to_numpy() for k in ("node", "copies", "side"))
                 now = round_of(some)
-                earlier = np.arange(rounds)[None, :] < now[:, None]
                 near, part = np.zeros(len(u), np.int64), np.arange(len(u))
                 for p, q in pairs_of_runs(run[at], PAIR_VALUES // int(dims)):
                     keep = (side[p] < 0) | (side[p] != side[q])
                     p, q = p[keep], q[keep]
-                    # A pair counts where it meets first: in this round and in none before.
                     hits = np.abs(x[p].astype(np.int16) - x[q]) <= half
-                    met = (codes[p] == codes[q]) & hits[:, np.arange(rounds) % SKETCH]
-                    keep = (hits.sum(1) >= count) & met[np.arange(len(p)), now[p]] & ~(met & earlier[p]).any(1)
-                    p, q = p[keep], q[keep]
+                    keep = np.flatnonzero((hits.sum(1) >= count) & hits[np.arange(len(p)), now[p] % SKETCH] & (codes[p, now[p]] == codes[q, now[p]]))
+                    first = unmet(codes, hits, p, q, keep, now[p])
+                    p, q = p[first], q[first]
                     close = np.einsum("ij,ij->i", u[p], u[q]) >= threshold
                     p, q = p[close], q[close]
                     np.add.at(near, p, copies[q])

@@ -23,6 +23,8 @@ LEVELS = 64
 LOOK = 8
 #: Rows of a pack, the unit that is shuffled, and packs of queries that pass an index together.
 PACK, TOGETHER = 64, 8
+#: Bounds (rows x queries) that a task holds at a time; the largest block, which takes half a gigabyte in its task.
+BOUNDS, LARGEST = 1 << 23, 131_072
 #: Tasks are as many as blocks up to here.
 MOST_TASKS = 20_000
 #: Equal query rows that share a search; more are several searches, so their results are no single task's work.
@@ -115,7 +117,8 @@ def meet(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
         i = 0
         while i < len(marks):
             j = i + 1
-            while j < len(marks) and marks[j] == marks[i] and j - i < TOGETHER:
+            few = max(1, BOUNDS // (PACK * max(1, sum(len(x) for x in held)))) if marks[i][2] else TOGETHER
+            while j < len(marks) and marks[j] == marks[i] and j - i < min(TOGETHER, few):
                 j += 1
             rows = batch.column("rows").slice(i, j - i).flatten()
             if marks[i][:2] != at:
@@ -142,14 +145,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id"
     queries and as candidates; vectors of other lengths than the query's are no candidates. A query's candidates leave
     out all rows with its own key; rows that share another key are candidates each. Query rows that share a key have k
     rows each, with ranks of their own. Other columns are not read. Components so large that a score might not fit in 63
-    bits (some 2^28 after scaling, in 64 dimensions) are an error. block: rows an index (by default 2,048 to 16,384, with
+    bits (some 2^28 after scaling, in 64 dimensions) are an error. block: rows an index (by default 2,048 to 131,072, with
     the number of rows). Tasks follow the blocks, so they grow with the rows; queries are copied to every block.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
     sound = F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.filter(sound).select("id", F.size("v").alias("dims"), F.transform("v", lambda x: F.floor(x * scale)).alias("v"), F.coalesce("q", F.lit(False)).alias("q"))
     n, queries = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("q").cast("long")), F.lit(0))).first()
-    block = block or min(16_384, max(2_048, n // 4_096))
+    block = block or min(LARGEST, max(2_048, n // 4_096))
     blocks = max(1, -(-n // block))
     tasks = min(blocks, MOST_TASKS)
 

@@ -48,9 +48,16 @@ PLAIN = r"[\p{L}\p{N}&&[^\p{IsHan}]]"
 WORD = rf"(?=(\p{{IsHan}}{{2}}|(?<!\p{{IsHan}})\p{{IsHan}}(?!\p{{IsHan}})|(?<!{PLAIN}){PLAIN}+))"
 
 
+RUNS = rf"\p{{IsHan}}+|{PLAIN}+"
+
+
 def words(text: Column) -> Column:
-    """Words in lower case by the default tokenizer, which stays in Catalyst."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(1))
+    """Words in lower case by the default tokenizer, which stays in Catalyst: runs, and only texts with Han are looked at
+    more closely, whose runs of Han are cut into each two neighbours."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit(RUNS), F.lit(0))
+    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
+    cut = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(r"^\p{IsHan}{2}"), pairs(r)).otherwise(F.array(r))))
+    return F.when(text.rlike(r"\p{IsHan}"), cut).otherwise(runs)
 
 
 def code_name(code: Column, group: str) -> Column:

@@ -54,14 +54,19 @@ def product_rows(df: DataFrame, ts: Column, **given: Column) -> DataFrame:
 
 
 def product_sources(clicks: DataFrame, favor: DataFrame, cart: DataFrame, order: DataFrame, payment: DataFrame, refund: DataFrame, comment: DataFrame) -> DataFrame:
-    """The union of the seven sources. An order's row carries the whole order's amount, a payment's its split amount."""
+    """The union of the seven sources. An order's row carries the whole order's amount, a payment's its split amount. Rows that
+    carry their event time (et) are not parsed for it again."""
     made = to_millis(F.col("create_time"))
+
+    def at(rows: DataFrame, text: str) -> Column:
+        return F.unix_millis("et") if "et" in rows.columns else to_millis(F.col(text))
+
     parts = [
         product_rows(clicks, F.col("ts"), click_ct=F.col("click_ct"), display_ct=F.col("display_ct")),
         product_rows(favor, made, favor_ct=F.lit(1)),
         product_rows(cart, made, cart_ct=F.lit(1)),
-        product_rows(order, made, order_sku_num=F.col("sku_num"), order_amount=F.col("total_amount"), order_id=F.col("order_id")),
-        product_rows(payment, to_millis(F.col("payment_create_time")), payment_amount=F.col("split_total_amount"), paid_order_id=F.col("order_id")),
+        product_rows(order, at(order, "create_time"), order_sku_num=F.col("sku_num"), order_amount=F.col("total_amount"), order_id=F.col("order_id")),
+        product_rows(payment, at(payment, "payment_create_time"), payment_amount=F.col("split_total_amount"), paid_order_id=F.col("order_id")),
         product_rows(refund, made, refund_amount=F.col("refund_amount"), refund_order_id=F.col("order_id")),
         product_rows(comment, made, comment_ct=F.lit(1), good_comment_ct=F.when(F.col("appraise") == GOOD_APPRAISE, 1).otherwise(0)),
     ]

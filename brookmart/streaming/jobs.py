@@ -248,8 +248,8 @@ class Jobs:
             logs.clicks_and_displays(self.batches(PAGE, PAGE_LOG)),
             self.facts(FAVOR, acted),
             self.facts(CART, acted),
-            self.batches(WIDE, f"{acted}, order_id bigint, sku_num bigint, total_amount decimal(16,2)"),
-            self.batches(PAYMENT_WIDE, "sku_id bigint, payment_create_time string, split_total_amount decimal(16,2), order_id bigint"),
+            self.batches(WIDE, f"{acted}, et timestamp, order_id bigint, sku_num bigint, total_amount decimal(16,2)"),
+            self.batches(PAYMENT_WIDE, "sku_id bigint, payment_create_time string, et timestamp, split_total_amount decimal(16,2), order_id bigint"),
             self.facts(REFUND, f"{acted}, order_id bigint, refund_amount decimal(16,2)"),
             self.facts(COMMENT, f"{acted}, appraise string"),
         )

@@ -10,7 +10,7 @@ from test_streaming import drop
 from brookmart.functions.segment import Lexicon, lexicon_words
 from brookmart.operators.lateness import split_late, with_watermark
 from brookmart.plans import dashboard, stats
-from brookmart.sources import rollups
+from brookmart.sources import rollups, topics
 from brookmart.sources.jdbc import JdbcSink
 from brookmart.streaming.jobs import Jobs
 
@@ -126,3 +126,19 @@ def test_an_order_of_several_batches_counts_once(spark, tmp_path):
         Jobs(spark, str(tmp_path)).province_stats().awaitTermination()
     got = spark.read.parquet(str(tmp_path / "stats" / "province_stats")).filter("stt = '2024-01-01 00:00:00'").collect()
     assert [(r.order_count, float(r.order_amount)) for r in got] == [(2, 5.5)]
+
+
+def test_a_batch_that_dies_shows_nothing(spark, tmp_path):
+    rows, path = spark.range(4).select(F.col("id").cast("string")), str(tmp_path / "out" / "batch-0")
+
+    def dies(writer, to):
+        writer.text(to)
+        raise RuntimeError("dies")
+
+    with pytest.raises(RuntimeError):
+        topics.write_once(rows, path, dies)
+    assert not list((tmp_path / "out").glob("batch-*"))
+    assert spark.read.option("recursiveFileLookup", True).text(str(tmp_path / "out")).count() == 0
+    for _ in range(2):
+        topics.write_once(rows, path, lambda w, p: w.text(p))
+    assert spark.read.option("recursiveFileLookup", True).text(str(tmp_path / "out")).count() == 4

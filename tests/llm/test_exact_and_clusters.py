@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brookmart.llm import block_clusters, exact_dedup, lexical_search, queries
+from brookmart.llm import block_clusters, exact_dedup, lexical_search, queries, shared
 
 SF = "/root/testdata/sf0.001"
 
@@ -240,3 +240,16 @@ def test_search_query_equals_sql(spark):
     for t in ("documents", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     assert searched(queries.op12_lexical_search(spark, SF)) == sorted(con.execute(lexical_search.sql()).fetchall())
+
+
+def test_scratch_tables_are_deleted_but_those_that_are_kept(spark):
+    from pathlib import Path
+
+    tmp = shared.Scratch()
+    one, two = (tmp.saved(spark.range(n), "t") for n in (3, 4))
+    paths = [Path(x.scratch_path.removeprefix("file:")) for x in (one, two)]
+    assert all(p.exists() for p in paths) and two.count() == 4
+    tmp.discard(two)
+    assert [p.exists() for p in paths] == [False, True] and two.count() == 4
+    tmp.discard()
+    assert not paths[1].exists()

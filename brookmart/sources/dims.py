@@ -59,10 +59,14 @@ class DimStore:
 
     def versions(self, table: str) -> list[int]:
         """Numbers of the complete versions, in ascending order."""
+        return self._complete(table, "manifest-")
+
+    def _complete(self, table: str, kind: str) -> list[int]:
+        """The numbers of a table's complete folders of a kind, in ascending order."""
         if not self.fs.exists(self.of(f"{self.root}/{table}")):
             return []
         found = [x.getPath().getName() for x in self.fs.listStatus(self.of(f"{self.root}/{table}"))]
-        return sorted(int(x[9:]) for x in found if x.startswith("manifest-") and self.fs.exists(self.of(f"{self.root}/{table}/{x}/_SUCCESS")))
+        return sorted(int(x[len(kind) :]) for x in found if x.startswith(kind) and self.fs.exists(self.of(f"{self.root}/{table}/{x}/_SUCCESS")))
 
     def manifest(self, table: str, until: int | None = None) -> tuple[int, int, list[Segment]] | None:
         """Number, buckets and segments of the last version (up to `until`)."""
@@ -78,23 +82,25 @@ class DimStore:
 
     def schema(self, table: str) -> T.StructType:
         """The dimension's columns, the key's marked: what it was created with and columns that came later."""
-        return self.spark.read.parquet(f"{self.root}/{table}/schema").schema
+        return self.spark.read.parquet(f"{self.root}/{table}/schema-{self._complete(table, 'schema-')[-1]}").schema
+
+    def exists(self, table: str) -> bool:
+        return bool(self._complete(table, "schema-"))
 
     def _declare(self, table: str, fields: list[T.StructField]) -> None:
-        """Writes the columns if some are new; the folder with them is replaced in one move."""
-        path, fresh = self.of(f"{self.root}/{table}/schema"), self.of(f"{self.root}/{table}/.schema")
-        old = self.schema(table).fields if self.fs.exists(path) else []
+        """Writes the columns, under the next number, if some are new."""
+        found = self._complete(table, "schema-")
+        old = self.schema(table).fields if found else []
         known = {f.name for f in old}
         new = [*old, *(f for f in fields if f.name not in known)]
         if len(new) > len(old):
-            self.spark.createDataFrame([], T.StructType(new)).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{table}/.schema")
-            self.fs.delete(path, True)
-            self.fs.rename(fresh, path)
+            number = found[-1] + 1 if found else 0
+            self.spark.createDataFrame([], T.StructType(new)).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{table}/schema-{number}")
 
     def create(self, table: str, columns: str, pk: str | None = None, extend: str | None = None) -> bool:
         """Makes an empty dimension unless there is one: all columns strings, the key (id by default) not null. `extend` is
         kept as the key's metadata. Whether it was made."""
-        if self.fs.exists(self.of(f"{self.root}/{table}/schema")):
+        if self.exists(table):
             return False
         self._declare(table, empty_dim(self.spark, columns, pk, extend).schema.fields)
         return True
@@ -124,7 +130,7 @@ class DimStore:
     def read(self, table: str, until: int | None = None) -> DataFrame | None:
         """The dimension as it is, or as it was after the version `until`; None if there is none."""
         found = self.manifest(table, until)
-        if found is None and (until is not None or not self.fs.exists(self.of(f"{self.root}/{table}/schema"))):
+        if found is None and (until is not None or not self.exists(table)):
             return None
         return self._shaped(table, self._read(table, found[2]) if found and found[2] else None)
 

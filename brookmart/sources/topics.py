@@ -154,7 +154,8 @@ def write_once(rows: DataFrame, path: str, write: Callable[[DataFrameWriter, str
         return
     parent, _, name = path.rpartition("/")
     write(rows.write.mode("overwrite"), f"{parent}/.{name}")
-    fs.rename(of(f"{parent}/.{name}"), of(path))
+    if not fs.rename(of(f"{parent}/.{name}"), of(path)):
+        raise OSError(f"{path} could not be put in place")
 
 
 def append_stats(rows: DataFrame, columns: Sequence[str], path: str) -> None:

@@ -171,7 +171,8 @@ class Jobs:
         """Changes -> dimensions and fact topics, by the configuration of each change's time. The configuration is itself a feed
         of changes to a table: in a topic of its own (source), among the others, or both. Its versions are kept (routes),
         placed as all changes are: by time and place at the source where there are such, and then by their arrival. What has
-        no route at its time is set apart (unrouted), with the reason; a deleted row ends its route."""
+        no route at its time is set apart (unrouted), with the reason; a deleted row ends its route. It runs in place of
+        split_db, with which it would share the numbers of the dimensions' versions."""
         events = self.read(ODS_DB, CHANGE_EVENT, positions=True)
         if source is not None:
             events = events.unionByName(self.read(source, CHANGE_EVENT, positions=True))

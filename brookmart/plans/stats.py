@@ -147,7 +147,7 @@ def searches(page: DataFrame, *keep: str) -> DataFrame:
 
 
 def register_splitter(spark: SparkSession, name: str = "splitWord") -> None:
-    """A table function from a string to its words, for SQL's LATERAL."""
+    """A table function from a string to its words, for SQL's LATERAL; rows go to and from it in Arrow batches."""
     import regex
     from pyspark.sql.functions import udtf
 
@@ -158,4 +158,4 @@ def register_splitter(spark: SparkSession, name: str = "splitWord") -> None:
             for m in word.finditer((text or "").lower()):
                 yield (m[1],)
 
-    spark.udtf.register(name, udtf(SplitWord, returnType="word string"))
+    spark.udtf.register(name, udtf(SplitWord, returnType="word string", useArrow=True))

@@ -111,6 +111,7 @@ SQL: dict[str, str] = {
     "op1_collision_dedup": embed_dedup.sql(0.95),
     "op4_minhash_dedup": minhash_dedup.sql(85),
     "op7_impact_search": impact_search.sql("vec_id % 100 = 0", 10),
+    "op10_rendezvous_shards": shards.sql(16),
     "op11_exact_dedup": exact_dedup.sql(),
     "op12_lexical_search": lexical_search.sql(),
     "op13_block_clusters": block_clusters.sql(),

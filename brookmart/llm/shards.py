@@ -32,6 +32,12 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return best(key, weights, range(len(weights)), len(set(weights)) == 1)["shard"]
 
 
+def sub_range(parts: int) -> Column:
+    """The sub-range of key, text_crc32 and size: the first 32 bits of an md5, modulo the parts."""
+    row = F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("null")), "text_crc32", "size")
+    return F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("long") % F.lit(parts)
+
+
 def shard_documents(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | None = None, key: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """Key, size, text_crc32, law, shard, slot and grown_shard of each row.
 
@@ -57,7 +63,7 @@ def shard_documents(docs: DataFrame, weights: Sequence[float], grown: Sequence[f
     placed = drawn.withColumns({
         "shard": F.col("now.shard").cast("int"),
         "grown_shard": (F.least(*more) if len(more) > 1 else more[0])["shard"].cast("int"),
-        "part": F.pmod(F.xxhash64("key", "text_crc32", "size"), F.lit(parts)),
+        "part": sub_range(parts),
     }).drop("now")
     counts = placed.groupBy("shard", "part").agg(F.sum("copies").alias("rows"))  # shards x parts rows
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -67,3 +73,19 @@ def shard_documents(docs: DataFrame, weights: Sequence[float], grown: Sequence[f
     numbered = placed.withColumn("at", F.coalesce(F.sum("copies").over(within), F.lit(0))).join(base, ["shard", "part"])
     each = numbered.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     return each.select(F.col("key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("base") + F.col("at") + F.col("copy")).cast("long").alias("slot"), "grown_shard")
+
+
+def sql(n: int, documents: str = "documents") -> str:
+    """The same over `documents` (doc_id, text), whose keys are distinct, for n shards of one weight, in DuckDB's SQL. It has no
+    crc32, so each text's bytes go through a table made by the polynomial's rule."""
+    return f"""
+WITH RECURSIVE g(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM g WHERE k < 8),
+t AS (SELECT list(c ORDER BY i) AS steps FROM g WHERE k = 8),
+b AS MATERIALIZED (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
+  xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+    lambda c, x: xor(c >> 8, steps[xor(c & 255, x) + 1])), 4294967295) AS text_crc32 FROM {documents}, t),
+u AS (SELECT doc_id, CAST(i AS INTEGER) AS i, CAST('0x' || substr(md5(key || ':' || i), 1, 13) AS BIGINT) AS u FROM b, range({n + 1}) r(i)),
+p AS (SELECT doc_id, min(struct_pack(s := -u, shard := i)) FILTER (i < {n}) AS now, min(struct_pack(s := -u, shard := i)) AS more FROM u GROUP BY doc_id),
+s AS (SELECT b.*, now.shard AS shard, more.shard AS grown_shard, CAST('0x' || substr(md5(key || ':' || text_crc32 || ':' || size), 1, 8) AS BIGINT) % (
+    SELECT greatest({PARTS}, (count(*) + {n * PART_ROWS - 1}) // {n * PART_ROWS}) FROM b) AS part FROM b JOIN p ON b.doc_id IS NOT DISTINCT FROM p.doc_id)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY part, doc_id NULLS FIRST) - 1 AS BIGINT) AS slot, grown_shard FROM s"""

@@ -5,6 +5,7 @@ import math
 import struct
 import zlib
 
+import duckdb
 import public_tokenizers as P
 import pytest
 
@@ -232,6 +233,13 @@ def test_shard_query_equals_rendezvous_in_python(spark):
         assert (r.size, r.text_crc32, r.law, r.shard, r.grown_shard) == (len(body) + 1, zlib.crc32(body), "key", prefers(r.doc_id, [1.0] * 16), prefers(r.doc_id, [1.0] * 17))
 
 
+def test_shard_query_equals_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = sorted(con.execute(shards.sql(16)).fetchall())
+    assert sorted(tuple(r) for r in queries.QUERIES["op10_rendezvous_shards"](spark, SF).collect()) == want
+
+
 def test_shards(spark, docs):
     many = spark.range(4000).selectExpr("id as doc_id", "concat('t', id % 7) as text").unionByName(docs.select("doc_id", "text"))
     rows = shards.shard_documents(many, [1.0] * 16).collect()

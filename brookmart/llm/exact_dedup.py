@@ -9,10 +9,11 @@ the keys of its rows; more documents can be inserted later, which rewrites the b
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,37 +71,29 @@ class Directory:
         return Directory(done)
 
 
-def chain(records: Iterable[tuple[bytes, str, list]]) -> list[list]:
-    """The distinct texts of one hash (text, digest, members), each with the members of all its records."""
-    found: list[list] = []
-    for text, sha, members in records:
-        for entry in found:
-            if entry[0] == text:
-                entry[2].extend(members)
-                break
-        else:
-            found.append([text, sha, list(members)])
-    return found
-
-
 def least(keys: list) -> int | None:
     return min((k for k in keys if k is not None), default=None)
 
 
-def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, list[dict]]]:
-    """Rows with the same keys that follow one another, some 4 MB of each batch at a time."""
-    at, held = None, []
+def chains(batches: Iterator[pa.RecordBatch], members: Callable[[dict], list], *keys: str) -> Iterator[tuple[tuple, list[tuple[bytes, dict, list]]]]:
+    """The distinct texts of rows with the same keys, which follow one another: text, the first row with it, and the members
+    that all its rows bring. What is held is one row a text and the members, not the rows."""
+    at, found = None, []
     for whole in batches:
         for batch in by_bytes(whole, "text", PART):
             for row in batch.to_pylist():
-                here = tuple(row[k] for k in keys)
-                if held and here != at:
-                    yield at, held
-                    held = []
+                here, more, text = tuple(row[k] for k in keys), members(row), row["text"]
+                if found and here != at:
+                    yield at, found
+                    found = []
                 at = here
-                held.append(row)
-    if held:
-        yield at, held
+                same = next((held for body, _, held in found if body == text), None)
+                if same is None:
+                    found.append((text, row, list(more)))
+                else:
+                    same.extend(more)
+    if found:
+        yield at, found
 
 
 class ExactIndex:
@@ -173,14 +166,16 @@ class ExactIndex:
             return pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*records, strict=True) if records else [[]] * len(as_), as_, strict=True)], schema=as_)
 
         def combine(batches):
-            """Equal texts of a part of a batch as one record."""
+            """Equal texts of a part of a batch as one record. All of a task's records of a hot hash have one salt, so a task that
+            runs again sends its rows where it sent them before, in whatever order they come."""
+            task = TaskContext.get().partitionId() * 0x9E3779B1
             for whole in batches:
                 for batch in by_bytes(whole, "text", PART):
                     hashes = batch.column("h").to_numpy()
                     buckets, found = directory.find(hashes), {}
                     for i, (h, sha, body, id_) in enumerate(zip(hashes.tolist(), batch.column("sha").to_pylist(), batch.column("text").to_pylist(), batch.column("id").to_pylist(), strict=True)):
                         found.setdefault((h, body), (int(buckets[i]), sha, []))[2].append(id_)
-                    yield to_batch([record(bucket, h, (ids[0] or 0) * 0x9E3779B1 % hot[h] if h in hot else 0, sha, body.encode(), ids) for (h, body), (bucket, sha, ids) in found.items()])
+                    yield to_batch([record(bucket, h, task % hot[h] if h in hot else 0, sha, body.encode(), ids) for (h, body), (bucket, sha, ids) in found.items()])
 
         def again(batches):
             """Entries that are there as records."""
@@ -194,9 +189,9 @@ class ExactIndex:
         def own(batches):
             """An owner's buckets: the chain of each hash, a row for each of its texts."""
             ready, size = [], 0
-            for (bucket, h, salt), held in runs(batches, "bucket", "h", "salt"):
-                for link, (body, sha, ids) in enumerate(chain((r["text"], r["sha"], r["ids"]) for r in held)):
-                    ready.append((labels[bucket], bucket, h, salt, link, held[0]["hot"], sha, body, ids, least(ids), len(ids)))
+            for (bucket, h, salt), found in chains(batches, lambda r: r.pop("ids"), "bucket", "h", "salt"):
+                for link, (body, r, ids) in enumerate(found):
+                    ready.append((labels[bucket], bucket, h, salt, link, r["hot"], r["sha"], body, ids, least(ids), len(ids)))
                     size += len(body) + 8 * len(ids) + 100
                     if size > PART:
                         yield to_batch(ready, out)
@@ -223,10 +218,10 @@ class ExactIndex:
         schema = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("link", pa.int32()), ("whole_keep", pa.int64()), ("whole_copies", pa.int64())])
 
         def join(batches):
-            for _, held in runs(batches, "h"):
-                for _, _, parts in chain((r["text"], "", [r]) for r in held):
-                    keep, copies = least([r["keep"] for r in parts]), sum(r["copies"] for r in parts)
-                    yield pa.RecordBatch.from_pylist([{"h": r["h"], "salt": r["salt"], "link": r["link"], "whole_keep": keep, "whole_copies": copies} for r in parts], schema)
+            for (h,), found in chains(batches, lambda r: [(r["salt"], r["link"], r["keep"], r["copies"])], "h"):
+                for _, _, parts in found:
+                    keep, copies = least([x[2] for x in parts]), sum(x[3] for x in parts)
+                    yield pa.RecordBatch.from_pylist([{"h": h, "salt": salt, "link": link, "whole_keep": keep, "whole_copies": copies} for salt, link, _, _ in parts], schema)
 
         hot = entries.filter("hot")
         whole = hot.select("h", "salt", "link", "text", "keep", "copies").repartition("h").sortWithinPartitions("h").mapInArrow(join, "h long, salt int, link int, whole_keep long, whole_copies long")

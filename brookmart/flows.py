@@ -19,6 +19,8 @@ from .streaming import state
 
 __all__ = ["QUERIES", "SQL"]
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows of a file of a stream.
+FILE_ROWS = 100_000
 
 
 def settled(rows: DataFrame, name: str) -> DataFrame:
@@ -31,11 +33,14 @@ def settled(rows: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{path}/out")
 
 
-def streamed(rows: DataFrame, name: str, parts: int = 3, by: str | Column = "event_id", files: int = 1) -> DataFrame:
-    """Rows as a stream of at most `parts` files, so many a micro-batch."""
+def streamed(rows: DataFrame, name: str, batches: int = 3, by: str | Column = "event_id") -> DataFrame:
+    """Rows as a stream of at most so many micro-batches, each of as many files as its rows ask for (FILE_ROWS): no task
+    writes or reads a part that grows with the table."""
     path = folder(rows.sparkSession, name)
-    rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(parts))).repartition(parts, "_part").drop("_part").write.parquet(path)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+    files = -(-rows.count() // (batches * FILE_ROWS)) or 1
+    rows.repartition(batches * files, by).write.parquet(path)
+    reader = rows.sparkSession.readStream.schema(rows.schema)
+    return (reader.option("maxFilesPerTrigger", files) if batches > 1 else reader).parquet(path)
 
 
 @query("""SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, CAST((SELECT count(*) FROM events) AS BIGINT) AS offsets FROM events GROUP BY event_type""")
@@ -100,7 +105,7 @@ def snapshot_then_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     log = event("insert", F.col("id") % 1000).unionByName(event("update", F.col("id") + 1001)).unionByName(event("update", F.col("id") + 1001))
     # The whole snapshot is in the first batch: a row of it that came after a later change of its key would be dropped.
-    made = changes.handover(streamed(taken, "snapshot", 2, F.col("after")["id"], 2), streamed(log, "changes", 3, "pos"), ["id"], 1000)
+    made = changes.handover(streamed(taken, "snapshot", 1, F.col("after")["id"]), streamed(log, "changes", 3, "pos"), ["id"], 1000)
     rows = settled(made, "handover").select(F.col("after")["id"].cast("long").alias("id"), F.col("after")["v"].alias("v"), "pos")
     return route.latest_by_key(rows.withColumn("n", F.lit(1)), ["id"], ["pos"]).drop("n", "pos").join(rows.groupBy("id").agg(F.count("*").alias("n")), "id")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Row
@@ -87,25 +88,29 @@ def retraction_stream(events: DataFrame, pk: Sequence[str], order: Sequence[str]
 
 
 class _Handover(StatefulProcessor):
-    """Lets an event of a key through if its place in the log is after that of the last one let through."""
+    """Lets an event of a key through if its place in the log is after that of the last one let through. Keys share their
+    bucket's state, since each call of the state is a round trip."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.place = handle.getValueState("place", "pos long")
+        self.places = handle.getValueState("places", "by_key string")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        last = before = self.place.get()[0] if self.place.exists() else None
-        for r in sorted(rows, key=lambda r: (r["pos"], r["_log"])):  # a snapshot's row stands before the log's at its place
+        places = json.loads(self.places.get()[0]) if self.places.exists() else {}
+        changed = False
+        for r in sorted(rows, key=lambda r: (r["_key"], r["pos"], r["_log"])):  # a snapshot's row stands before the log's at its place
+            last = places.get(r["_key"])
             if last is None or r["pos"] > last:
-                last = r["pos"]
+                places[r["_key"]] = r["pos"]
+                changed = True
                 yield Row(_row=r["_row"])
-        if last != before:
-            self.place.update((last,))
+        if changed:
+            self.places.update((json.dumps(places),))
 
     def close(self) -> None:
         pass
 
 
-def handover(snapshot: DataFrame, log: DataFrame, pk: Sequence[str], at: int | None = None) -> DataFrame:
+def handover(snapshot: DataFrame, log: DataFrame, pk: Sequence[str], at: int | None = None, buckets: int = 16_384) -> DataFrame:
     """A table's snapshot and its log as one feed of change events (streams of schemas.CHANGE_EVENT; both have pos).
 
     A row of the snapshot stands at the log's position at which the reading of it (or of its chunk) began: changes up to
@@ -113,16 +118,18 @@ def handover(snapshot: DataFrame, log: DataFrame, pk: Sequence[str], at: int | N
     the row's position follow it, those up to there are dropped, and so is a row of the snapshot that comes when a later
     change of its key is through already. at: the position at which the whole snapshot began; the log's changes up to there
     are dropped for all keys, also those that the snapshot does not have. Every change goes through once, whatever runs
-    again. State is a position for each key.
+    again. State is a position for each key, kept by buckets of keys: a batch reads and writes the buckets that it has rows of,
+    whole, so that large ones take a call for many keys and small ones write some keys more than they have.
     """
     log = log.filter(F.col("pos") > at) if at is not None else log
     both = snapshot.withColumn("_log", F.lit(False)).unionByName(log.withColumn("_log", F.lit(True)))
     key = lambda m: F.concat_ws("\x1f", *(F.col(m)[c] for c in pk)) if len(pk) > 1 else F.col(m)[pk[0]]
     known = both.withColumn("_key", F.coalesce(key("after"), key("before"))).filter(F.col("_key").isNotNull() & F.col("pos").isNotNull())
     fields = snapshot.schema.fields
-    packed = known.select("_key", "pos", "_log", F.to_json(F.struct(*(f.name for f in fields))).alias("_row"))
+    bucket = F.pmod(F.xxhash64("_key"), F.lit(buckets)).alias("_bucket")
+    packed = known.select(bucket, "_key", "pos", "_log", F.to_json(F.struct(*(f.name for f in fields))).alias("_row"))
     made = T.StructType([T.StructField("_row", T.StringType())])
-    rows = packed.groupBy("_key").transformWithState(_Handover(), made, outputMode="append", timeMode="None")
+    rows = packed.groupBy("_bucket").transformWithState(_Handover(), made, outputMode="append", timeMode="None")
     return rows.select(F.from_json("_row", T.StructType(fields)).alias("r")).select("r.*")
 
 

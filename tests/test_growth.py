@@ -41,3 +41,20 @@ def test_a_streams_files_grow_with_its_rows_and_batches_do_not(spark, tmp_path,
         assert spark.table(name).agg(F.count("*"), F.countDistinct("event_id")).first()[:] == (600, 600)
         read = [p for p in q.recentProgress if p.numInputRows]
         assert 1 <= len(read) <= batches
+
+
+def test_the_windows_of_the_seller_sums_are_made_once(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    def window(i):
+        made.add(1)
+        return f"w{i}"
+
+    names, measures = flows.rollups.ROLLUPS["product_stats"]
+    keys = [F.concat(F.lit(f"{c} "), F.col("id") % 3).alias(c) for c in names]
+    sums = [F.col("id").cast("decimal(16,2)").alias(c) if c == "order_amount" else F.col("id").alias(c) for c in measures]
+    full = spark.range(40).select(F.udf(window, "string").asNondeterministic()("id").alias("stt"), *keys, *sums)
+    monkeypatch.setattr(flows, "product_full", lambda spark, sf_dir: full)
+    got = {r.name: r.value for r in flows.dash_seller_sums(spark, "").collect()}
+    assert got == {f"tm_name {k}": float(sum(range(k, 40, 3))) for k in range(3)}
+    assert made.value == 40

@@ -9,6 +9,7 @@ last `within`.
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -118,11 +119,11 @@ class _Pattern(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ms long, place string, met string, row string")
+        self.waiting = handle.getValueState("waiting", "rows string")  # written whole; a list's rows are packed one by one
         self.open = handle.getValueState("open", "matches string")
 
     def run(self, key, new: list[tuple], until: int) -> Iterator[Row]:
-        held = sorted([*(tuple(x) for x in self.waiting.get()), *new] if self.waiting.exists() else new, key=placed)
+        held = sorted([*(tuple(x) for x in json.loads(self.waiting.get()[0])), *new] if self.waiting.exists() else new, key=placed)
         before = self.open.get()[0] if self.open.exists() else None
         machine = Automaton(self.strict, self.within, [tuple(m) for m in json.loads(before)] if before else [])
         ends = []
@@ -131,7 +132,7 @@ class _Pattern(StatefulProcessor):
         ends += machine.expire(until)
         left = [r for r in held if r[0] > until]
         if left:
-            self.waiting.put(left)
+            self.waiting.update((json.dumps(left),))
         elif len(held) > len(new):
             self.waiting.clear()
         now = json.dumps(machine.open) if machine.open else None
@@ -139,9 +140,9 @@ class _Pattern(StatefulProcessor):
             self.open.clear()
         elif now != before:
             self.open.update((now,))
-        for due in {r[0] for r in left} | {m[0] + self.within for m in machine.open}:
-            if due > until:
-                self.handle.registerTimer(due)
+        due = min(itertools.chain((r[0] for r in left), (m[0] + self.within for m in machine.open)), default=None)
+        if due is not None:  # the first only, which asks for the next
+            self.handle.registerTimer(due)
         for matched, found in ends:
             yield Row(_key=key[0], matched=matched, rows="[" + ",".join(found) + "]")
 

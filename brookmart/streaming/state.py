@@ -103,10 +103,8 @@ class _Bounces(StatefulProcessor):
         if keep:
             self.rows.put(keep)
             at = self.names.index(self.millis)
-            for r in keep:
-                for due in (r[at], r[at] + self.within):
-                    if due > until:
-                        self.handle.registerTimer(due)
+            # The first time only, which asks for the next.
+            self.handle.registerTimer(min(due for r in keep for due in (r[at], r[at] + self.within) if due > until))
         else:
             self.rows.clear()
         at = self.names.index("_row")

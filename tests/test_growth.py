@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from test_changes import events
 
 from brookmart import flows
-from brookmart.operators import changes
+from brookmart.operators import changes, pattern
+from brookmart.streaming import state
 
 
 def test_keys_of_a_handover_share_their_buckets_state(spark, tmp_path):
@@ -43,6 +44,59 @@ def test_a_streams_files_grow_with_its_rows_and_batches_do_not(spark, tmp_path,
         assert 1 <= len(read) <= batches
 
 
+class Value:
+    """A value or list of a processor's state, and the handle that gives it."""
+
+    def __init__(self):
+        self.held, self.timers = None, []
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, x):
+        self.held = x
+
+    put = update
+
+    def clear(self):
+        self.held = None
+
+    def getValueState(self, *_):
+        return Value()
+
+    getListState = getValueState
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_a_key_waits_for_one_time_however_many_rows_it_has():
+    p, handle = pattern._Pattern([True, True], 100), Value()
+    p.init(handle)
+    rows = [(10 * i, f'{{"n":{i}}}', "11", f'{{"n":{i}}}') for i in range(1, 51)]
+    assert list(p.run(("k",), rows, 0)) == [] and handle.timers == [10]
+    ends = []
+    while handle.timers:  # each time asks for the next
+        at = handle.timers.pop()
+        assert not handle.timers
+        ends += [(r.matched, r.rows) for r in p.run(("k",), [], at)]
+    want = [(True, f'[{{"n":{i}}},{{"n":{i + 1}}}]') for i in range(1, 50)]
+    assert ends == [*want, (False, '[{"n":50}]')]
+    b, handle = state._Bounces(("ts", "e", "_row"), "e", "ts", ("ts",), 100), Value()
+    b.schema = None
+    b.init(handle)
+    assert list(b.run([(10 * i, True, str(i)) for i in range(1, 51)], 0)) == [] and handle.timers == [10]
+    ends = []
+    while handle.timers:
+        at = handle.timers.pop()
+        assert not handle.timers
+        ends += [r._row for r in b.run([], at)]
+    assert ends == [str(i) for i in range(1, 51)]
+
+
 def test_the_windows_of_the_seller_sums_are_made_once(spark, monkeypatch):
     made = spark.sparkContext.accumulator(0)
 
